@@ -8,21 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that one task ranks at most, on average.
-RANK_BLOCK = 20_000
+RANK_BLOCK = 2_000
 
 
-def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, rows: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, rows: int | None = None, block: Column | None = None) -> DataFrame:
     """Number the rows of each group of ``by`` from 0 without gaps, as ``out``.
 
     A group of any size is dealt over hash blocks of about ``RANK_BLOCK`` rows: each block is counted,
     the counts are summed along the group, and rows are numbered inside their block. No task ever
     holds a whole hot group. ``df`` is read twice, so it should be a written table. Rows that agree in
-    ``order`` get their numbers in any order. ``rows``: how many rows ``df`` has, if known.
+    ``order`` get their numbers in any order. ``rows``: how many rows ``df`` has, if known. ``block``: the
+    blocks, numbered in the order in which they count, if hashes of ``order`` won't do.
     """
     rows = df.count() if rows is None else rows
     blocks = max(1, -(-rows // RANK_BLOCK))
     keys = [*by, "_block"]
-    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)) if block is None else block)
     along = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*keys).agg(F.count("*").alias("_n"))
     starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(along), F.lit(0)))

@@ -20,6 +20,11 @@ def _case(values: dict[int, int], key: Column, default: int) -> Column:
     return out
 
 
+def _by_lead() -> Column:
+    """Blocks that keep most groups in one run of blocks, and deal a large group over 64 of them."""
+    return F.pmod(F.xxhash64("_lead"), F.lit(64)) * 64 + F.pmod(F.xxhash64("id"), F.lit(64))
+
+
 def propagate(links: DataFrame, quotas: list[int], rounds: int = MAX_ROUNDS) -> DataFrame:
     """(id, shard) for the linked documents in ``links(id, group)``; members of a group are neighbours.
 
@@ -51,13 +56,12 @@ def propagate(links: DataFrame, quotas: list[int], rounds: int = MAX_ROUNDS) ->
         wanted = asked.count()
         if not wanted:
             break
-        # blocks by group, so that a group's members are granted next to each other
-        lined = ranked(asked, ["target"], ["_lead", "id"], "_place", wanted)
+        lined = ranked(asked, ["target"], ["_lead", "id"], "_place", wanted, _by_lead())
         granted = lined.where(F.col("_place") < _case(room, F.col("target"), 0)).select("id", "target")
         state = scratch(state.join(granted, "id", "left").select("id", "_lead", F.coalesce("target", "shard").alias("shard")), "shard-state")
     # a hash start can overfill a shard that nothing left: what is over the quota goes back to the pool
     total = state.count()
-    held = ranked(state, ["shard"], ["_lead", "id"], "_place", total)
+    held = ranked(state, ["shard"], ["_lead", "id"], "_place", total, _by_lead())
     return held.where(F.col("_place") < _case(dict(enumerate(quotas)), F.col("shard"), 0)).select("id", "shard")
 
 
