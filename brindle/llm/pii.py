@@ -128,9 +128,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = scratch(pairs.where(F.col("together") >= MIN_CONTEXTS).join(known.select("entity", "near_words"), "entity"), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    wanted = pairs.select("term").distinct()
     spoken = docs.select(F.explode(F.split(text, _GAP)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    spoken = spoken.select(_term(F.col("word")).alias("term"), "n").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    # counted before they are joined: a common word among the pairs then costs one row
+    spoken = spoken.groupBy(_term(F.col("word")).alias("term")).agg(F.sum("n").alias("n"))
     information = F.greatest(-F.log2(F.col("near_words") / F.lit(float(max(1, total["words"] or 0)))), F.lit(1e-9))
     share = 1 + F.log2(F.least(F.col("together") / F.col("n"), F.lit(1.0))) / information
     return pairs.join(spoken, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSURE)
