@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from brindle.llm import bpe, jaccard, language, packing, pii, quality, sharding, urls  # noqa: F401
+    from brindle.llm import bpe, fingerprints, jaccard, language, packing, pii, quality, sharding, urls  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
