@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,12 +101,12 @@ def _near(text: Column, span: Column) -> Column:
     return F.filter(F.transform(words, _term), lambda t: F.char_length(t) >= MIN_TERM)
 
 
-def find_base(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text, spans): the rows of ``docs(doc_id, text)`` with their base spans. Rows that
-    agree in both columns share a key, and everything that follows from it."""
+def find_base(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, doc_id, text, spans) and the columns ``keep``: the rows of ``docs(doc_id, text)`` with their
+    base spans. Rows that agree in doc_id and text share a key, and everything that follows from it."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text)))
-    return docs.select(key.alias("key"), "doc_id", text.alias("text"), base_spans(text).alias("spans"))
+    return docs.select(key.alias("key"), "doc_id", text.alias("text"), base_spans(text).alias("spans"), *keep)
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -148,24 +150,24 @@ def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     return F.filter(F.transform(spans, trim), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
 
-def find_personal(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) for each row of ``docs``: base spans, then those of kind ``term``, words that
+def find_personal(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, spans) and the columns ``keep`` for each row of ``docs``: base spans, then those of kind ``term``, words that
     disclose an entity of the same text.
 
     A null text counts as empty and has no span; a null doc_id is kept; repeated rows get the same
     spans. Texts are searched whole; overlapping spans of different kinds all stand. Other columns are
     not read.
     """
-    docs = docs.select("doc_id", "text")
-    everything = find_base(docs)
+    docs = docs.select("doc_id", "text", *keep)
+    everything = find_base(docs, keep)
     found = scratch(everything.where(F.size("spans") > 0), "pii-found")
     terms = disclosing_terms(found, docs)
     entities = found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct()
     told = entities.join(terms.select("entity", "term"), "entity").groupBy("key").agg(F.collect_set("term").alias("terms"))
     marked = found.join(told, "key", "left")
     extra = F.when(F.col("terms").isNotNull(), _term_spans(F.col("text"), F.col("terms"), F.col("spans"))).otherwise(_no_spans())
-    marked = marked.select("doc_id", "text", F.concat("spans", extra).alias("spans"))
-    return marked.unionByName(everything.where(F.size("spans") == 0).select("doc_id", "text", "spans"))
+    marked = marked.select("doc_id", "text", F.concat("spans", extra).alias("spans"), *keep)
+    return marked.unionByName(everything.where(F.size("spans") == 0).select("doc_id", "text", "spans", *keep))
 
 
 def sanitise(text: Column, spans: Column) -> Column:
