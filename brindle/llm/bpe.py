@@ -22,6 +22,8 @@ from brindle.session import scratch, table
 _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Units that a byte-level pre-tokenizer never joins: a word with the one space before it, or white space.
 _UNIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+#: A word goes to the same part with any of these around it.
+_MARKS = b" .,;:!?%&$#*"
 _CHUNKS = "chunk long, part int, doc_id {id}, first binary, second binary"
 _IDS = "chunk long, places binary, lengths binary, ids binary"
 
@@ -74,7 +76,7 @@ def _chunker(split: str, parts: int):
         for number, batch in enumerate(batches):
             words = _Numbered()
             number_of = words.__getitem__
-            bodies = [_pack(np.fromiter(map(number_of, units(t or "")), np.uint32)) for t in batch.column(1).to_pylist()]
+            bodies = [_pack(np.fromiter(map(number_of, units(t.as_py() or "")), np.uint32)) for t in batch.column(1)]
             n = len(bodies)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([task + number] * n, pa.int64()), pa.array([-1] * n, pa.int32()), batch.column(0), pa.array(bodies, pa.binary()), pa.nulls(n, pa.binary())],
@@ -82,7 +84,7 @@ def _chunker(split: str, parts: int):
             )
             dealt: dict[int, tuple[list[bytes], list[int]]] = {}
             for word, i in words.items():
-                own = dealt.setdefault(zlib.crc32(word) % parts, ([], []))
+                own = dealt.setdefault(zlib.crc32(word.strip(_MARKS)) % parts, ([], []))
                 own[0].append(word)
                 own[1].append(i)
             n = len(dealt)
@@ -105,7 +107,81 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def _encoder(path: str):
+#: A plain word: perhaps a space, Latin letters, then marks that no pre-tokenizer joins to a letter.
+_PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: How byte-level vocabularies write each byte.
+_SHOWN = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Words that one call of the tokenizer encodes together, and calls before their ids are collected.
+_TOGETHER, _CALLS = 64, 256
+
+
+class WordEncoder:
+    """Ids of distinct words. Plain ones go to the vocabulary's merges directly, many to a call, without
+    the normalizer and the pre-tokenizer, which wouldn't change them; all others to the whole tokenizer."""
+
+    def __init__(self, path: str, split: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.split = load_tokenizer(path), split
+        self.merges = Tokenizer(self.whole.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        pieces = self.whole.get_vocab()
+        #: whether an id ends a word (vocabularies with word ends), or begins one (with marked spaces)
+        self.edge = np.zeros(max(pieces.values()) + 1, bool)
+        for piece, i in pieces.items():
+            self.edge[i] = piece.endswith("</w>") if split == "spaces" else piece.startswith(BYTE_CHARS[32])
+
+    def _singly(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [], []
+        for i in range(0, len(words), 2_000):
+            for e in tokenizer.encode_batch_fast(words[i : i + 2_000], add_special_tokens=False):
+                own = e.ids
+                lengths.append(len(own))
+                ids.append(np.array(own, np.uint32))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array(lengths, np.int64)
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lines, parts = [" ".join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)], [np.zeros(0, np.uint32)]
+        for i in range(0, len(lines), _CALLS):
+            parts += [np.array(e.ids, np.uint32) for e in self.merges.encode_batch_fast(lines[i : i + _CALLS], add_special_tokens=False)]
+        ids = np.concatenate(parts)
+        edges = np.flatnonzero(self.edge[ids])
+        bounds = np.append(edges + 1, len(ids))[: len(edges)] if self.split == "spaces" else np.append(edges[1:], len(ids))[: len(edges)]
+        lengths = np.diff(bounds, prepend=0)
+        if len(lengths) != len(words):  # a vocabulary whose words' edges can't be seen
+            return self._singly(words, self.merges)
+        return ids, lengths
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids one after another, and how many each has."""
+        cores, tails, others = _Numbered(), _Numbered(), []
+        kind, at, end = np.zeros(len(words), np.int8), np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        lower = self.split == "spaces"
+        plain: list[_Numbered] = [cores, _Numbered()]  # with the mark of words' edges, without
+        for i, word in enumerate(words):
+            text = word.decode()
+            m = _PLAIN.fullmatch(text)
+            if m is None or (lower and m[1]):
+                kind[i], at[i] = 2, len(others)
+                others.append(text)
+                continue
+            bare = not lower and not m[1]
+            kind[i], at[i] = bare, plain[bare][m[1] + (m[2].lower() if lower else m[2])]
+            if m[3]:
+                end[i] = tails[m[3]]
+        show = lambda own: [w.encode().decode("latin-1").translate(BYTE_CHARS) for w in own]
+        groups = [self._together(show(cores)), self._singly(show(plain[1]), self.merges), self._singly(others, self.whole), self._singly(list(tails), self.whole)]
+        first = np.cumsum([0, *(len(n) for _, n in groups)])
+        ids, lengths = np.concatenate([x for x, _ in groups]), np.append(np.concatenate([n for _, n in groups]), 0)
+        starts = np.cumsum(lengths) - lengths
+        both = np.empty((len(words), 2), np.int64)
+        both[:, 0] = first[kind] + at
+        both[:, 1] = np.where(end < 0, len(lengths) - 1, first[3] + end)
+        return gather(ids, starts, lengths, both.ravel()), lengths[both].sum(axis=1)
+
+
+def _encoder(path: str, split: str):
     """Encodes the words of one part, each distinct one once, and gives every chunk its own."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -117,11 +193,7 @@ def _encoder(path: str):
             ends = np.cumsum(lengths).tolist()
             at = np.fromiter((known[letters[a:b]] for a, b in zip([0, *ends], ends, strict=False)), np.int64)
             wanted.append((places, at))
-        tokenizer, words, lists = load_tokenizer(path), [w.decode() for w in known], []
-        for i in range(0, len(words), 20_000):
-            lists += [e.ids for e in tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, lists), np.int64)
-        ids = np.fromiter((x for one in lists for x in one), np.uint32)
+        ids, lengths = WordEncoder(path, split)(list(known))
         starts = np.cumsum(lengths) - lengths
         return pd.DataFrame({
             "chunk": rows["chunk"],
@@ -165,7 +237,7 @@ def encode_documents(docs: DataFrame, path: str, split: str = "bytes", store: bo
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = docs.mapInArrow(_chunker(split, parts), _CHUNKS.format(id=kind))
     chunks = scratch(chunks, "bpe-chunks") if store else chunks
-    words = chunks.where("part >= 0").groupBy("part").applyInPandas(_encoder(path), _IDS)
+    words = chunks.where("part >= 0").groupBy("part").applyInPandas(_encoder(path, split), _IDS)
     bodies = chunks.where("part < 0").groupBy("chunk")
     return bodies.cogroup(words.groupBy("chunk")).applyInPandas(_joiner, f"doc_id {kind}, ids binary")
 
@@ -174,8 +246,7 @@ def pieces_of(spark: SparkSession, path: str) -> DataFrame:
     """The id-to-piece table (id, piece bytes) of a byte-level tokenizer, special tokens included."""
     tokenizer = load_tokenizer(path)
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
-    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    byte_of = {c: b for b, c in BYTE_CHARS.items()}
     rows = [(i, special[i].encode() if i in special else bytes(byte_of[c] for c in piece)) for piece, i in tokenizer.get_vocab().items()]
     return spark.createDataFrame(rows, "id int, piece binary")
 
