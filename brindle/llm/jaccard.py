@@ -1,9 +1,10 @@
 """N-gram Jaccard join: T-occurrence search over inverted lists of word shingles, in the DivideSkip way.
 
 A document with n shingles needs T = ceil(3n/4) of them in common with any partner. Lists are ordered from
-short to long by a frequency sketch. A partner must stand in one of the document's n - T + 1 shortest
-lists, so only these are merged; the long lists are never merged, but probed by binary search for the
-candidates that the short ones give, and a pair stays if its overlap reaches what it needs.
+short to long by a frequency sketch. Of the document's n - T + L shortest lists a partner must stand in L,
+so only these are merged, and documents without so many shared lists drop out; the long lists are never
+merged, but probed by binary search for the candidates that the short ones give. A pair stays if its
+overlap reaches what it needs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WORDS, PERCENT = 5, 75
 #: results; a better one gives fewer candidates.
 SKETCH = 1 << 20
 SKETCH_PARTS = 16
+#: L as hundredths of n. A larger L merges more lists and lets fewer documents through.
+SHARED = 15
 #: 64-bit words of the bitmap of documents that have a candidate, which is fixed too; it only saves work.
 WANTED = 1 << 20
 #: 64-bit words of a document's bitmap (the parity of its shingles by slot).
@@ -67,6 +70,12 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def shared_least(n, percent: int = PERCENT):
+    """How many of a document's short lists must hold a partner at least; n is a number or a column. A
+    partner may be as small as percent / 100 of n, and has as many of its own."""
+    return F.greatest(F.lit(1), F.floor(n * (SHARED * percent / 10_000)))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets link: the shorter one is probed for in the longer one."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
@@ -105,7 +114,7 @@ def _first_pass(words: int):
                     seen.add(d)
                     fresh.append(s)
             if fresh:
-                slots += np.bincount((np.concatenate(fresh) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                slots += np.bincount((np.concatenate(fresh) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.binary())], names=["part", "doc_id", "n", "digest", "slots"])
         if kind is not None:
@@ -128,14 +137,17 @@ def _postings(words: int, percent: int, parts: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, often = Shingler(words), set(), np.frombuffer(sketch.value, np.uint32)
         for batch in batches:
-            digests, lists = [], []
+            digests, lists, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle(text)
                 if len(s) and (d := _digest(s)) not in seen:
                     seen.add(d)
-                    order = np.lexsort((s, often[(s % np.uint64(SKETCH)).astype(np.int64)]))
+                    # sorted already, so a stable sort by frequency is one by (frequency, shingle)
+                    order = np.argsort(often[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
                     digests.append(d)
-                    lists.append(s[order[: len(s) - needed(len(s), percent) + 1]])
+                    sizes.append(len(s))
+                    more = max(1, -(-SHARED * len(s) // 100))
+                    lists.append(s[order[: len(s) - needed(len(s), percent) + more]])
             if not lists:
                 continue
             s = np.concatenate(lists)
@@ -144,56 +156,62 @@ def _postings(words: int, percent: int, parts: int, sketch):
             order = np.argsort(part, kind="stable")
             ends = np.cumsum(np.bincount(part, minlength=parts))[:-1]
             keys, at, ids = np.split((s >> np.uint64(32)).astype(np.uint32)[order], ends), np.split(at[order], ends), _short(digests)
-            rows: list[list] = [[], [], [], []]
+            sizes = np.array(sizes, np.uint32)
+            rows: list[list] = [[], [], [], [], []]
             for p in range(parts):
                 if len(keys[p]):
                     own, inside = np.unique(at[p], return_inverse=True)
-                    for column, x in zip(rows, (p, keys[p].tobytes(), inside.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), ids[own].tobytes()), strict=True):
+                    for column, x in zip(rows, (p, keys[p].tobytes(), inside.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), ids[own].tobytes(), sizes[own].tobytes()), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "keys", "places", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "keys", "places", "ids", "sizes"])
 
     return run
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge the lists of a part: (list, id, pivot) for lists with two classes or more."""
-    keys, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    for k, places, own in zip(rows["keys"], rows["places"], rows["ids"], strict=True):
-        k, own = np.frombuffer(k, np.uint32), np.frombuffer(own, np.int64)
+    """Merge the lists of a part: (list, id, n) for lists with two classes or more."""
+    keys, ids, sizes = [], [], []
+    for k, places, own, n in zip(rows["keys"], rows["places"], rows["ids"], rows["sizes"], strict=True):
+        k = np.frombuffer(k, np.uint32)
+        at = np.frombuffer(places, np.uint16 if len(places) == 2 * len(k) else np.uint32)
         keys.append(k)
-        ids.append(own[np.frombuffer(places, np.uint16 if len(places) == 2 * len(k) else np.uint32)])
-    k, i = np.concatenate(keys), np.concatenate(ids)
+        ids.append(np.frombuffer(own, np.int64)[at])
+        sizes.append(np.frombuffer(n, np.uint32)[at])
+    k, i, n = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+    order = np.argsort(k, kind="stable")
+    k, i, n = k[order], i[order], n[order]
+    once = np.ones(len(k), bool)  # most lists have one entry: these need no second sort
+    once[1:] &= k[1:] != k[:-1]
+    once[:-1] &= k[1:] != k[:-1]
+    k, i, n = k[~once], i[~once], n[~once]
     order = np.lexsort((i, k))
-    k, i = k[order], i[order]
+    k, i, n = k[order], i[order], n[order]
     fresh = np.ones(len(k), bool)
     fresh[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
-    k, i = k[fresh], i[fresh]
+    k, i, n = k[fresh], i[fresh], n[fresh]
     first = np.ones(len(k), bool)
     first[1:] = k[1:] != k[:-1]
     starts = np.flatnonzero(first)
     sizes = np.diff(np.append(starts, len(k)))
     many = np.repeat(sizes > 1, sizes)
     part = np.int64(rows["part"].iloc[0]) << np.int64(32)
-    return pd.DataFrame({"list": part + k[many].astype(np.int64), "id": i[many], "pivot": np.repeat(i[starts], sizes)[many]})
+    return pd.DataFrame({"list": part + k[many].astype(np.int64), "id": i[many], "n": n[many].astype(np.int64)})
 
 
-def _sets(words: int, wanted):
-    """Sets and bitmaps of the documents that the bitmap of wanted classes passes."""
+def _sets(words: int):
+    """Sets and bitmaps of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen, have = Shingler(words), set(), np.frombuffer(wanted.value, np.uint64)
+        shingle, seen = Shingler(words), set()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for text in batch.column(0).to_pylist():
                 s = shingle(text)
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
-                i = int(_short([d])[0])
-                if not int(have[i % WANTED]) >> ((i >> 20) & 63) & 1:
-                    continue
                 seen.add(d)
                 parity = np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * BITS - 1), minlength=64 * BITS) & 1
-                for column, x in zip(rows, (i, d, len(s), s.tobytes(), np.packbits(parity.astype(bool)).tobytes()), strict=True):
+                for column, x in zip(rows, (int(_short([d])[0]), d, len(s), s.tobytes(), np.packbits(parity.astype(bool)).tobytes()), strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["id", "digest", "n", "set", "bits"])
@@ -201,6 +219,17 @@ def _sets(words: int, wanted):
     return run
 
 
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``wanted``, and perhaps a few more: a bitmap of WANTED words
+    at most is broadcast, so no text is shuffled."""
+    key = F.xxhash64("doc_id")
+    slot, by = F.pmod(key, F.lit(WANTED)), F.pmod(F.shiftright(key, 20), F.lit(64)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), by)
+    bitmap = wanted.groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_bits"))
+    probed = docs.withColumn("_slot", slot).join(F.broadcast(bitmap), "_slot")
+    return probed.where(F.col("_bits").bitwiseAND(bit) != 0).select(*docs.columns)
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,16 +313,17 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     sums = first.where("part >= 0").groupBy("part").applyInPandas(_sum_slots, "part int, slots binary").orderBy("part").collect()
     sketch = spark.sparkContext.broadcast(b"".join(r["slots"] for r in sums) or bytes(4 * SKETCH))
     texts = docs.select("text")
-    entries = texts.mapInArrow(_postings(words, percent, 2 * shuffles, sketch), "part int, keys binary, places binary, ids binary")
-    lists = scratch(entries.groupBy("part").applyInPandas(_merge, "list long, id long, pivot long"), "jaccard-lists")
-    slot = F.pmod("id", F.lit(WANTED))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("id", 20), F.lit(64)).cast("int"))
-    have = lists.select("id").distinct().groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toPandas()  # WANTED rows at most
-    wanted = np.zeros(WANTED, np.int64)
-    wanted[have["slot"].to_numpy(np.int64)] = have["bits"].to_numpy(np.int64)
-    wanted = spark.sparkContext.broadcast(wanted.tobytes())
-    sets = texts.mapInArrow(_sets(words, wanted), "id long, digest binary, n long, set binary, bits binary")
-    sets = scratch(sets.dropDuplicates(["digest"]), "jaccard-sets")
+    entries = texts.mapInArrow(_postings(words, percent, 2 * shuffles, sketch), "part int, keys binary, places binary, ids binary, sizes binary")
+    merged = scratch(entries.groupBy("part").applyInPandas(_merge, "list long, id long, n long"), "jaccard-merged")
+    able = merged.groupBy("id").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= shared_least(F.col("n"), percent))
+    lists = merged.select("list", "id").join(able.select("id"), "id")
+    heads = lists.groupBy("list").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1").select("list", "pivot")
+    lists = scratch(lists.join(heads, "list").select("list", "id", "pivot"), "jaccard-lists")
+    short = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("id")
+    classes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select(short, "doc_id")
+    wanted = classes.join(lists.select("id").distinct(), "id").select("doc_id")
+    sets = marked(docs, wanted).select("text").mapInArrow(_sets(words), "id long, digest binary, n long, set binary, bits binary")
+    sets = scratch(sets.join(lists.select("id").distinct(), "id", "left_semi"), "jaccard-sets")
     shared = lists.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count("*").alias("shared"))
     stars = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b"))
     # classes that share a number are candidates of each other

@@ -96,3 +96,10 @@ def test_linked_at_the_edge():
     a = np.arange(100, dtype=np.uint64)
     assert jaccard.linked(a, a[:75]) and not jaccard.linked(a, a[:74])
     assert not jaccard.linked(a[:0], a[:0])
+
+
+def test_marked_keeps_every_wanted_row(spark):
+    docs = spark.createDataFrame([(i if i else None, str(i)) for i in range(2_000)], "doc_id long, text string")
+    wanted = docs.where("doc_id is null or doc_id % 50 = 7").select("doc_id")
+    kept = {r.text for r in jaccard.marked(docs, wanted).collect()}
+    assert kept >= {"0", *(str(i) for i in range(7, 2_000, 50))} and len(kept) < 60
