@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -114,6 +113,7 @@ _SHOWN = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100
 BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Words that one call of the tokenizer encodes together, and calls before their ids are collected.
 _TOGETHER, _CALLS = 64, 256
+_DECODED = 256
 
 
 class WordEncoder:
@@ -268,25 +268,18 @@ def decode_documents(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, starts, lengths = shared.value
-        for batch in batches:
-            out = []
-            for blob in batch.column("ids").to_pylist():
-                ids = np.frombuffer(blob or b"", "<u4").astype(np.int64)
-                out.append(gather(values, starts, lengths, ids[ids < len(lengths)]).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _DECODED):  # small batches go on, so no worker holds many texts
+                batch, out = whole.slice(at, _DECODED), []
+                for blob in batch.column("ids"):
+                    ids = np.frombuffer(blob.as_py() or b"", "<u4").astype(np.int64)
+                    out.append(gather(values, starts, lengths, ids[ids < len(lengths)]).tobytes().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "text"])
 
     kept = encoded.drop("text")
     return kept.mapInArrow(run, kept.withColumn("text", F.lit("")).schema)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = [hashlib.sha256(x).hexdigest() for x in batch.column("ids").to_pylist()]
-        texts = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("text").to_pylist()]
-        counts = pa.array([len(x) // 4 for x in batch.column("ids").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(hashes, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
 @query("op7_bpe_round_trip")
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode its ids again, and return digests of both."""
@@ -295,5 +288,5 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = encode_documents(table(spark, sf_dir, "documents"), path)
     decoded = decode_documents(encoded, pieces_of(spark, path))
-    kind = decoded.schema["doc_id"].dataType.simpleString()
-    return decoded.mapInArrow(_digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    n = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return decoded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

@@ -111,10 +111,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def _cutter(capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.uint32(end).tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                blob += np.uint32(end).tobytes()
+            for doc, ids in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
+                doc, blob = doc.as_py(), ids.as_py() + last
                 for k, at in enumerate(range(0, len(blob), 4 * capacity)):
                     own = blob[at : at + 4 * capacity]
                     for column, x in zip(rows, (doc, k, at // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
