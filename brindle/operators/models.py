@@ -299,7 +299,7 @@ def cluster(df: DataFrame, vector: str, k: int) -> DataFrame:
     return KMeans(k=k, seed=7, featuresCol="_features", predictionCol="cluster").fit(ready).transform(ready).drop("_features")
 
 
-def gaussian_clusters(df: DataFrame, vector: str, ks: Sequence[int] = (1, 2, 3)) -> tuple[int, DataFrame]:
+def gaussian_clusters(df: DataFrame, vector: str, ks: Sequence[int] = (2, 3, 4)) -> tuple[int, DataFrame]:
     """I25. The number of components with the best BIC, and its clusters."""
     ready = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
     n, d = ready.count(), ready.select(F.max(F.size(vector))).first()[0]

@@ -1 +1,482 @@
-"""Queries over the given tables."""
+"""Queries over the given tables: models, search, streams, user surface (A9, I, J, K, L)."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
+
+from brindle.catalog import query
+from brindle.functions import metrics, user
+from brindle.functions.keys import u, u_sql
+from brindle.operators import models, relate, split
+from brindle.plans import search
+from brindle.plans.queries_ac import REPORTS, folder, reports
+from brindle.plans.queries_df import FEATURES, LKEY, PREDS, candidates, lines, r
+from brindle.session import scratch, table
+from brindle.sources import datasets
+from brindle.streaming import reports as streams
+
+CUT = 0.2
+
+
+def parts(spark, d, label: str = "l_returnflag"):
+    """(train, test) rows of lineitem by the key's bucket, with numeric features."""
+    li = lines(spark, d).select("row_id", *FEATURES, label, "l_linestatus" if label != "l_linestatus" else "l_returnflag")
+    return li.where(u("row_id") >= CUT), li.where(u("row_id") < CUT)
+
+
+TEST = f"{u_sql('row_id')} < {CUT}"
+LI = f"(SELECT *, {LKEY} AS row_id FROM lineitem)"
+
+
+@query("a9_save_fitted")
+def a9(spark, d):
+    train, test = parts(spark, d)
+    at = folder(spark, "fitted")
+    datasets.save_fitted(models.fit_classifier("decision_tree", train, FEATURES, "l_returnflag"), at, "f1")
+    return models.predict(datasets.load_fitted(at, "f1"), test, "row_id")
+
+
+@query("i1_dummy", f"SELECT row_id, (SELECT l_returnflag FROM {LI} WHERE NOT {TEST} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS pred, 1.0::DOUBLE AS confidence FROM {LI} WHERE {TEST}")
+def i1(spark, d):
+    train, test = parts(spark, d)
+    return models.predict_dummy(models.fit_dummy(train, "l_returnflag"), test, "row_id")
+
+
+NB_STATS = f"(SELECT l_linestatus AS class, count(*) AS n, avg(l_quantity) AS m1, greatest(var_pop(l_quantity), 1e-9 * (SELECT var_pop(l_quantity) FROM {LI} WHERE NOT {TEST})) AS v1, avg(l_tax) AS m2, greatest(var_pop(l_tax), 1e-9 * (SELECT var_pop(l_quantity) FROM {LI} WHERE NOT {TEST})) AS v2 FROM {LI} WHERE NOT {TEST} GROUP BY 1)"
+
+
+@query("i10_gaussian_nb", f"""WITH s AS {NB_STATS}, t AS (SELECT sum(n) AS total FROM s),
+p AS (SELECT row_id, class, ln(n / total) - 0.5 * ln(2 * pi() * v1) - pow(l_quantity - m1, 2) / (2 * v1) - 0.5 * ln(2 * pi() * v2) - pow(l_tax - m2, 2) / (2 * v2) AS l FROM {LI} CROSS JOIN s CROSS JOIN t WHERE {TEST})
+SELECT row_id, first(class ORDER BY l DESC, class) AS pred, round(1 / sum(exp(l - m)), 6) AS confidence FROM (SELECT *, max(l) OVER (PARTITION BY row_id) AS m FROM p) GROUP BY 1""")
+def i10(spark, d):
+    train, test = parts(spark, d, "l_linestatus")
+    model = models.fit_gaussian_nb(train, ["l_quantity", "l_tax"], "l_linestatus")
+    return models.predict_gaussian_nb(model, test, ["l_quantity", "l_tax"], "row_id").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("i10_other_nb")
+def i10o(spark, d):
+    train, test = parts(spark, d)
+    return models.predict(models.fit_classifier("multinomial_nb", train, FEATURES, "l_returnflag"), test, "row_id")
+
+
+def _classifier(name: str, label: str = "l_returnflag", **params):
+    def run(spark, d):
+        train, test = parts(spark, d, label)
+        return models.predict(models.fit_classifier(name, train, FEATURES, label, **params), test, "row_id")
+
+    return run
+
+
+def _regressor(name: str, **params):
+    def run(spark, d):
+        train, test = parts(spark, d)
+        names = [c for c in FEATURES if c != "l_extendedprice"]
+        return models.predict(models.fit_regressor(name, train, names, "l_extendedprice", **params), test, "row_id")
+
+    return run
+
+
+query("i2_random_forest")(_classifier("random_forest", trees=5, depth=4))
+query("i2_random_forest_regressor")(_regressor("random_forest", trees=5, depth=4))
+query("i4_gradient_boosting")(_classifier("gradient_boosting", trees=2, depth=2))
+query("i4_gradient_boosting_regressor")(_regressor("gradient_boosting", trees=3))
+query("i5_decision_tree")(_regressor("decision_tree"))
+query("i6_bagging")(_regressor("bagging", trees=4, depth=4))
+query("i7_logistic_regression")(_classifier("logistic_regression"))
+query("i8_linear_svc")(_classifier("linear_svc"))
+query("i13_sgd")(_regressor("sgd"))
+
+
+@query("i3_extra_trees")
+def i3(spark, d):
+    train, test = parts(spark, d)
+    return models.extra_trees(train, test, FEATURES, "l_returnflag", "row_id", trees=2)
+
+
+@query("i9_kernel_svm")
+def i9(spark, d):
+    train, test = parts(spark, d)
+    return models.kernel_svm(train, test, FEATURES, "l_returnflag", "row_id")
+
+
+DIST = "sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))))"
+NEAR = f"(SELECT a.vec_id, b.label FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DIST}, 9), b.vec_id) <= 5)"
+
+
+@query("i11_knn", f"SELECT vec_id, label AS pred, n / 5 AS confidence FROM (SELECT vec_id, label, count(*) AS n FROM {NEAR} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, label) = 1")
+def i11(spark, d):
+    e = table(spark, d, "embeddings")
+    return models.knn_predict(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", "label", 5, same=True)
+
+
+@query("i12_lda")
+def i12(spark, d):
+    train, test = parts(spark, d)
+    return models.predict_lda(models.fit_lda(train, FEATURES, "l_returnflag"), test, FEATURES, "row_id")
+
+
+@query("i14_ridge", f"WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) * count(*) / (var_pop(l_quantity) * count(*) + 1) AS w, avg(l_extendedprice) AS y, avg(l_quantity) AS x FROM {LI} WHERE NOT {TEST}) SELECT row_id, round(y + w * (l_quantity - x), 3) AS pred, 1.0::DOUBLE AS confidence FROM {LI} CROSS JOIN s WHERE {TEST}")
+def i14(spark, d):
+    train, test = parts(spark, d)
+    return models.predict_linear(models.fit_ridge(train, ["l_quantity"], "l_extendedprice"), test, ["l_quantity"], "row_id").withColumn("pred", F.round("pred", 3))
+
+
+@query("i15_lasso_path")
+def i15(spark, d):
+    return models.lasso_path(parts(spark, d)[0], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+
+
+@query("i16_mlp")
+def i16(spark, d):
+    train, test = parts(spark, d)
+    return models.predict(models.fit_mlp(train, FEATURES, "l_returnflag", 3), test, "row_id")
+
+
+@query("i17_multilabel")
+def i17(spark, d):
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumns({"words": F.size(F.split("text", " ")).cast("double"), "chars": F.col("n_chars").cast("double")})
+    docs = docs.select("doc_id", "quality", "toxic", "words", "chars")
+    return models.multilabel(docs.where(u("doc_id") >= CUT), docs.where(u("doc_id") < CUT), ["words", "chars"], ["quality", "toxic"], "doc_id")
+
+
+@query("i18_best_forest")
+def i18(spark, d):
+    train, test = parts(spark, d)
+    model, _ = models.best_forest(train, test, FEATURES, "l_returnflag", "row_id", [{"trees": 2, "depth": 2}, {"trees": 3, "depth": 3}])
+    return models.predict(model, test, "row_id")
+
+
+@query("i19_self_training")
+def i19(spark, d):
+    train, test = parts(spark, d)
+    model = models.self_training(train.where(u("row_id", "few") < 0.3), train.where(u("row_id", "few") >= 0.3), FEATURES, "l_returnflag", "row_id", rounds=1)
+    return models.predict(model, test, "row_id")
+
+
+@query("i20_privileged")
+def i20(spark, d):
+    train, test = parts(spark, d)
+    return models.privileged_forest(train, test, ["l_quantity", "l_extendedprice"], ["l_tax", "l_discount"], "l_returnflag", "row_id")
+
+
+@query("i21_vote", f"SELECT row_id, pred, round(s, 6) AS confidence FROM (SELECT row_id, pred, sum({u_sql('row_id', 'conf')}) AS s FROM {PREDS} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(s, 9) DESC, pred) = 1")
+def i21(spark, d):
+    return models.vote(candidates(spark, d).withColumn("confidence", u("row_id", "conf")), "row_id").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("i22_stack")
+def i22(spark, d):
+    c = candidates(spark, d)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderstatus")
+    return models.stack([c.where(F.col("candidate_id") == f"c{i}") for i in (1, 2, 3)], o, "o_orderstatus", "row_id")
+
+
+@query("i23_collaborative")
+def i23(spark, d):
+    ratings = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("u"), F.col("l_partkey").cast("int").alias("i")).agg(F.avg("l_quantity").cast("float").alias("v"))
+    return models.collaborative(ratings, "u", "i", "v").transform(ratings).select("u", "i", "prediction")
+
+
+@query("i24_cluster")
+def i24(spark, d):
+    return models.cluster(table(spark, d, "embeddings"), "embedding", 4).select("vec_id", "cluster")
+
+
+@query("i25_gaussian_clusters")
+def i25(spark, d):
+    small = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("embedding"))
+    return models.gaussian_clusters(small, "embedding", (2, 3))[1].select("vec_id", "cluster")
+
+
+DAILY = "(SELECT event_type, ts::DATE AS day, round(sum(value), 4) AS v FROM events GROUP BY 1, 2)"
+
+
+@query("i26_ar1", f"WITH l AS (SELECT *, lag(v) OVER (PARTITION BY event_type ORDER BY day) AS x FROM {DAILY}) SELECT event_type, round(regr_slope(v, x), 6) AS slope, round(regr_intercept(v, x), 4) AS intercept, round(regr_slope(v, x) * arg_max(v, day) + regr_intercept(v, x), 4) AS forecast FROM l GROUP BY 1")
+def i26(spark, d):
+    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("v"))
+    return models.fit_ar1(daily, "event_type", "day", "v").select("event_type", r("slope", 6), r("intercept"), r("forecast"))
+
+
+WEEK = "(SELECT user_id, [sum(value) FILTER (dayofweek(ts) = 0), sum(value) FILTER (dayofweek(ts) = 1), sum(value) FILTER (dayofweek(ts) = 2)] AS w, (user_id % 2)::INT AS label FROM events GROUP BY 1)"
+
+
+@query("i27_series_knn", f"""WITH s AS (SELECT user_id, label, round(coalesce(w[1], 0), 4) AS a, round(coalesce(w[2], 0), 4) AS b, round(coalesce(w[3], 0), 4) AS c FROM {WEEK}),
+n AS (SELECT x.user_id, y.label FROM s x JOIN s y ON x.user_id <> y.user_id QUALIFY row_number() OVER (PARTITION BY x.user_id ORDER BY round(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2)), 9), y.user_id) <= 3)
+SELECT user_id, label AS pred FROM (SELECT user_id, label, count(*) AS n FROM n GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, label) = 1""")
+def i27(spark, d):
+    day = lambda k: F.round(F.coalesce(F.sum(F.when(F.dayofweek("ts") == k + 1, F.col("value"))), F.lit(0.0)), 4)
+    s = table(spark, d, "events").groupBy("user_id").agg(F.array(day(0), day(1), day(2)).alias("series")).withColumn("label", (F.col("user_id") % 2).cast("int"))
+    return models.knn_predict(s, s, "user_id", "series", "label", 3, same=True).select("user_id", "pred")
+
+
+def edges(spark, d):
+    """Supplier to part edges of rare lines; parts are numbered from a million."""
+    li = table(spark, d, "lineitem").where("l_quantity = 50 and l_linenumber = 1")
+    return li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
+
+
+EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)"
+
+
+@query("i28_largest_component", f"""WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), r(node, seen) AS (SELECT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.seen),
+c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1) SELECT node, component FROM c WHERE component = (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""")
+def i28(spark, d):
+    return models.largest_component(edges(spark, d))
+
+
+@query("i29_spectral_embedding")
+def i29(spark, d):
+    return models.spectral_embedding(edges(spark, d), 2, 2)
+
+
+@query("i30_communities")
+def i30(spark, d):
+    return models.communities(edges(spark, d), 2)
+
+
+@query("i31_link_scores", f"""WITH e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), g AS (SELECT src, count(*) AS deg FROM e GROUP BY 1 HAVING deg >= 2), w AS (SELECT e.src AS via, e.dst AS n, deg FROM e JOIN g USING (src))
+SELECT a.n AS a, b.n AS b, count(*) AS common, round(sum(1 / ln(a.deg)), 6) AS adamic_adar FROM w a JOIN w b ON a.via = b.via AND a.n < b.n GROUP BY 1, 2""")
+def i31(spark, d):
+    return models.link_scores(edges(spark, d)).withColumn("adamic_adar", F.round("adamic_adar", 6))
+
+
+@query("i32_vertex_features")
+def i32(spark, d):
+    e = edges(spark, d)
+    labels = datasets.nodes_of(e).select(F.col("id").alias("node"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("class")).where(u("node") < 0.5)
+    return models.vertex_features(e, labels, ["even", "odd"])
+
+
+@query("i33_match_graphs")
+def i33(spark, d):
+    e = edges(spark, d)
+    other = e.select((F.col("src") + 5_000_000).alias("src"), (F.col("dst") + 5_000_000).alias("dst"))
+    nodes = datasets.nodes_of(e)
+    return models.match_graphs(e, other, nodes.where(u("id") < 0.5).select(F.col("id").alias("a"), (F.col("id") + 5_000_000).alias("b")), 1, 1)
+
+
+@query("j1_find_templates", "SELECT * FROM (VALUES ('dummy', 0), ('classification', 1), ('multiclass_jmi', 1), ('naive_bayes', 1), ('text', 1)) t(name, place) WHERE EXISTS (SELECT 1 FROM documents)")
+def j1(spark, d):
+    kinds = ["table", "text"] if "text" in table(spark, d, "documents").columns else ["table"]
+    return search.find_templates(search.templates(spark), "classification", kinds, ["multiClass"]).select("name", "place")
+
+
+@query("j2_to_pipeline")
+def j2(spark, d):
+    train, test = parts(spark, d)
+    fit = search.to_pipeline({"candidate_id": "a", "model": "decision_tree", "depth": 3}, FEATURES, "l_returnflag")
+    return models.predict(fit(train), test, "row_id")
+
+
+@query("j3_expand_grid", "SELECT s || '|' || p AS point, count(*) AS n FROM (SELECT DISTINCT o_orderstatus AS s FROM orders) CROSS JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders) JOIN orders ON o_orderstatus = s AND o_orderpriority = p GROUP BY 1")
+def j3(spark, d):
+    o = table(spark, d, "orders")
+    params = o.select(F.lit("p").alias("name"), F.col("o_orderpriority").alias("value")).distinct().union(o.select(F.lit("s"), "o_orderstatus").distinct())
+    points = relate.grid(params).select(F.col("params")["s"].alias("o_orderstatus"), F.col("params")["p"].alias("o_orderpriority"))
+    return points.join(o, ["o_orderstatus", "o_orderpriority"]).groupBy(F.concat_ws("|", "o_orderstatus", "o_orderpriority").alias("point")).agg(F.count("*").alias("n"))
+
+
+_SPACE_SQL = f"""SELECT point, 'depth' AS step, CAST(CAST(floor(lo + {{0}} * (hi - lo + 1)) AS BIGINT) AS VARCHAR) AS value FROM (SELECT range AS point, (SELECT min(p_size) FROM part) AS lo, (SELECT max(p_size) FROM part) AS hi FROM range(200))
+ UNION ALL SELECT range, 'loss', CASE WHEN {{1}} < 0.5 THEN 'a' ELSE '2' END FROM range(200)""".format(u_sql("'depth-' || point", "draw"), u_sql("'loss-' || range", "draw"))
+
+
+@query("j4_draw_points", _SPACE_SQL)
+def j4(spark, d):
+    ends = table(spark, d, "part").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi")).first()
+    return search.draw_points(spark, {"depth": [ends["lo"], ends["hi"]], "loss": ["a", 2]}, 200)
+
+
+@query("j5_candidate_stream", f"""WITH w AS (SELECT c_mktsegment AS name, round(sum(c_acctbal), 2) AS weight FROM customer GROUP BY 1), s AS (SELECT name, weight AS x, sum(weight) OVER (ORDER BY name) AS hi FROM w), t AS (SELECT sum(weight) AS t, count(*) AS k FROM w)
+SELECT row_number() OVER (ORDER BY weight DESC, name) - 1 AS turn, name FROM w UNION ALL SELECT draw + k, name FROM (SELECT range AS draw, {u_sql('range', 'stream')} * t AS u, k FROM range(50) CROSS JOIN t) JOIN s ON u < hi AND u >= hi - x""")
+def j5(spark, d):
+    w = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.round(F.sum("c_acctbal"), 2).alias("weight"))
+    return search.candidate_stream(w, 50)
+
+
+@query("j6_random_search", f"WITH s AS (SELECT DISTINCT c_mktsegment AS name FROM customer), k AS (SELECT name, row_number() OVER (ORDER BY name) AS hi, count(*) OVER () AS n FROM s) SELECT range AS draw, name FROM range(50) JOIN k ON {u_sql('range', 'uniform')} * n < hi AND {u_sql('range', 'uniform')} * n >= hi - 1")
+def j6(spark, d):
+    return search.random_search(table(spark, d, "customer").select(F.col("c_mktsegment").alias("name")).distinct(), 50)
+
+
+@query("j7_dimension_search")
+def j7(spark, d):
+    splits = split.nested_splits(lines(spark, d).select("row_id", *FEATURES, "l_returnflag"), "row_id")
+
+    def value(point: dict) -> float:
+        return search.evaluate([point | {"candidate_id": "x"}], splits, FEATURES, "l_returnflag", "row_id", "quick").where("metric = 'accuracy'").first()["value"]
+
+    _, tried = search.dimension_search({"model": "decision_tree", "depth": 2}, {"depth": [3, 4]}, value, 1)
+    return spark.createDataFrame([(p["model"], int(p["depth"]), float(v)) for p, v in tried], "model string, depth int, value double")
+
+
+HIST = f"(SELECT template_name, sum(sim_count) AS sim_count, sum(total_runtime) AS total_runtime, max(cv) FILTER (error IS NULL) AS cv, first(id ORDER BY cv DESC NULLS LAST, id) FILTER (error IS NULL) AS best_id FROM {REPORTS} GROUP BY 1)"
+NORM = "(SELECT template_name, " + ", ".join(f"greatest(0.01, least(1, coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0))) AS {c}" for c in ("sim_count", "total_runtime", "cv")) + f" FROM {HIST})"
+
+
+@query("j8_uct", f"""SELECT template_name, round(10 * cv * greatest(greatest(ln(10 * sim_count), 0), 1) + coalesce(sim_count / nullif(sqrt(2 * greatest(ln(n), 0)), 0), 0) + 4 * sqrt(2 * greatest(ln(t), 0) / total_runtime), 6) AS uct
+ FROM (SELECT *, sum(sim_count) OVER () AS n, sum(total_runtime) OVER () AS t FROM {NORM})""")
+def j8(spark, d):
+    return search.uct(search.normalize_history(search.update_history(reports(spark, d)))).select("template_name", r("uct", 6))
+
+
+@query("j9_evaluate")
+def j9(spark, d):
+    splits = split.nested_splits(lines(spark, d).select("row_id", *FEATURES, "l_returnflag"), "row_id")
+    points = [{"candidate_id": "a", "model": "decision_tree", "depth": 2}, {"candidate_id": "b", "model": "logistic_regression"}]
+    return search.evaluate(points, splits, FEATURES, "l_returnflag", "row_id", threads=2)
+
+
+@query("j10_cross_validate")
+def j10(spark, d):
+    li = split.split_kfold(lines(spark, d).select("row_id", *FEATURES, (F.col("l_linestatus") == "F").cast("double").alias("y")), "row_id", 3)
+    return spark.createDataFrame([(float(x),) for x in search.cross_validate(li, FEATURES, "y", LogisticRegression(maxIter=3), "fold", 3)], "f1 double")
+
+
+@query("j11_update_history", f"SELECT template_name, sim_count::BIGINT AS sim_count, total_runtime, round(cv, 6) AS cv, best_id FROM {HIST}")
+def j11(spark, d):
+    return search.update_history(reports(spark, d)).withColumn("cv", F.round("cv", 6))
+
+
+@query("j12_better", f"SELECT template_name, arg_max(id, (sub_pipelines * 1e7) + CASE WHEN sub_pipelines = 0 THEN -cv ELSE cv END) AS id FROM {REPORTS} GROUP BY 1")
+def j12(spark, d):
+    key = search.better_key(F.col("sub_pipelines"), F.col("cv"), F.col("sub_pipelines") == 1)
+    return reports(spark, d).groupBy("template_name").agg(F.max_by("id", key).alias("id"))
+
+
+@query("j13_normalize_history", f"SELECT template_name, round(sim_count, 6) AS sim_count, round(total_runtime, 6) AS total_runtime, round(cv, 6) AS cv FROM {NORM}")
+def j13(spark, d):
+    return search.normalize_history(search.update_history(reports(spark, d))).select("template_name", r("sim_count", 6), r("total_runtime", 6), r("cv", 6))
+
+
+@query("j14_best", f"SELECT id, template_name, rank FROM {REPORTS} QUALIFY row_number() OVER (PARTITION BY template_name ORDER BY rank NULLS LAST, id) = 1")
+def j14(spark, d):
+    return search.best(reports(spark, d), ["template_name"]).select("id", "template_name", "rank")
+
+
+@query("j15_top_ranked", f"SELECT id, rank, 'kept' AS part FROM (SELECT * FROM {REPORTS} ORDER BY rank NULLS LAST, id LIMIT 20) UNION ALL SELECT id, rank, 'removed' FROM (SELECT * FROM {REPORTS} ORDER BY rank NULLS LAST, id OFFSET 20)")
+def j15(spark, d):
+    rs = reports(spark, d)
+    return search.top_ranked(rs, 20).select("id", "rank", F.lit("kept").alias("part")).unionByName(search.removed(rs, 20).select("id", "rank", F.lit("removed").alias("part")))
+
+
+@query("j16_best_per_model", f"SELECT model, id, rank FROM {REPORTS} QUALIFY row_number() OVER (PARTITION BY model ORDER BY rank NULLS LAST, id) = 1")
+def j16(spark, d):
+    return search.best_per_model(reports(spark, d)).select("model", "id", "rank")
+
+
+@query("j17_most_diverse", f"""WITH p AS (SELECT a.candidate_id AS a, b.candidate_id AS b, avg((a.pred = b.pred)::INT) AS s FROM {PREDS} a JOIN {PREDS} b ON a.row_id = b.row_id AND a.candidate_id < b.candidate_id GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (ORDER BY round(s, 9), a, b) AS place FROM p), i AS (SELECT a AS id, place * 2 AS o FROM k UNION ALL SELECT b, place * 2 + 1 FROM k) SELECT id FROM i GROUP BY 1 ORDER BY min(o) LIMIT 3""")
+def j17(spark, d):
+    return search.most_diverse(relate.pair_similarity(candidates(spark, d)), 3)
+
+
+@query("j18_top_simple", f"SELECT id, rank FROM {REPORTS} WHERE sub_pipelines = 0 ORDER BY rank NULLS LAST, id LIMIT 3")
+def j18(spark, d):
+    return search.top_simple(reports(spark, d)).select("id", "rank")
+
+
+@query("j19_fit_score")
+def j19(spark, d):
+    train, test = parts(spark, d)
+    p = models.predict(models.fit_classifier("decision_tree", train, FEATURES, "l_returnflag"), test, "row_id").join(test.select("row_id", F.col("l_returnflag").alias("truth")), "row_id")
+    p = p.withColumns({"candidate_id": F.lit("a"), "fold": F.lit(0), "target": F.lit("l_returnflag")})
+    return metrics.normalize_score(metrics.score(p, ["accuracy", "f1Macro", "normalizedMutualInformation"]))
+
+
+@query("j20_produce")
+def j20(spark, d):
+    train, test = parts(spark, d)
+    at = datasets.save_fitted(models.fit_classifier("logistic_regression", train, FEATURES, "l_returnflag"), folder(spark, "produce"), "f")
+    return search.produce(at, test.drop("l_returnflag"), "row_id")
+
+
+@query("j21_scores_of", f"SELECT fid, 'f1Macro' AS metric, round(cv, 6) AS value FROM {REPORTS} WHERE fid = 'f7' UNION ALL SELECT fid, 'runtime', total_runtime FROM {REPORTS} WHERE fid = 'f7'")
+def j21(spark, d):
+    held = reports(spark, d).withColumn("test_metrics", F.array(F.struct(F.lit("f1Macro").alias("metric"), F.round("cv", 6).alias("value")), F.struct(F.lit("runtime").alias("metric"), F.col("total_runtime").alias("value"))))
+    return search.scores_of(held, "f7")
+
+
+@query("j22_failures", f"SELECT template_name AS template, model AS step, 'ValueError' AS exception, count(*) AS n FROM {REPORTS} WHERE error IS NOT NULL GROUP BY 1, 2, 3")
+def j22(spark, d):
+    bad = reports(spark, d).where("error is not null").select(F.col("template_name").alias("template"), F.col("model").alias("step"), F.regexp_extract("error", r"^(\w+)", 1).alias("exception"))
+    return search.failures(bad)
+
+
+def stored(spark, d):
+    """Reports as files of a folder, for streams."""
+    at = folder(spark, "reports")
+    reports(spark, d).select("id", "template_name", "cv", "rank", "finished_at", "error").repartition(2).write.parquet(at)
+    return at
+
+
+@query("k1_stream_reports", f"SELECT id, cv FROM {REPORTS} WHERE error IS NULL")
+def k1(spark, d):
+    return streams.drain(streams.stream_reports(streams.read_reports(spark, stored(spark, d))).select("id", "cv"), folder(spark, "k1"))
+
+
+@query("k2_stream_best", f"SELECT template_name, arg_max(id, cv) AS id, max(cv) AS cv, count(*) AS reports FROM {REPORTS} WHERE error IS NULL GROUP BY 1")
+def k2(spark, d):
+    return streams.drain(streams.stream_best(streams.read_reports(spark, stored(spark, d), per_batch=1)), folder(spark, "k2"), "complete")
+
+
+@query("k3_stream_dedupe", f"SELECT id, template_name FROM {REPORTS}")
+def k3(spark, d):
+    at = folder(spark, "twice")
+    rs = reports(spark, d).select("id", "template_name", "cv", "rank", "finished_at", "error")
+    rs.unionByName(rs).write.parquet(at)
+    return streams.drain(streams.stream_dedupe(streams.read_reports(spark, at), "400 weeks").select("id", "template_name"), folder(spark, "k3"))
+
+
+@query("k4_drop_late", f"SELECT id FROM {REPORTS} WHERE finished_at <= TIMESTAMP '1998-01-01'")
+def k4(spark, d):
+    return streams.drain(streams.drop_late(streams.read_reports(spark, stored(spark, d)), "1998-01-01").select("id"), folder(spark, "k4"))
+
+
+def samples(spark, d):
+    at = folder(spark, "samples")
+    table(spark, d, "events").select(F.col("user_id").alias("pid"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cpu")).repartition(2).write.parquet(at)
+    return spark.readStream.schema("pid long, ts timestamp, cpu double").parquet(at)
+
+
+@query("k5_stream_usage", "SELECT date_trunc('day', ts) AS start, user_id AS pid, count(*) AS samples, round(avg(value), 4) AS cpu FROM events GROUP BY 1, 2")
+def k5(spark, d):
+    out = streams.drain(streams.stream_usage(samples(spark, d), "1 day", "60 days"), folder(spark, "k5"), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "pid", "samples", r("cpu"))
+
+
+@query("k6_stream_produce")
+def k6(spark, d):
+    train, test = parts(spark, d)
+    rows = scratch(test.select("row_id", *FEATURES), "rows")
+    at = folder(spark, "rows")
+    rows.write.parquet(at)
+    model = models.fit_classifier("logistic_regression", train, FEATURES, "l_returnflag")
+    return streams.drain(streams.stream_produce(model, spark.readStream.schema(rows.schema).parquet(at), "row_id"), folder(spark, "k6"))
+
+
+@query("l1_user_step")
+def l1(spark, d):
+    from pyspark.ml.feature import Binarizer
+
+    if "binarize" not in user.STEPS:
+        user.register_step("binarize", Binarizer)
+    return user.make_step("binarize", threshold=900.0, inputCol="p_retailprice", outputCol="dear").transform(table(spark, d, "part").select("p_partkey", "p_retailprice"))
+
+
+@query("l2_map_rows", "SELECT event_id, value * 2 AS value FROM events")
+def l2(spark, d):
+    return user.map_rows(table(spark, d, "events").select("event_id", "value"), user.half_up, "event_id long, value double")
+
+
+@query("l3_metric_udf", "SELECT user_id % 5 AS fold, round(avg(abs(value - 20)), 6) AS value FROM events GROUP BY 1")
+def l3(spark, d):
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("fold"), "value", F.lit(20.0).alias("pred"))
+    return e.groupBy("fold").agg(F.round(user.metric_udf(user.mean_absolute)("value", "pred"), 6).alias("value"))
+
+
+@query("l4_explode_udtf", "SELECT o_orderkey, 0::INT AS part, split_part(o_orderpriority, '-', 1) AS word FROM orders UNION ALL SELECT o_orderkey, 1, split_part(o_orderpriority, '-', 2) FROM orders")
+def l4(spark, d):
+    split_words = user.explode_udtf(user.tokens_of, "part int, word string")
+    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority").lateralJoin(split_words(F.col("o_orderpriority").outer())).select("o_orderkey", "part", "word")
