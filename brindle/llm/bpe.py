@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -181,6 +182,12 @@ class WordEncoder:
         return gather(ids, starts, lengths, both.ravel()), lengths[both].sum(axis=1)
 
 
+@functools.lru_cache(maxsize=2)
+def word_encoder(path: str, split: str) -> WordEncoder:
+    """One encoder for each worker process: a tokenizer is slow to load and slow to give its memory back."""
+    return WordEncoder(path, split)
+
+
 def _encoder(path: str, split: str):
     """Encodes the words of one part, each distinct one once, and gives every chunk its own."""
 
@@ -193,7 +200,7 @@ def _encoder(path: str, split: str):
             ends = np.cumsum(lengths).tolist()
             at = np.fromiter((known[letters[a:b]] for a, b in zip([0, *ends], ends, strict=False)), np.int64)
             wanted.append((places, at))
-        ids, lengths = WordEncoder(path, split)(list(known))
+        ids, lengths = word_encoder(path, split)(list(known))
         starts = np.cumsum(lengths) - lengths
         return pd.DataFrame({
             "chunk": rows["chunk"],
