@@ -196,10 +196,10 @@ def e12(spark, d):
     return select.prune_similar(means.select(F.col("ord").cast("string").alias("column"), "ord", "vec"))
 
 
-@query("e13_synthesize_single", "SELECT o_orderkey, round(o_totalprice / nullif(o_custkey, 0), 4) AS ratio, length(o_orderpriority) AS o_orderpriority_length, year(o_orderdate)::INT AS o_orderdate_year, month(o_orderdate)::INT AS o_orderdate_month, day(o_orderdate)::INT AS o_orderdate_day FROM orders")
+@query("e13_synthesize_single", "SELECT o_orderkey, round(o_totalprice / nullif(o_custkey, 0), 7) AS ratio, length(o_orderpriority) AS o_orderpriority_length, year(o_orderdate)::INT AS o_orderdate_year, month(o_orderdate)::INT AS o_orderdate_month, day(o_orderdate)::INT AS o_orderdate_day FROM orders")
 def e13(spark, d):
     x = select.synthesize_single(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], ["o_orderpriority"], ["o_orderdate"])
-    return x.select("o_orderkey", F.round("o_totalprice_per_o_custkey", 4).alias("ratio"), "o_orderpriority_length", "o_orderdate_year", "o_orderdate_month", "o_orderdate_day")
+    return x.select("o_orderkey", F.round("o_totalprice_per_o_custkey", 7).alias("ratio"), "o_orderpriority_length", "o_orderdate_year", "o_orderdate_month", "o_orderdate_day")
 
 
 @query("e14_synthesize_multi", """SELECT c_custkey, coalesce(n, 0) AS orders_count, round(s, 2) AS total, round(a, 6) AS mean, lo, hi, round(sd, 6) AS sd, k AS statuses FROM customer LEFT JOIN
@@ -217,10 +217,10 @@ def f1(spark, d):
     return x.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "o_totalprice", "c_mktsegment", "n_name", "r_name")
 
 
-@query("f2_augment", "SELECT c_custkey, round(a, 4) AS aug_o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS a FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+@query("f2_augment", "SELECT c_custkey, round(a, 6) AS aug_o_totalprice FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS a FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def f2(spark, d):
     x = relate.augment(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders"), {"c_custkey": "o_custkey"}, ["o_totalprice"])
-    return x.select("c_custkey", r("aug_o_totalprice"))
+    return x.select("c_custkey", r("aug_o_totalprice", 6))
 
 
 @query("f3_discover_joins", """SELECT 'o_custkey' AS "column", 'customer' AS "table", 'c_custkey' AS other, round(count(c_custkey) / count(*), 6) AS score FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT DISTINCT c_custkey FROM customer) ON c_custkey = o_custkey
@@ -231,10 +231,10 @@ def f3(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("f4_augment_all", "SELECT c_custkey, round(a, 4) AS aug_o_totalprice, round(b, 4) AS aug_s_acctbal FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS a FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) AS b FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey")
+@query("f4_augment_all", "SELECT c_custkey, round(a, 6) AS aug_o_totalprice, round(b, 6) AS aug_s_acctbal FROM customer LEFT JOIN (SELECT o_custkey, avg(o_totalprice) AS a FROM orders GROUP BY 1) ON o_custkey = c_custkey LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) AS b FROM supplier GROUP BY 1) ON s_nationkey = c_nationkey")
 def f4(spark, d):
     steps = [(table(spark, d, "orders"), {"c_custkey": "o_custkey"}, ["o_totalprice"]), (table(spark, d, "supplier"), {"c_nationkey": "s_nationkey"}, ["s_acctbal"])]
-    return relate.augment_all(table(spark, d, "customer"), steps)[0].select("c_custkey", r("aug_o_totalprice"), r("aug_s_acctbal"))
+    return relate.augment_all(table(spark, d, "customer"), steps)[0].select("c_custkey", r("aug_o_totalprice", 6), r("aug_s_acctbal", 6))
 
 
 @query("f5_join_truth", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'o_orderstatus' AS target, o_orderstatus AS truth, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE o_orderstatus END AS pred FROM orders")

@@ -210,7 +210,7 @@ def h17(spark, d):
     return metrics.with_seed(metrics.combine_folds([o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1")]), 4767)
 
 
-@query("h18_rank_value", f"SELECT o_orderkey, round(CASE WHEN o_custkey % 2 = 0 THEN CASE WHEN o_totalprice - 100000 > 0 THEN 1 / (o_totalprice - 100000) ELSE 1e5 END ELSE o_totalprice - 100000 END * (1 + 1e-4 * {u_sql('o_orderkey', 'rank')}), 6) AS rank FROM orders")
+@query("h18_rank_value", f"SELECT o_orderkey, round(CASE WHEN o_custkey % 2 = 0 THEN CASE WHEN o_totalprice - 100000 > 0 THEN 1 / (o_totalprice - 100000) ELSE 1e5 END ELSE o_totalprice - 100000 END * (1 + 1e-4 * {u_sql('o_orderkey', 'rank')}), 4) AS rank FROM orders")
 def h18(spark, d):
     o = table(spark, d, "orders")
-    return o.select("o_orderkey", F.round(metrics.rank_value(F.col("o_totalprice") - 100000, F.col("o_custkey") % 2 == 0, F.col("o_orderkey")), 6).alias("rank"))
+    return o.select("o_orderkey", F.round(metrics.rank_value(F.col("o_totalprice") - 100000, F.col("o_custkey") % 2 == 0, F.col("o_orderkey")), 4).alias("rank"))
