@@ -32,6 +32,8 @@ SHARED = 15
 WANTED = 1 << 20
 #: 64-bit words of a document's bitmap (the parity of its shingles by slot).
 BITS = 64
+#: Rounds in which components that meet in a list are joined by a few pairs, before all pairs are looked at.
+JOINING = 3
 #: Members of a list that one task compares with each other.
 BLOCK = 4096
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -269,40 +271,68 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def _compare(percent: int):
-    """Pairs of a list's members from different components that size and bitmaps allow to link."""
+def _compare(percent: int, at_once: int = 1 << 20):
+    """Pairs of a list's members from different components that size and bitmaps allow to link. All lists of
+    a group are worked on together: each entry meets the next one of its list, then the one after, ..."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, own in rows.groupby("list", sort=False):
-            ids, n = own["id"].to_numpy(), own["n"].to_numpy()
-            labels = pd.factorize(own["label"])[0]
-            bits = np.frombuffer(b"".join(own["bits"]), np.uint64).reshape(-1, BITS)
-            mine, other = own["block"].to_numpy() == own["low"].to_numpy(), own["block"].to_numpy() == own["high"].to_numpy()
-            common = np.bincount(labels).argmax()
-            for i in np.flatnonzero(mine if not (mine & other).all() else labels != common):
-                ok = other & (labels != labels[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                if (mine & other).all():  # each pair once: those outside the common component among themselves
-                    ok &= (labels == common) | (np.arange(len(n)) > i)
-                at = np.flatnonzero(ok)
-                if len(at):
-                    apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-                    # overlap >= p (x + y) / (100 + p) leaves at most (100 - p) (x + y) / (100 + p) apart
-                    at = at[(100 + percent) * apart <= (100 - percent) * (n[at] + n[i])]
-                    out_a.append(np.minimum(ids[at], ids[i]))
-                    out_b.append(np.maximum(ids[at], ids[i]))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+        rows = rows.sort_values(["list", "id"], kind="stable")
+        lists, ids, n, block = (rows[c].to_numpy() for c in ("list", "id", "n", "block"))
+        labels = pd.factorize(rows["label"])[0]
+        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITS)
+        whole = rows["low"].iloc[0] == rows["high"].iloc[0]  # else only pairs from the two blocks
+        ends = np.searchsorted(lists, lists, side="right")
+        found, held, size = [np.zeros((0, 2), np.int64)], [], 0
+
+        def sift() -> None:
+            """A pair stands in many lists: it is looked at once."""
+            nonlocal held, size
+            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+            pairs = np.stack([ids[i], ids[j]], axis=1)
+            _, first = np.unique(pairs, axis=0, return_index=True)
+            i, j, pairs = i[first], j[first], pairs[first]
+            for at in range(0, len(i), 1 << 14):
+                x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                # overlap >= p (x + y) / (100 + p) leaves at most (100 - p) (x + y) / (100 + p) apart
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                found.append(pairs[at : at + (1 << 14)][(100 + percent) * apart <= (100 - percent) * (n[x] + n[y])])
+            held, size = [], 0
+
+        alive, step = np.arange(len(ids)), 0
+        while len(alive):
+            step += 1
+            alive = alive[ends[alive] > alive + step]
+            j = alive + step
+            ok = (labels[alive] != labels[j]) & (100 * np.minimum(n[alive], n[j]) >= percent * np.maximum(n[alive], n[j]))
+            if not whole:
+                ok &= block[alive] != block[j]
+            if ok.any():
+                held.append((alive[ok], j[ok]))
+                size += int(ok.sum())
+            if size > at_once:
+                sift()
+        if held:
+            sift()
+        out = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
     return run
 
 
+def _labelled(sets: DataFrame, links: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, label, ...) of every class with a set; a class without a link is its own label."""
+    labels = components(links).withColumnRenamed("node", "digest")
+    named = sets.select("id", "digest", *more).join(labels, "digest", "left")
+    return named.select("id", F.coalesce("label", "digest").alias("label"), *more)
+
+
 def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, links). Documents: (doc_id, n, digest), the digest names the class of equal sets.
     Links: (a, b) between classes, enough of them that every two classes that a link joins are connected.
 
     No pair is left out that could join two components: first every class is held against the smallest
-    member of the lists that it shares most; then, list by list, all pairs of members that are still in
-    different components.
+    member of the lists that it shares most, then a few pairs of each two components that meet, and last,
+    list by list, all pairs of members that are still in different components.
     """
     spark = docs.sparkSession
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -325,13 +355,21 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     sets = marked(docs, wanted).select("text").mapInArrow(_sets(words), "id long, digest binary, n long, set binary, bits binary")
     sets = scratch(sets.join(lists.select("id").distinct(), "id", "left_semi"), "jaccard-sets")
     shared = lists.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count("*").alias("shared"))
+    shared = scratch(shared, "jaccard-shared")
     stars = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b"))
     # classes that share a number are candidates of each other
     twins = sets.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
     links = scratch(verified(stars.union(twins), sets, percent), "jaccard-links")
-    labels = components(links)
-    members = sets.select("id", "digest", "n", "bits").join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    members = members.select("id", "n", "bits", F.coalesce("label", "digest").alias("label"))
+    for turn in range(JOINING):  # a few pairs for each two components that meet in a list
+        named = scratch(_labelled(sets, links).select("id", F.xxhash64("label").alias("label")), "jaccard-labels")
+        met = shared.join(named.withColumnRenamed("label", "x"), "id").join(named.select(F.col("id").alias("pivot"), F.col("label").alias("y")), "pivot").where("x != y")
+        key = (F.least("x", "y").alias("l"), F.greatest("x", "y").alias("h"), F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(JOINING)).alias("k"))
+        tries = met.groupBy(*key).agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("pivot").alias("b")), F.struct("shared", F.xxhash64("id", "pivot", F.lit(turn)))).alias("t"))
+        more = scratch(verified(tries.select("t.*").distinct(), sets, percent), "jaccard-links")
+        if more.isEmpty():
+            break
+        links = scratch(links.union(more), "jaccard-links")
+    members = scratch(_labelled(sets, links, ("n", "bits")), "jaccard-members")
     spread = lists.select("list", "id").join(members.select("id", "label"), "id").groupBy("list")
     open_lists = spread.agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("k")).where("l != h")
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
