@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ _WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
 #: A word goes to the same part with any of these around it.
 _MARKS = b" .,;:!?%&$#*"
-_CHUNKS = "chunk long, part int, doc_id {id}, first binary, second binary"
+_CHUNKS = "chunk long, part int, doc_id string, first binary, second binary"
 _IDS = "chunk long, places binary, lengths binary, ids binary"
 
 
@@ -212,7 +212,7 @@ def _encoder(path: str, split: str):
     return run
 
 
-def _joiner(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+def _joined(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """Puts the ids of a chunk's words in their places in its documents."""
     places = [_unpack(x, np.uint32) for x in words["places"]]
     lengths = [_unpack(x, np.uint32) for x in words["lengths"]]
@@ -226,7 +226,7 @@ def _joiner(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": docs["doc_id"], "ids": [gather(values, starts_by, lengths_by, b).tobytes() for b in bodies]})
 
 
-def encode_documents(docs: DataFrame, path: str, split: str = "bytes", store: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, split: str = "bytes", store: bool = False, then: tuple[Callable[[pd.DataFrame], pd.DataFrame], str] | None = None) -> DataFrame:
     """(doc_id, ids) of ``docs(doc_id, text)``: ids as little-endian unsigned 32-bit integers, as the
     tokenizers library encodes the whole text with the file ``path`` and without special tokens.
 
@@ -234,19 +234,27 @@ def encode_documents(docs: DataFrame, path: str, split: str = "bytes", store: bo
     one, ``spaces`` for one that drops white space. Tasks split their documents into units and send each
     distinct one to its hash part; a part encodes each distinct unit once; the ids go back to the chunk
     and into place. ``store`` keeps the split documents in shared scratch space: more disk, less time.
+    ``then``: what to make of each chunk's (doc_id, ids) in the same worker, and the columns besides doc_id.
 
     A null text is empty and has no ids; repeated rows are encoded each; a null doc_id is kept; an empty
     table gives none. Texts of any length are whole. Other columns are not read.
     """
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = docs.mapInArrow(_chunker(split, parts), _CHUNKS.format(id=kind))
+    docs = docs.select(F.col("doc_id").cast("string"), "text")  # pandas would make a long column with nulls double
+    chunks = docs.mapInArrow(_chunker(split, parts), _CHUNKS)
     chunks = scratch(chunks, "bpe-chunks") if store else chunks
     words = chunks.where("part >= 0").groupBy("part").applyInPandas(_encoder(path, split), _IDS)
     bodies = chunks.where("part < 0").groupBy("chunk")
-    return bodies.cogroup(words.groupBy("chunk")).applyInPandas(_joiner, f"doc_id {kind}, ids binary")
+    finish, columns = then or (None, "ids binary")
+
+    def join(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        found = _joined(docs, words)
+        return finish(found) if finish else found
+
+    whole = bodies.cogroup(words.groupBy("chunk")).applyInPandas(join, f"doc_id string, {columns}")
+    return whole.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def pieces_of(spark: SparkSession, path: str) -> DataFrame:
@@ -258,42 +266,60 @@ def pieces_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
+class Pieces:
+    """The pieces of a vocabulary, to be looked up by id. It is bounded by the vocabulary: 16 MB here."""
+
+    def __init__(self, pieces: DataFrame) -> None:
+        known = pieces.orderBy("id").toPandas()
+        size = int(known["id"].max()) + 1 if len(known) else 0
+        if known["piece"].map(len).sum() > 16 << 20:
+            raise ValueError("a vocabulary of over 16 MB")
+        self.lengths = np.zeros(size, np.int64)
+        self.lengths[known["id"]] = known["piece"].map(len)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.values = np.frombuffer(b"".join(known["piece"]), np.uint8)
+
+    def text(self, blob: bytes | None) -> str:
+        ids = np.frombuffer(blob or b"", "<u4").astype(np.int64)
+        return gather(self.values, self.starts, self.lengths, ids[ids < len(self.lengths)]).tobytes().decode("utf-8", "replace")
+
+
 def decode_documents(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Add ``text`` to ``encoded(doc_id, ids, ...)`` by looking every id up in ``pieces(id, piece)``.
+    """Add ``text`` to ``encoded(doc_id, ids, ...)`` by a join of every id with ``pieces(id, piece)``.
 
-    The pieces are the vocabulary, bounded by its size (16 MB here), so each task joins against a copy.
-    An id that the vocabulary lacks has no piece; bytes that are no UTF-8 become U+FFFD.
+    The pieces are the vocabulary, so each task has a copy to join with. An id that the vocabulary lacks
+    has no piece; bytes that are no UTF-8 become U+FFFD; null ids are none.
     """
-    known = pieces.orderBy("id").toPandas()
-    size = int(known["id"].max()) + 1 if len(known) else 0
-    if known["piece"].map(len).sum() > 16 << 20:
-        raise ValueError("a vocabulary of over 16 MB")
-    lengths = np.zeros(size, np.int64)
-    lengths[known["id"]] = known["piece"].map(len)
-    starts = np.cumsum(lengths) - lengths
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(known["piece"]), np.uint8), starts, lengths))
+    shared = encoded.sparkSession.sparkContext.broadcast(Pieces(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, starts, lengths = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, _DECODED):  # small batches go on, so no worker holds many texts
-                batch, out = whole.slice(at, _DECODED), []
-                for blob in batch.column("ids"):
-                    ids = np.frombuffer(blob.as_py() or b"", "<u4").astype(np.int64)
-                    out.append(gather(values, starts, lengths, ids[ids < len(lengths)]).tobytes().decode("utf-8", "replace"))
+                batch = whole.slice(at, _DECODED)
+                out = [shared.value.text(blob.as_py()) for blob in batch.column("ids")]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "text"])
 
     kept = encoded.drop("text")
     return kept.mapInArrow(run, kept.withColumn("text", F.lit("")).schema)
 
 
+def round_trip(docs: DataFrame, path: str, split: str = "bytes") -> DataFrame:
+    """(doc_id, ids, text): documents encoded, and decoded again where the ids are put together."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(Pieces(pieces_of(spark, path)))
+
+    def decode(found: pd.DataFrame) -> pd.DataFrame:
+        return found.assign(text=[shared.value.text(x) for x in found["ids"]])
+
+    return encode_documents(docs, path, split, then=(decode, "ids binary, text string"))
+
+
 @query("op7_bpe_round_trip")
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode its ids again, and return digests of both."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = encode_documents(table(spark, sf_dir, "documents"), path)
-    decoded = decode_documents(encoded, pieces_of(spark, path))
+    decoded = round_trip(table(spark, sf_dir, "documents"), path)
     n = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return decoded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

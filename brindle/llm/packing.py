@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,30 +109,28 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _cutter(capacity: int, end: int, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.uint32(end).tobytes()
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc, ids in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
-                doc, blob = doc.as_py(), ids.as_py() + last
-                for k, at in enumerate(range(0, len(blob), 4 * capacity)):
-                    own = blob[at : at + 4 * capacity]
-                    for column, x in zip(rows, (doc, k, at // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
-                        column.append(x)
-            kinds = [batch.column("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)][: 5 + with_ids], names=names[: 5 + with_ids])
-
-    return run
+    last = np.uint32(end).tobytes()
+
+    def cut(found: pd.DataFrame) -> pd.DataFrame:
+        rows: list[list] = [[], [], [], [], [], []]
+        for doc, ids in zip(found["doc_id"], found["ids"], strict=True):
+            blob = ids + last
+            for k, at in enumerate(range(0, len(blob), 4 * capacity)):
+                own = blob[at : at + 4 * capacity]
+                for column, x in zip(rows, (doc, k, at // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
+                    column.append(x)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+        kinds = [found["doc_id"].dtype, "int32", "int64", "int64", "int64", object]
+        return pd.DataFrame({c: pd.Series(r, dtype=k) for c, r, k in list(zip(names, rows, kinds, strict=True))[: 5 + with_ids]})
+
+    return cut
 
 
 def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = True) -> DataFrame:
     """Encode ``docs(doc_id, text)``, end each with the id ``end`` and cut it into pieces of ``capacity``
     ids: (doc_id, piece, start, length, ids_crc32, ids). A null or empty text is one piece, the end id."""
-    encoded = encode_documents(docs, path, split="spaces", store=True)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return encoded.mapInArrow(_cutter(capacity, end, with_ids), schema)
+    columns = "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return encode_documents(docs, path, split="spaces", store=True, then=(_cutter(capacity, end, with_ids), columns))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
