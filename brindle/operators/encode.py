@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from brindle.operators.schema import cols_to_vector, vector_to_cols
 
 
+#: Columns that one source column may become.
+MAX_COLUMNS = 1_000
+
+
 def top_values(df: DataFrame, column: str, n: int) -> list:
     """The ``n`` most frequent values, ties by value; never more than ``n`` reach the driver."""
     rows = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
@@ -37,7 +41,7 @@ def label_index(df: DataFrame, column: str) -> DataFrame:
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:
     """D2. Values to numbers by descending frequency; null stays null."""
-    return df.join(F.broadcast(label_index(df, column).limit(100_000)), F.col(column) == F.col("value"), "left").withColumnRenamed("label", out).drop("value")
+    return df.join(label_index(df, column), F.col(column) == F.col("value"), "left").withColumnRenamed("label", out).drop("value")
 
 
 def label_decode(df: DataFrame, index: DataFrame, column: str, out: str) -> DataFrame:
@@ -65,8 +69,11 @@ def binary_encode(df: DataFrame, column: str, min_values: int = 17) -> DataFrame
 
 
 def unary_encode(df: DataFrame, column: str) -> DataFrame:
-    """D5. Thermometer code of the sorted distinct values: column k is 1 from value k on."""
-    values = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(1_000).collect()]
+    """D5. Thermometer code of the sorted distinct values: column k is 1 from value k on. More values than
+    MAX_COLUMNS raise, since each is a column."""
+    values = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).limit(MAX_COLUMNS + 1).collect()]
+    if len(values) > MAX_COLUMNS:
+        raise ValueError(f"{column} has more than {MAX_COLUMNS} values")
     return df.withColumns({f"{column}_ge{k}": F.coalesce((F.col(column) >= F.lit(v)).cast("int"), F.lit(0)) for k, v in enumerate(values)})
 
 
@@ -83,7 +90,9 @@ def text_encode(df: DataFrame, key: str, text: str, target: str) -> DataFrame:
     classes = df.select(F.col(target).alias("class")).where("class is not null").distinct()
     v = classes.count()
     grid = counts.groupBy("token").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct(target, "n"))).alias("by"))
-    names = sorted(r[0] for r in classes.limit(1_000).collect())
+    if v > MAX_COLUMNS:
+        raise ValueError(f"{target} has more than {MAX_COLUMNS} classes")
+    names = sorted(r[0] for r in classes.collect())
     weights = grid.select("token", *[F.log((F.coalesce(F.try_element_at("by", F.lit(c)), F.lit(0)) + 1) / (F.col("total") + v)).alias(f"w_{c}") for c in names])
     means = words.join(weights, "token").groupBy(key).agg(*[F.avg(f"w_{c}").alias(f"{text}_{c}") for c in names])
     return df.join(means, key, "left").fillna(0.0, [f"{text}_{c}" for c in names])

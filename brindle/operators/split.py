@@ -8,20 +8,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.keys import u
+from brindle.operators.ranks import blocks_of, number_rows, quantile_blocks
+
+#: Weights that are broadcast at most.
+MAX_WEIGHTS = 100_000
+
+
+def _shuffled(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds _nth (from 1) and _all: the place in the order of the key's bucket and the size of the group."""
+    tossed = df.withColumn("_u", u(key))
+    return number_rows(tossed, by, blocks_of(F.col("_u"), df.count()), ["_u", key], "_nth", "_all").drop("_u")
 
 
 def split_holdout(df: DataFrame, key: str, test: float = 0.1, stratify: str | None = None) -> DataFrame:
     """G1. Adds part: the last ``test`` share of each stratum, in the order of the key's bucket, is ``test``."""
-    own = [stratify] if stratify else []
-    w = Window.partitionBy(*own) if own else Window.partitionBy(F.lit(0))
-    nth, n = F.row_number().over(w.orderBy("_u", key)), F.count("*").over(w)
-    return df.withColumn("_u", u(key)).withColumn("part", F.when(nth > n - F.floor(n * test), "test").otherwise("train")).drop("_u")
+    placed = _shuffled(df, key, [stratify] if stratify else [])
+    late = F.col("_nth") > F.col("_all") - F.floor(F.col("_all") * test)
+    return placed.withColumn("part", F.when(late, "test").otherwise("train")).drop("_nth", "_all")
+
+
+def _folds(placed: DataFrame, n: int) -> DataFrame:
+    return placed.withColumn("fold", ((F.col("_nth") - 1) % n).cast("int")).drop("_nth", "_all")
 
 
 def split_kfold(df: DataFrame, key: str, n: int = 5) -> DataFrame:
     """G2. Adds fold: the place in the order of the key's bucket, modulo ``n``."""
-    w = Window.partitionBy(F.lit(0)).orderBy("_u", key)
-    return df.withColumn("_u", u(key)).withColumn("fold", ((F.row_number().over(w) - 1) % n).cast("int")).drop("_u")
+    return _folds(_shuffled(df, key), n)
 
 
 def split_stratified(df: DataFrame, key: str, target: str, n: int = 5) -> DataFrame:
@@ -29,13 +41,17 @@ def split_stratified(df: DataFrame, key: str, target: str, n: int = 5) -> DataFr
     least = df.groupBy(target).count().agg(F.min("count")).first()[0]
     if least is None or least < n:
         return split_kfold(df, key, n)
-    w = Window.partitionBy(target).orderBy("_u", key)
-    return df.withColumn("_u", u(key)).withColumn("fold", ((F.row_number().over(w) - 1) % n).cast("int")).drop("_u")
+    return _folds(_shuffled(df, key, [target]), n)
 
 
 def split_time(df: DataFrame, ts: str, key: str, n: int = 5) -> DataFrame:
-    """G4. Adds tile, 1 to n + 1, by time; fold k trains on tiles up to k and tests on tile k + 1."""
-    return df.withColumn("tile", F.ntile(n + 1).over(Window.partitionBy(F.lit(0)).orderBy(ts, key)))
+    """G4. Adds tile, 1 to n + 1, by time; fold k trains on tiles up to k and tests on tile k + 1. The first
+    tiles take one row more where the rows don't divide evenly."""
+    placed = number_rows(df, (), quantile_blocks(df, ts, df.count()), [ts, key], "_nth", "_all")
+    tiles, at = n + 1, F.col("_nth") - 1
+    size, more = F.floor(F.col("_all") / tiles), F.col("_all") % tiles
+    tile = F.when(at < more * (size + 1), F.floor(at / (size + 1))).otherwise(more + F.floor((at - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return placed.withColumn("tile", (tile + 1).cast("int")).drop("_nth", "_all")
 
 
 def nested_splits(df: DataFrame, key: str, folds: int = 5, ensemble: float = 0.0, can_split: bool = True) -> DataFrame:
@@ -56,9 +72,12 @@ def weighted_sample(df: DataFrame, key: str, weight: str, k: int, seed: str = ""
 
 
 def weighted_choice(df: DataFrame, key: str, weight: str, n: int, seed: str = "") -> DataFrame:
-    """G7. ``n`` draws with replacement from a small table of weights: (draw, key)."""
+    """G7. ``n`` draws with replacement from a table of weights: (draw, key). The weights are broadcast, so
+    a table of more than MAX_WEIGHTS rows raises."""
+    if df.count() > MAX_WEIGHTS:
+        raise ValueError(f"more than {MAX_WEIGHTS} weights")
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     sums = df.select(key, F.col(weight).alias("_w"), F.sum(weight).over(w).alias("_hi"))
     total = df.agg(F.sum(weight)).first()[0]
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (u("id", seed) * F.lit(float(total))).alias("_u"))
-    return draws.join(F.broadcast(sums.limit(100_000)), (F.col("_u") < F.col("_hi")) & (F.col("_u") >= F.col("_hi") - F.col("_w"))).select("draw", key)
+    return draws.join(F.broadcast(sums), (F.col("_u") < F.col("_hi")) & (F.col("_u") >= F.col("_hi") - F.col("_w"))).select("draw", key)

@@ -196,10 +196,10 @@ def e12(spark, d):
     return select.prune_similar(means.select(F.col("ord").cast("string").alias("column"), "ord", "vec"))
 
 
-@query("e13_synthesize_single", "SELECT o_orderkey, round(o_totalprice / nullif(o_custkey, 0), 7) AS ratio, length(o_orderpriority) AS o_orderpriority_length, year(o_orderdate)::INT AS o_orderdate_year, month(o_orderdate)::INT AS o_orderdate_month, day(o_orderdate)::INT AS o_orderdate_day FROM orders")
+@query("e13_synthesize_single", "SELECT o_orderkey, o_totalprice / nullif(o_custkey, 0) AS ratio, length(o_orderpriority) AS o_orderpriority_length, year(o_orderdate)::INT AS o_orderdate_year, month(o_orderdate)::INT AS o_orderdate_month, day(o_orderdate)::INT AS o_orderdate_day FROM orders")
 def e13(spark, d):
     x = select.synthesize_single(table(spark, d, "orders"), ["o_totalprice", "o_custkey"], ["o_orderpriority"], ["o_orderdate"])
-    return x.select("o_orderkey", F.round("o_totalprice_per_o_custkey", 7).alias("ratio"), "o_orderpriority_length", "o_orderdate_year", "o_orderdate_month", "o_orderdate_day")
+    return x.select("o_orderkey", F.col("o_totalprice_per_o_custkey").alias("ratio"), "o_orderpriority_length", "o_orderdate_year", "o_orderdate_month", "o_orderdate_day")
 
 
 @query("e14_synthesize_multi", """SELECT c_custkey, coalesce(n, 0) AS orders_count, round(s, 2) AS total, round(a, 6) AS mean, lo, hi, round(sd, 6) AS sd, k AS statuses FROM customer LEFT JOIN
