@@ -116,14 +116,18 @@ def e1(spark, d):
     return select.select_variance(table(spark, d, "lineitem").select("l_orderkey", *FEATURES), FEATURES, 0.05)
 
 
+def flagged(spark, d):
+    """Lines with a label that follows the quantity, a tenth of it flipped by key."""
+    return lines(spark, d).withColumn("big", ((F.col("l_quantity") > 25) != (u("row_id", "flip") < 0.1)).cast("double"))
+
+
 def named(spark, name: str, rows) -> object:
     return spark.createDataFrame([(i, x) for i, x in enumerate(rows)], f"place int, {name} string")
 
 
 @query("e2_select_fwe")
 def e2(spark, d):
-    li = lines(spark, d).withColumn("label", F.when(F.col("l_returnflag") == "A", 0.0).otherwise(1.0))
-    return named(spark, "feature", select.select_fwe(li, FEATURES, "label"))
+    return named(spark, "feature", select.select_fwe(flagged(spark, d), FEATURES, "big"))
 
 
 F_SQL = " UNION ALL ".join(
@@ -151,17 +155,17 @@ def e4(spark, d):
 
 @query("e5_select_jmi")
 def e5(spark, d):
-    return named(spark, "feature", select.select_jmi(lines(spark, d), FEATURES, "l_returnflag", k=2))
+    return named(spark, "feature", select.select_jmi(flagged(spark, d), FEATURES, "big", k=2))
 
 
 @query("e6_select_mb")
 def e6(spark, d):
-    return named(spark, "feature", select.select_mb(lines(spark, d), FEATURES, "l_linestatus"))
+    return named(spark, "feature", select.select_mb(flagged(spark, d), FEATURES, "big"))
 
 
 @query("e7_select_smb")
 def e7(spark, d):
-    return named(spark, "feature", select.select_smb(lines(spark, d), FEATURES, "l_linestatus"))
+    return named(spark, "feature", select.select_smb(flagged(spark, d), FEATURES, "big"))
 
 
 @query("e8_pca")
