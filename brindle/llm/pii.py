@@ -191,7 +191,54 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-@query("op9_pii")
+def _sql() -> str:
+    """The query as DuckDB SQL, in full: base spans, protected entities, disclosing terms."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda k: CASE WHEN k % 2 = 0 THEN d[length(d) - k]::INT WHEN d[length(d) - k]::INT > 4 THEN 2 * d[length(d) - k]::INT - 9 ELSE 2 * d[length(d) - k]::INT END)) % 10 = 0".replace("d[", f"{digits}[").replace("length(d)", f"length({digits})")
+    valid = {
+        "email": "true",
+        "ip": "list_max(list_transform(string_split(v, '.'), lambda p: CASE WHEN length(ltrim(p, '0')) > 3 THEN 999 ELSE ('0' || p)::HUGEINT END)) <= 255",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+    }
+
+    def spans(kind: str, pattern: str, source: str) -> str:
+        at = "coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+        return f"""SELECT doc_id, text, '{kind}' AS kind, ({at})::BIGINT AS s, ({at} + length(m[i]))::BIGINT AS e, m[i] AS v
+ FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS b FROM {source}))"""
+
+    base = " UNION ALL ".join(f"SELECT {i} AS k, * FROM ({spans(kind, patterns[kind], 'd')}) WHERE {valid[kind]}" for i, kind in enumerate(KINDS))
+    term = lambda x: f"lower(regexp_replace({x}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))"
+    words = lambda x: f"string_split_regex({x}, '[\\x20\\x09-\\x0D]+')"
+    reach = 40 * WINDOW
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED (SELECT *, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {digits} ELSE lower(v) END AS entity FROM ({base})),
+mentions AS (SELECT doc_id, entity, list_filter(list_transform(l[greatest(1, len(l) - {WINDOW} + 1):len(l)] || r[1:{WINDOW}], lambda w: {term('w')}), lambda t: length(t) >= {MIN_TERM}) AS near
+  FROM (SELECT doc_id, entity, {words(f"rtrim(substr(text, greatest(1, s - {reach} + 1), least(s, {reach})), ' ')")} AS l, {words(f"ltrim(substr(text, e + 1, {reach}), ' ')")} AS r FROM base)),
+total AS (SELECT count(*) AS docs, sum(len({words('text')})) AS words FROM d),
+known AS (SELECT entity, count(DISTINCT doc_id) AS rows, sum(len(near)) AS near_words FROM mentions GROUP BY 1 HAVING rows >= {MIN_CONTEXTS} AND -log2(rows / (SELECT docs FROM total)) >= {MIN_BITS}),
+contexts AS (SELECT entity, near FROM mentions WHERE entity IN (SELECT entity FROM known) GROUP BY 1, 2),
+pairs AS (SELECT entity, term, count(*) AS together FROM (SELECT entity, unnest(list_distinct(near)) AS term FROM contexts) GROUP BY 1, 2 HAVING together >= {MIN_CONTEXTS}),
+spoken AS (SELECT {term('w')} AS term, count(*) AS n FROM (SELECT unnest({words('text')}) AS w FROM d) GROUP BY 1),
+told AS (SELECT entity, term FROM pairs JOIN known USING (entity) JOIN spoken USING (term) WHERE 1 + log2(least(together / n, 1)) / greatest(-log2(near_words / (SELECT words FROM total)), 1e-9) >= {DISCLOSURE}),
+marked AS (SELECT DISTINCT doc_id, term FROM base JOIN told USING (entity)),
+flagged AS (SELECT doc_id, text FROM d WHERE doc_id IN (SELECT doc_id FROM marked)),
+extra AS (SELECT {len(KINDS)} AS k, w.doc_id, 'term' AS kind, s + length(regexp_extract(v, '^[^\\p{{L}}\\p{{N}}]*')) AS s, s + length(regexp_extract(v, '^[^\\p{{L}}\\p{{N}}]*')) + length(regexp_replace(v, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')) AS e
+  FROM ({spans('term', '[^\\x20\\x09-\\x0D]+', 'flagged')}) w JOIN marked m ON m.doc_id = w.doc_id AND m.term = {term('v')}),
+every AS (SELECT k, doc_id, kind, s, e FROM base UNION ALL SELECT * FROM extra x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.e AND x.s < b.e)),
+said AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (kind <> 'term'), '') AS b, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS a FROM every GROUP BY 1)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN said USING (doc_id)
+"""
+
+
+@query("op9_pii", _sql())
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find personal data, and what discloses it, in every document."""
     found = find_personal(table(spark, sf_dir, "documents"))

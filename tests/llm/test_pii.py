@@ -93,3 +93,13 @@ def test_sanitise_overlap_and_empty(spark):
     clean = {r.doc_id: r.c for r in pii.find_personal(docs).select("doc_id", pii.sanitise(F.col("text"), F.col("spans")).alias("c")).collect()}
     assert clean == {1: "call +[CARD] now é [EMAIL]", 2: "", 3: "plain"}
     assert pii.find_personal(docs.limit(0)).count() == 0
+
+
+def test_sql_says_the_same(spark):
+    import duckdb
+
+    docs = corpus(spark).unionByName(spark.createDataFrame([(5_000 + i, t) for i, t in enumerate(ODD[:6])], "doc_id long, text string"))
+    documents = docs.toPandas()  # noqa: F841  (DuckDB reads it by name)
+    want = {r[0]: r[6] for r in duckdb.sql(pii._sql()).fetchall()}
+    found = {r.doc_id: r.s for r in pii.find_personal(docs).select("doc_id", pii._said(F.col("spans")).alias("s")).collect()}
+    assert found == want and sum("term" in s for s in want.values()) == 6
