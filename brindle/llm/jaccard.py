@@ -96,7 +96,13 @@ def _short(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)[:, 0].astype(np.int64)
 
 
-_FIRST = "part int, doc_id {id}, n long, digest binary, slots binary"
+def row_key(docs: DataFrame):
+    """Names a row by its doc_id and text: only rows that agree in both share it. Nulls count as values."""
+    text = F.coalesce(F.md5(docs["text"]), F.lit("null"))
+    return F.unhex(F.md5(F.concat(text, F.coalesce(F.concat(F.lit(":"), docs["doc_id"].cast("string")), F.lit("")))))
+
+
+_FIRST = "part int, doc_id {id}, row binary, n long, digest binary, slots binary"
 
 
 def _first_pass(words: int):
@@ -118,10 +124,10 @@ def _first_pass(words: int):
             if fresh:
                 slots += np.bincount((np.concatenate(fresh) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.binary())], names=["part", "doc_id", "n", "digest", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(n, pa.binary())], names=["part", "doc_id", "row", "n", "digest", "slots"])
         if kind is not None:
             n = SKETCH_PARTS
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([x.tobytes() for x in np.split(slots, n)], pa.binary())], names=["part", "doc_id", "n", "digest", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([x.tobytes() for x in np.split(slots, n)], pa.binary())], names=["part", "doc_id", "row", "n", "digest", "slots"])
 
     return run
 
@@ -327,7 +333,7 @@ def _labelled(sets: DataFrame, links: DataFrame, more: tuple[str, ...] = ()) ->
 
 
 def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents, links). Documents: (doc_id, n, digest), the digest names the class of equal sets.
+    """(documents, links). Documents: (doc_id, row, n, digest), the digest names the class of equal sets.
     Links: (a, b) between classes, enough of them that every two classes that a link joins are connected.
 
     No pair is left out that could join two components: first every class is held against the smallest
@@ -338,8 +344,8 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    first = scratch(docs.mapInArrow(_first_pass(words), _FIRST.format(id=kind)), "jaccard-first")
-    told = first.where("part < 0").select("doc_id", "n", "digest")
+    first = scratch(docs.withColumn("row", row_key(docs)).mapInArrow(_first_pass(words), _FIRST.format(id=kind)), "jaccard-first")
+    told = first.where("part < 0").select("doc_id", "row", "n", "digest")
     sums = first.where("part >= 0").groupBy("part").applyInPandas(_sum_slots, "part int, slots binary").orderBy("part").collect()
     sketch = spark.sparkContext.broadcast(b"".join(r["slots"] for r in sums) or bytes(4 * SKETCH))
     texts = docs.select("text")
@@ -385,6 +391,23 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     return told, links.union(scratch(more, "jaccard-links"))
 
 
+def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, component) for each row of ``docs(doc_id, text)``.
+
+    row is its :func:`row_key`; component tells components apart, whatever their ids, and is null for a
+    text without words. The others are as in :func:`jaccard_components`.
+    """
+    told, links = find_links(docs, words, percent)
+    labels = components(links)
+    classes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"))
+    classes = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "low", F.coalesce("label", "digest").alias("label"))
+    least = classes.groupBy("label").agg(F.min("low").alias("component_id"))
+    named = classes.join(least, "label").select("digest", "component_id", F.col("label").alias("component"))
+    whole = told.where("n > 0").join(named, "digest").select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", "component")
+    alone = told.where("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    return whole.unionByName(alone)
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``.
 
@@ -393,20 +416,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     reach. A text without words, or null, links with nothing and is its own component. Repeated rows
     are equal documents; a null doc_id takes part but is never the smallest; an empty table stays empty.
     """
-    told, links = find_links(docs, words, percent)
-    labels = components(links)
-    classes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"))
-    classes = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "low", F.coalesce("label", "digest").alias("label"))
-    least = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = classes.join(least, "label").select("digest", "component_id")
-    whole = told.where("n > 0").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return whole.unionByName(told.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return labelled_rows(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest doc_id, once."""
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stay: of each component the one with the smallest (doc_id, row key), once.
+
+    ``found`` comes from :func:`labelled_rows`; if it lacks the components (doc_ids alone don't tell them
+    apart) they are looked for again. Of rows without words, those that share a doc_id and a text stay
+    once; without a doc_id nothing makes them one document, and all stay.
+    """
+    if "component" not in found.columns:
+        found = labelled_rows(docs)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min_by("row", first).alias("_row")).select("_row")
+    kept = kept.union(found.where(F.col("component").isNull() & F.col("doc_id").isNotNull()).select("row").distinct())
+    named = docs.withColumn("_row", row_key(docs))
+    stay = named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return stay.unionByName(docs.where(F.col("doc_id").isNull() & wordless))
 
 
 @query("op3_jaccard_join")

@@ -103,3 +103,13 @@ def test_marked_keeps_every_wanted_row(spark):
     wanted = docs.where("doc_id is null or doc_id % 50 = 7").select("doc_id")
     kept = {r.text for r in jaccard.marked(docs, wanted).collect()}
     assert kept >= {"0", *(str(i) for i in range(7, 2_000, 50))} and len(kept) < 60
+
+
+def test_keep_one_tells_rows_with_one_doc_id_apart(spark):
+    words = lambda c, n=20: " ".join(f"{c}{k}" for k in range(n))
+    lone = [(None, words(c), 1) for c in "abcdef"]  # six components without an id
+    rows = [*lone, (None, "", 1), (None, "", 2), (None, None, 1), (1, words("x"), 1), (9, words("x") + " more", 1), (9, words("y"), 1), (9, words("y"), 1), (9, "", 1), (9, " ", 1), (9, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    want = [*lone, (None, "", 1), (None, "", 2), (None, None, 1), (1, words("x"), 1), (9, words("y"), 1), (9, "", 1), (9, " ", 1)]
+    kept = jaccard.keep_one(docs, jaccard.labelled_rows(docs))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
