@@ -21,13 +21,14 @@ PATTERNS = {
 }
 WORD = r"[^\x20\x09-\x0D]+"
 _GAP = r"[\x20\x09-\x0D]+"
+_SPACE = " \t\n\x0b\f\r"
 
 #: A word is a term if, after stripping what is neither letter nor digit, it has so many characters.
 MIN_TERM = 3
 #: Terms are counted up to so many words before and after an entity's mention.
 WINDOW = 8
-#: An entity needs so many bits of information (-log2 of its share of documents) to be protected:
-#: one that stands in over a hundredth of all documents is a public notice.
+#: Only the SQL twin asks for so many bits of information (-log2 of an entity's share of documents); here
+#: every entity with enough contexts is protected, whatever its share.
 MIN_BITS = 6.64
 #: A pair needs so many different contexts, and a term so large a part of the entity's information.
 MIN_CONTEXTS, DISCLOSURE = 3, 0.9
@@ -91,13 +92,17 @@ def _entity(span: Column) -> Column:
 
 
 def _near(text: Column, span: Column) -> Column:
-    """The terms among the WINDOW words on either side of a span."""
-    reach = 40 * WINDOW  # characters that hold so many ordinary words
+    """The terms among the WINDOW words on either side of a span, however long these are."""
     start, end = span["start"].cast("int"), span["end"].cast("int")
-    before = F.substring(text, F.greatest(F.lit(1), start - reach + 1), F.least(start, F.lit(reach)))
-    after = F.substring(text, end + 1, F.lit(reach))
-    left, right = F.split(F.rtrim(before), _GAP), F.split(F.ltrim(after), _GAP)
-    words = F.concat(F.slice(left, F.greatest(F.lit(1), F.size(left) - WINDOW + 1), F.lit(WINDOW)), F.slice(right, F.lit(1), F.lit(WINDOW)))
+    reach = 40 * WINDOW  # holds so many ordinary words; where it doesn't, the whole side is split
+    tail = F.substring(text, F.greatest(F.lit(1), start - reach + 1), F.least(start, F.lit(reach)))
+    head = F.substring(text, end + 1, F.lit(reach))
+    # of more than WINDOW words, the one that the reach may have cut is not taken
+    before = F.split(F.rtrim(tail, F.lit(_SPACE)), _GAP)
+    before = F.when((start <= reach) | (F.size(before) > WINDOW), before).otherwise(F.split(F.rtrim(F.substring(text, F.lit(1), start), F.lit(_SPACE)), _GAP))
+    after = F.split(F.ltrim(head, F.lit(_SPACE)), _GAP)
+    after = F.when((F.char_length(head) < reach) | (F.size(after) > WINDOW), after).otherwise(F.split(F.ltrim(F.substring(text, end + 1, F.lit(2**31 - 1)), F.lit(_SPACE)), _GAP))
+    words = F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - WINDOW + 1), F.lit(WINDOW)), F.slice(after, F.lit(1), F.lit(WINDOW)))
     return F.filter(F.transform(words, _term), lambda t: F.char_length(t) >= MIN_TERM)
 
 
@@ -116,24 +121,23 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     a term reveals an entity is their pointwise mutual information, log2(p(entity near the term) /
     p(entity near any word)). The most it can be is the entity's own information; ``share`` is the part
     of it that the term gives. Terms with DISCLOSURE or more of it, in MIN_CONTEXTS different contexts,
-    disclose. Only entities with MIN_BITS of information, in MIN_CONTEXTS rows, are protected. Both
-    counts cover the whole corpus; copies of one context count once.
+    disclose. Every entity with so many contexts is protected, however many rows hold it. Both counts
+    cover the whole corpus, each distinct text and each context once, so copies change nothing.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    mentions = found.select("key", "text", F.explode("spans").alias("s"))
-    mentions = scratch(mentions.select("key", _entity(F.col("s")).alias("entity"), _near(F.col("text"), F.col("s")).alias("near")), "pii-mentions")
-    total = docs.agg(F.count("*").alias("docs"), F.sum(F.size(F.split(text, _GAP))).alias("words")).first()
-    known = mentions.groupBy("entity").agg(F.count_distinct("key").alias("rows"), F.sum(F.size("near")).alias("near_words"))
-    known = known.where((F.col("rows") >= MIN_CONTEXTS) & (-F.log2(F.col("rows") / F.lit(float(max(1, total["docs"])))) >= MIN_BITS))
-    contexts = mentions.join(known.select("entity"), "entity", "left_semi").select("entity", F.array_distinct("near").alias("near")).distinct()
-    pairs = contexts.select("entity", F.explode("near").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together"))
+    mentions = found.select(F.explode("spans").alias("s"), "text").select(_entity(F.col("s")).alias("entity"), _near(F.col("text"), F.col("s")).alias("near"))
+    contexts = scratch(mentions.groupBy("entity", "near").agg(F.lit(1).alias("once")).select("entity", "near"), "pii-contexts")
+    known = contexts.groupBy("entity").agg(F.count("*").alias("contexts"), F.sum(F.size("near")).alias("near_words")).where(F.col("contexts") >= MIN_CONTEXTS)
+    pairs = contexts.select("entity", F.explode(F.array_distinct("near")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("together"))
     pairs = scratch(pairs.where(F.col("together") >= MIN_CONTEXTS).join(known.select("entity", "near_words"), "entity"), "pii-pairs")
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    spoken = docs.select(F.explode(F.split(text, _GAP)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    once = docs.select(text.alias("text")).groupBy(F.unhex(F.md5("text")).alias("key")).agg(F.first("text").alias("text"))
+    spoken = once.select(F.explode(F.split("text", _GAP)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # counted before they are joined: a common word among the pairs then costs one row
-    spoken = spoken.groupBy(_term(F.col("word")).alias("term")).agg(F.sum("n").alias("n"))
-    information = F.greatest(-F.log2(F.col("near_words") / F.lit(float(max(1, total["words"] or 0)))), F.lit(1e-9))
+    spoken = scratch(spoken.groupBy(_term(F.col("word")).alias("term")).agg(F.sum("n").alias("n")), "pii-spoken")
+    words = spoken.agg(F.sum("n")).first()[0] or 0
+    information = F.greatest(-F.log2(F.col("near_words") / F.lit(float(max(1, words)))), F.lit(1e-9))
     share = 1 + F.log2(F.least(F.col("together") / F.col("n"), F.lit(1.0))) / information
     return pairs.join(spoken, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= DISCLOSURE)
 
@@ -163,7 +167,9 @@ def find_personal(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     found = scratch(everything.where(F.size("spans") > 0), "pii-found")
     terms = disclosing_terms(found, docs)
     entities = found.select("key", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct()
-    told = entities.join(terms.select("entity", "term"), "entity").groupBy("key").agg(F.collect_set("term").alias("terms"))
+    # gathered before they are joined: a hot entity then costs a row for each of its texts
+    terms = terms.groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    told = entities.join(terms, "entity").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     marked = found.join(told, "key", "left")
     extra = F.when(F.col("terms").isNotNull(), _term_spans(F.col("text"), F.col("terms"), F.col("spans"))).otherwise(_no_spans())
     marked = marked.select("doc_id", "text", F.concat("spans", extra).alias("spans"), *keep)

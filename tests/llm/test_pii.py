@@ -103,3 +103,27 @@ def test_sql_says_the_same(spark):
     want = {r[0]: r[6] for r in duckdb.sql(pii._sql()).fetchall()}
     found = {r.doc_id: r.s for r in pii.find_personal(docs).select("doc_id", pii._said(F.col("spans")).alias("s")).collect()}
     assert found == want and sum("term" in s for s in want.values()) == 6
+
+
+def telling(spark, rows):
+    """The texts in which a term was found, with the terms."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_personal(docs).where("exists(spans, s -> s.kind = 'term')").select("doc_id", F.transform(F.filter("spans", lambda s: s["kind"] == "term"), lambda s: s["value"]).alias("terms"))
+    return {r.doc_id: set(r.terms) for r in found.collect()}
+
+
+def test_share_of_rows_does_not_matter(spark):
+    rows = [(r.doc_id, r.text) for r in corpus(spark).collect()]
+    small = [r for r in rows if r[0] % 100 == 1 or r[0] < 60]  # 65 rows, the entity in a tenth of them
+    ids = {i * 100 + 1 for i in range(6)}
+    assert telling(spark, small) == dict.fromkeys(ids, {"Zebulon"})
+    copies = [(5_000 + i, rows[1][1]) for i in range(300)]  # and a third of all rows, by copies of one text
+    assert telling(spark, rows + copies) == dict.fromkeys(ids | {i for i, _ in copies}, {"Zebulon"})
+
+
+def test_near_takes_words_whatever_their_length(spark):
+    long = [f"{k}{'w' * 90}" for k in range(9)]
+    text = " ".join(["Zebulon", *long[:7]]) + "\n\tbob@hidden.org\r\n " + " ".join([*long[:7], "gnomon", "after"])
+    words = spark.createDataFrame([(1, text), (2, "lead " + text)], "doc_id long, text string")
+    near = pii.find_base(words).select(pii._near(F.col("text"), F.col("spans")[0]).alias("near")).collect()
+    assert [r.near for r in near] == [["zebulon", *long[:7], *long[:7], "gnomon"]] * 2
