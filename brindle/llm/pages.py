@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,19 +36,25 @@ NOISE_WORDS = frozenset(
 )
 #: Heads of pages, unless they stand inside an article.
 HEAD_WORDS = frozenset(("header", "masthead"))
-#: A page goes along its host's path if that has so large a part of its own best score.
-LEAST_SHARE = 0.3
+#: These are never noise by their names, nor is an element with over half of the page's text.
+ROOTS = frozenset("html body main article".split())
+#: A page goes along its host's path if that holds so large a part of what its own path holds.
+LEAST_SHARE = 0.7
 #: The part of a container's score that its parent gets too.
 UP = 0.5
-#: Elements nested deeper than this break blocks, but are no containers of their own.
+#: Elements nested deeper than this break blocks and may be noise, but are no containers of their own.
 DEEPEST = 256
 
 
 class Element:
-    __slots__ = ("noise", "parent", "path", "tag")
+    """noise: it or an element around it is noise for sure; doubt: the innermost element with a doubtful
+    name that it is or stands in; outer: the next one around that."""
 
-    def __init__(self, tag: str, path: str, parent: Element | None, noise: bool) -> None:
-        self.tag, self.path, self.parent, self.noise = tag, path, parent, noise
+    __slots__ = ("doubt", "noise", "outer", "parent", "path", "tag")
+
+    def __init__(self, tag: str, path: str, parent: Element | None, noise: bool, outer: Element | None, doubtful: bool) -> None:
+        self.tag, self.path, self.parent, self.noise, self.outer = tag, path, parent, noise, outer
+        self.doubt = self if doubtful else outer
 
 
 def _names(attrs: str) -> tuple[list[str], list[str], bool]:
@@ -75,10 +82,12 @@ def step_of(tag: str, classes: list[str]) -> str:
 
 def parse(page: str) -> list[tuple[Element, str, int]]:
     """The page's text blocks in order, as (innermost element, text, characters of it in links)."""
-    root = Element("", "", None, False)
+    root = Element("", "", None, False, None, False)
     stack, out = [root], []
+    doubtful: list[Element] = []
+    opened: Counter[str] = Counter()
     text: list[str] = []
-    linked, in_link, deeper = 0, False, 0
+    linked, in_link = 0, False
 
     def close_block() -> None:
         nonlocal linked
@@ -115,31 +124,62 @@ def parse(page: str) -> list[tuple[Element, str, int]]:
             continue
         elif closing:
             close_block()
-            if deeper:
-                deeper -= 1
-                continue
-            deep = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if deep:
-                del stack[deep:]
+            if opened[tag]:
+                while (last := stack.pop()).tag != tag:
+                    opened[last.tag] -= 1
+                opened[tag] -= 1
                 in_link = False
         else:
             close_block()
             if stack[-1].tag == "p" or (stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-                stack.pop()
+                opened[stack.pop().tag] -= 1
             classes, words, hidden = _names(attrs) if attrs else ([], [], False)
             up = stack[-1]
-            noise = up.noise or hidden or tag in NOISE_TAGS or not NOISE_WORDS.isdisjoint(words)
-            if (tag == "header" or not HEAD_WORDS.isdisjoint(words)) and not any(e.tag in ("article", "main") for e in stack):
-                noise = True
+            apart = not opened["article"] and not opened["main"]
+            noise = up.noise or hidden or (tag in NOISE_TAGS and tag != "form") or (tag == "header" and apart)
+            named = not NOISE_WORDS.isdisjoint(words) or (apart and not HEAD_WORDS.isdisjoint(words))
             if tag in VOID:
                 continue
-            if len(stack) > DEEPEST:
-                deeper += 1
-            else:
-                stack.append(Element(tag, f"{up.path}/{step_of(tag, classes)}", up, noise))
+            deep = len(stack) > DEEPEST
+            own = Element(tag, stack[DEEPEST].path if deep else f"{up.path}/{step_of(tag, classes)}", stack[DEEPEST] if deep else up, noise, up.doubt, tag == "form" or (named and tag not in ROOTS))
+            if own.doubt is own:
+                doubtful.append(own)
+            stack.append(own)
+            opened[tag] += 1
     add(page[at:])
     close_block()
-    return out
+    return _without(out, doubtful) if doubtful else out
+
+
+def _plain(text: str, linked: int) -> int:
+    return max(0, len(text) - 2 * linked)
+
+
+def _without(blocks: list[tuple[Element, str, int]], doubtful: list[Element]) -> list[tuple[Element, str, int]]:
+    """The blocks that don't stand in an element with a doubtful name. Such a one (in the order of their
+    start tags) counts as the article's if it holds over half of the page's text, unless an article or
+    main element outside of it holds a tenth as much."""
+    held: Counter[Element | None] = Counter()
+    marked: Counter[Element | None] = Counter()  # of that, what stands in an article or main element
+    total = 0
+    for e, text, linked in blocks:
+        n = _plain(text, linked)
+        total += n
+        held[e.doubt] += n
+        up: Element | None = e
+        while up is not None and up.tag not in ("article", "main"):
+            up = up.parent
+        if up is not None:
+            marked[e.doubt] += n
+    for d in reversed(doubtful):
+        held[d.outer] += held[d]
+        marked[d.outer] += marked[d]
+    noise: set[Element] = set()
+    for d in doubtful:
+        most = 2 * held[d] > total and 10 * (marked[None] - marked[d]) < held[d]
+        if d.outer in noise or not most:
+            noise.add(d)
+    return [b for b in blocks if b[0].doubt not in noise]
 
 
 def container(e: Element) -> Element:
@@ -153,7 +193,7 @@ def scored(blocks: list[tuple[Element, str, int]]) -> dict[str, float]:
     half for each level."""
     scores: dict[str, float] = {}
     for element, text, linked in blocks:
-        e, part = container(element), float(max(0, len(text) - 2 * linked))
+        e, part = container(element), float(_plain(text, linked))
         seen = set()
         while e is not None and part >= 1 / 16:
             if e.path not in seen:
@@ -168,34 +208,65 @@ def best_path(scores: dict[str, float]) -> str | None:
     return max(scores, key=lambda p: (scores[p], p), default=None)
 
 
+def _under(e: Element | None, path: str) -> Element | None:
+    while e is not None and e.path != path:
+        e = e.parent
+    return e
+
+
+def whole_path(blocks: list[tuple[Element, str, int]], path: str) -> str:
+    """The path of all of the article whose largest part has ``path``: the nearest article element around
+    it, else main; else the lowest container below body that holds the page's headline (h1) too, or else
+    its parent, where what that adds is more text than links. A quotation is a part of what it stands in."""
+    first = next((e for b in blocks if (e := _under(b[0], path)) is not None), None)
+    if first is None:
+        return path
+    while first.tag == "blockquote" and first.parent is not None:
+        first = container(first.parent)
+    around = []
+    e: Element | None = first
+    while e is not None and e.tag not in ("", "html", "body"):
+        if e.tag in CONTAINERS:
+            around.append(e)
+        e = e.parent
+    for tag in ("article", "main"):
+        for e in around:
+            if e.tag == tag:
+                return e.path
+    heads = [b[0] for b in blocks if b[0].tag == "h1"]
+    for e in around:
+        if any(_under(h, e.path) is not None for h in heads):
+            return e.path
+    if len(around) > 1:
+        more = [b for b in blocks if _under(b[0], first.path) is None and _under(b[0], around[1].path) is not None]
+        if sum(_plain(text, linked) for _, text, linked in more) > sum(linked for _, _, linked in more):
+            return around[1].path
+    return first.path
+
+
 def main_text(page: str | None, path: str | None = None) -> str:
-    """The page's main text along ``path``, or along its own best path where that one is missing or poor."""
+    """The page's main text along ``path``, or along its own path where that one is missing or poor."""
     blocks = parse(page or "")
-    scores = scored(blocks)
-    own = best_path(scores)
+    own = best_path(scored(blocks))
     if own is None:
         return ""
-    if path is None or scores.get(path, 0.0) < LEAST_SHARE * scores[own]:
+    own = whole_path(blocks, own)
+    held = lambda p: sum(_plain(text, linked) for e, text, linked in blocks if _under(e, p) is not None)
+    if path is None or (path != own and held(path) < max(1, LEAST_SHARE * held(own))):
         path = own
-    out = []
-    for element, text, _ in blocks:
-        e = element
-        while e is not None and e.path != path:
-            e = e.parent
-        if e is not None:
-            out.append(text)
-    return "\n".join(out)
+    return "\n".join(text for e, text, _ in blocks if _under(e, path) is not None)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, paths, scores = [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = scored(parse(page or ""))
+            blocks = parse(page or "")
+            found = scored(blocks)
             best = best_path(found)
             if best is not None and found[best]:
                 hosts.append(host)
-                paths.append(best)
+                paths.append(whole_path(blocks, best))
                 scores.append(found[best] / sum(found.values()))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 

@@ -47,3 +47,36 @@ def test_other_layouts_and_votes(spark):
 
 def test_steps_are_generalised():
     assert pages.step_of("div", ["post-12", "b", "b"]) == "div.b.post-#"
+
+
+def test_names_do_not_remove_the_article():
+    long = "words of the article itself, one after the other. " * 9
+    small = "<div class='sidebar'><p>Not this, though it is a sidebar.</p></div>"
+    for page in (
+        f"<html class='ad-free'><body class='no-sidebar header-fixed'><div><p>{long}</p></div>{small}</body></html>",
+        f"<body><div class='content has-sidebar'><p>{long}</p>{small}</div></body>",
+        f"<body><form id='aspnet'><div><p>{long}</p></div>{small}</form></body>",
+        f"<body><main class='share'><p>{long}</p>{small}</main></body>",
+    ):
+        assert pages.main_text(page) == long.strip()
+    # comments stay out, however long, where the page says what its article is
+    assert pages.main_text(f"<body><article><p>{long}</p></article><div class='comments'><p>{long * 3}</p></div></body>") == long.strip()
+
+
+def test_all_parts_of_an_article_are_read():
+    long = "words of the article itself, one after the other. " * 9
+    want = f"Head\nThe lead stands apart.\n{long.strip()}\nSaid by one."
+    parts = f"<h1>Head</h1><div class='lead'>The lead stands apart.</div><div class='body'><p>{long}</p></div><blockquote>Said by one.</blockquote>"
+    for page in (f"<body><article>{parts}</article></body>", f"<body><div><div class='post'>{parts}</div><div class='menu'>no</div></div></body>"):
+        assert pages.main_text(page) == want
+    quoted = f"<body><div class='x'><p>Before it.</p><blockquote>{long}</blockquote></div></body>"
+    assert pages.main_text(quoted) == f"Before it.\n{long.strip()}"
+    # the host's path holds under half of what this page's own path does
+    other = f"<body><div class='a'><p>{long}</p></div><div class='b'><p>{long * 2}</p></div></body>"
+    assert pages.main_text(other, "/body/div.a") == (long * 2).strip()
+
+
+def test_noise_is_tracked_at_any_depth():
+    deep = "<div>" * 400
+    page = f"<body>{deep}<p>kept text that is long enough</p><div class='ad'><div>dropped</div></div><nav>dropped</nav><p>kept too</p>{'</div>' * 400}</body>"
+    assert pages.main_text(page) == "kept text that is long enough\nkept too"
