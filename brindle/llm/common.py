@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 #: Rows that one task ranks at most, on average.
 RANK_BLOCK = 2_000
+#: Rows of a table of keys and numbers that may be broadcast.
+SMALL = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, marked for broadcast if it has ``rows`` rows or fewer, else left to a shuffle join. It is
+    counted, so it should be a written table of narrow rows."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, rows: int | None = None, block: Column | None = None) -> DataFrame:
