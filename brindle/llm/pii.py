@@ -27,11 +27,9 @@ _SPACE = " \t\n\x0b\f\r"
 MIN_TERM = 3
 #: Terms are counted up to so many words before and after an entity's mention.
 WINDOW = 8
-#: Only the SQL twin asks for so many bits of information (-log2 of an entity's share of documents); here
-#: every entity with enough contexts is protected, whatever its share.
-MIN_BITS = 6.64
-#: A pair needs so many different contexts, and a term so large a part of the entity's information.
-MIN_CONTEXTS, DISCLOSURE = 3, 0.9
+#: A pair needs so many different contexts (one can't tell a link from chance), and a term so large a part
+#: of the entity's information.
+MIN_CONTEXTS, DISCLOSURE = 2, 0.9
 
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
@@ -222,17 +220,18 @@ def _sql() -> str:
     base = " UNION ALL ".join(f"SELECT {i} AS k, * FROM ({spans(kind, patterns[kind], 'd')}) WHERE {valid[kind]}" for i, kind in enumerate(KINDS))
     term = lambda x: f"lower(regexp_replace({x}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g'))"
     words = lambda x: f"string_split_regex({x}, '[\\x20\\x09-\\x0D]+')"
-    reach = 40 * WINDOW
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS MATERIALIZED (SELECT *, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {digits} ELSE lower(v) END AS entity FROM ({base})),
-mentions AS (SELECT doc_id, entity, list_filter(list_transform(l[greatest(1, len(l) - {WINDOW} + 1):len(l)] || r[1:{WINDOW}], lambda w: {term('w')}), lambda t: length(t) >= {MIN_TERM}) AS near
-  FROM (SELECT doc_id, entity, {words(f"rtrim(substr(text, greatest(1, s - {reach} + 1), least(s, {reach})), ' ')")} AS l, {words(f"ltrim(substr(text, e + 1, {reach}), ' ')")} AS r FROM base)),
-total AS (SELECT count(*) AS docs, sum(len({words('text')})) AS words FROM d),
-known AS (SELECT entity, count(DISTINCT doc_id) AS rows, sum(len(near)) AS near_words FROM mentions GROUP BY 1 HAVING rows >= {MIN_CONTEXTS} AND -log2(rows / (SELECT docs FROM total)) >= {MIN_BITS}),
-contexts AS (SELECT entity, near FROM mentions WHERE entity IN (SELECT entity FROM known) GROUP BY 1, 2),
-pairs AS (SELECT entity, term, count(*) AS together FROM (SELECT entity, unnest(list_distinct(near)) AS term FROM contexts) GROUP BY 1, 2 HAVING together >= {MIN_CONTEXTS}),
-spoken AS (SELECT {term('w')} AS term, count(*) AS n FROM (SELECT unnest({words('text')}) AS w FROM d) GROUP BY 1),
+mentions AS (SELECT entity, list_filter(list_transform(l[greatest(1, len(l) - {WINDOW} + 1):len(l)] || r[1:{WINDOW}], lambda w: {term('w')}), lambda t: length(t) >= {MIN_TERM}) AS near
+  FROM (SELECT entity, {words(f"rtrim(substr(text, 1, s), {space})")} AS l, {words(f"ltrim(substr(text, e + 1), {space})")} AS r FROM base)),
+once AS (SELECT DISTINCT text FROM d),
+total AS (SELECT sum(len({words('text')})) AS words FROM once),
+contexts AS (SELECT DISTINCT entity, near FROM mentions),
+known AS (SELECT entity, sum(len(near)) AS near_words FROM contexts GROUP BY 1 HAVING count(*) >= {MIN_CONTEXTS}),
+pairs AS (SELECT entity, term, count(*) AS together FROM (SELECT entity, unnest(list_distinct(near)) AS term FROM contexts WHERE entity IN (SELECT entity FROM known)) GROUP BY 1, 2 HAVING count(*) >= {MIN_CONTEXTS}),
+spoken AS (SELECT {term('w')} AS term, count(*) AS n FROM (SELECT unnest({words('text')}) AS w FROM once) GROUP BY 1),
 told AS (SELECT entity, term FROM pairs JOIN known USING (entity) JOIN spoken USING (term) WHERE 1 + log2(least(together / n, 1)) / greatest(-log2(near_words / (SELECT words FROM total)), 1e-9) >= {DISCLOSURE}),
 marked AS (SELECT DISTINCT doc_id, term FROM base JOIN told USING (entity)),
 flagged AS (SELECT doc_id, text FROM d WHERE doc_id IN (SELECT doc_id FROM marked)),
