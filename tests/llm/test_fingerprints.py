@@ -46,16 +46,47 @@ def test_anchors_by_hand(spark):
         if not w:
             assert found[t] == []
         elif len(w) < fingerprints.K:
-            assert found[t] == [spark.sql("select hash(:t) h", {"t": " ".join(w)}).first().h]
+            assert [tuple(x) for x in found[t]] == [(0, spark.sql("select hash(:t) h", {"t": " ".join(w)}).first().h)]
         else:
             pair = {p: spark.sql("select xxhash64(:a, :b) h", {"a": p[0], "b": p[1]}).first().h for p in set(zip(w, w[1:], strict=False))}
-            kept = set()
-            for i in range(len(w) - 3):
-                s = [pair[w[i + j], w[i + j + 1]] for j in range(3)]
-                if min(s) in (s[0], s[2]):
-                    kept.add((s[0], s[2]))
-            want = {spark.sql(f"select hash({a}L, {b}L) h").first().h for a, b in kept}
-            assert found[t] == sorted(want)[: fingerprints.ANCHORS]
+            want = []
+            for i in range(len(w) - 4):
+                a, b, c, d = (pair[w[i + j], w[i + j + 1]] for j in range(4))
+                if min(a, b, c, d) in (a, d):
+                    want.append((i, spark.sql(f"select hash({a}L, {c}L, {d}L) h").first().h))
+            assert [tuple(x) for x in found[t]] == want
+
+
+def near(spark, a, b):
+    """Likeness of two texts, and the same by plain sets of (anchor, next anchor, distance)."""
+    frame = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.anchors(F.col("a")).alias("a"), fingerprints.anchors(F.col("b")).alias("b"))
+    r = frame.select("a", "b", fingerprints.likeness(fingerprints.steps(F.col("a")), fingerprints.steps(F.col("b"))).alias("n")).first()
+
+    def steps(x):
+        return {(u.hash, v and v.hash, v and v.place - u.place) for u, v in zip(x, [*x[1:], None], strict=False)}
+
+    x, y = steps(r.a), steps(r.b)
+    assert abs(r.n - (len(x & y) / len(x | y) if x | y else 1)) < 1e-12
+    return r.n
+
+
+def test_places_count_in_texts_of_any_length(spark):
+    words = [f"w{i * 7919 % 10_007}" for i in range(20_000)]
+    whole = " ".join(words)
+    assert near(spark, whole, whole) == 1
+    changed = [*words[:9_000], "other", *words[9_001:]]
+    assert 0.99 < near(spark, whole, " ".join(changed)) < 1  # one word of 20,000 is seen
+    shared = " ".join([f"x{i}" for i in range(5_000)] + words[3_000:3_100])
+    assert 0 < near(spark, whole, shared) < 0.02  # and so is a shared passage
+    assert near(spark, "a b c d e f g", "a b c d e f g h") > near(spark, "a b c d e f g", "g f e d c b a")
+    assert near(spark, "", " ") == 1 and near(spark, "", "a") == 0
+
+
+def test_two_level_lookup(spark):
+    for n in (0, 1, 2, 3, 7, 10, 26):
+        cuts = [3 * k for k in range(1, n + 1)]
+        for r in spark.range(-1, 90).select("id", fingerprints._runs(cuts, F.col("id")).alias("n")).collect():
+            assert r.n == sum(c <= r.id for c in cuts)
 
 
 def test_null_repeated_and_empty(spark):
@@ -67,5 +98,5 @@ def test_null_repeated_and_empty(spark):
     assert one.edited == "x y" and one.next_anchors == one.anchors
     same = fingerprints.fingerprint_documents(docs.where("doc_id = 7")).collect()
     assert [r.edited for r in same] == ["z" * 9] * 2
-    alike = docs.limit(1).select(fingerprints.likeness(F.array().cast("array<int>"), F.array().cast("array<int>")).alias("e"), fingerprints.likeness(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))).alias("t")).first()
+    alike = docs.limit(1).select(fingerprints.likeness(F.array().cast("array<long>"), F.array().cast("array<long>")).alias("e"), fingerprints.likeness(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))).alias("t")).first()
     assert alike.e == 1.0 and abs(alike.t - 1 / 3) < 1e-9
