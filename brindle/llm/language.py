@@ -8,21 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.catalog import query
 from brindle.session import scratch, table
 
-#: The model is fitted on about so many documents of a language at most, chosen by hash of doc_id.
-SAMPLE_DOCS = 5_000
-#: Languages it learns at most (the most frequent ones), and entries of all its tables together.
-LANGUAGES, ENTRIES = 200, 600_000
+#: The model is fitted on about so many labelled documents of a language at most, and of all languages
+#: together, chosen by hash of doc_id. All languages are learned, and all words and n-grams of the sample.
+SAMPLE_DOCS, ALL_DOCS = 2_000, 40_000
 LONGEST = 4  # characters of the longest n-grams
 SMOOTH = 0.5
 #: Words that count for the score: a longer text doesn't get surer than one of so many words.
 SURE_WORDS = 50
-CACHE = 200_000
+CACHE = 800_000  # scores of words that are remembered, over all languages
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -58,46 +57,62 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([size] * len(own), pa.int32()), pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "size", "item", "n"])
 
 
-def train(docs: DataFrame) -> tuple[list[str], list[dict[str, np.ndarray]]]:
+class Logs:
+    """Log frequencies of items (words, or n-grams of one length) by language: sparse, since most items stand in
+    one language. ``unseen`` is what the others have."""
+
+    def __init__(self, items: list[str], ends: np.ndarray, langs: np.ndarray, logs: np.ndarray, unseen: np.ndarray) -> None:
+        self.items, self.ends, self.langs, self.logs, self.unseen = items, ends, langs, logs, unseen
+        self.places: dict[str, int] | None = None
+
+    def get(self, item: str) -> np.ndarray | None:
+        if self.places is None:
+            self.places = {x: i for i, x in enumerate(self.items)}
+        i = self.places.get(item)
+        if i is None:
+            return None
+        own = slice(self.ends[i - 1] if i else 0, self.ends[i])
+        out = self.unseen.copy()
+        out[self.langs[own]] = self.logs[own]
+        return out
+
+
+def train(docs: DataFrame) -> tuple[list[str], list[Logs]]:
     """Languages and, for words (at 0) and n-grams (at n), the log frequencies of each item by language.
 
-    Learns from ``docs(doc_id, text, lang)`` with both text and lang, on about SAMPLE_DOCS of a language.
-    The tables keep the most frequent items, ENTRIES together, whatever the corpus, so the model can be
-    held by the driver and by every task.
+    Learns from ``docs(doc_id, text, lang)`` with both text and lang, on about SAMPLE_DOCS of a language and
+    ALL_DOCS altogether. That sample bounds the tables, so the driver and every task can hold them.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
     langs = sorted(r["lang"] for r in rows)
     if not langs:
-        return [], [{}]
-    share = F.create_map(*(x for r in rows for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE_DOCS / r["n"])))))
+        return [], []
+    wanted = min(SAMPLE_DOCS, ALL_DOCS / len(langs))
+    share = F.create_map(*(x for r in rows for x in (F.lit(r["lang"]), F.lit(min(1.0, wanted / r["n"])))))
     dice = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / 1e6
-    sample = known.where(dice < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    sample = known.where(dice < share[F.col("lang")]).select("lang", "text")
     words = scratch(sample.mapInArrow(_count_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "lang-words")
     sized = words.mapInArrow(_count_grams, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    counts = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(sized)
-    each = Window.partitionBy("lang", "size")
-    counts = counts.withColumns({"place": F.row_number().over(each.orderBy(F.desc("n"), "item")), "total": F.sum("n").over(each)})
-    kept = counts.where(F.col("place") <= ENTRIES // (len(langs) * (LONGEST + 1))).toPandas()
-    of = {x: i for i, x in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = []
+    counts = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(sized).toPandas()
+    counts["lang"] = counts["lang"].map({x: i for i, x in enumerate(langs)}).astype("int32")
+    tables = []
     for size in range(LONGEST + 1):
-        own = kept[kept["size"] == size]
-        items = {x: i for i, x in enumerate(sorted(set(own["item"])))}
-        seen, totals = np.zeros((len(items), len(langs))), np.ones(len(langs))
-        at = own["lang"].map(of).to_numpy(int)
-        seen[own["item"].map(items).to_numpy(int), at] = own["n"]
-        totals[at] = own["total"]
-        logs = np.log((seen + SMOOTH) / (totals + SMOOTH * len(items))).astype(np.float32)
-        tables.append(dict(zip(items, logs, strict=True)))
+        own = counts[counts["size"] == size].sort_values(["item", "lang"])
+        at, items = own["item"].factorize()
+        n, lang = own["n"].to_numpy(), own["lang"].to_numpy()
+        totals = np.bincount(lang, n, len(langs)) + SMOOTH * max(1, len(items))
+        logs = np.log((n + SMOOTH) / totals[lang]).astype(np.float32)
+        tables.append(Logs(list(items), np.cumsum(np.bincount(at, minlength=len(items))), lang, logs, np.log(SMOOTH / totals).astype(np.float32)))
     return langs, tables
 
 
 class Scorer:
-    """Log scores of words by language, remembered up to CACHE words."""
+    """Log scores of words by language, remembered up to CACHE numbers."""
 
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]) -> None:
+    def __init__(self, langs: list[str], tables: list[Logs]) -> None:
         self.langs, self.tables = langs, tables
+        self.cache = max(1_000, CACHE // max(1, len(langs)))
         self.forget()
 
     def forget(self) -> None:
@@ -118,8 +133,7 @@ class Scorer:
         if (found := self.tables[0].get(word)) is not None:
             return found
         for n in range(LONGEST, 0, -1):
-            known = self.tables[n]
-            hits = [known[g] for g in grams(word, n) if g in known]
+            hits = [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]
             if hits:
                 return sum(hits) / len(hits)
         return 0.0
@@ -128,7 +142,7 @@ class Scorer:
         words = WORD.findall((text or "").lower())
         if not self.langs or not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
             return UNKNOWN, 0.0
-        if len(self.rows) > CACHE:
+        if len(self.rows) > self.cache:
             self.forget()
         at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         total = self.values[at].sum(axis=0, dtype=np.float64)
@@ -138,7 +152,7 @@ class Scorer:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def identify(docs: DataFrame, model: tuple[list[str], list[dict[str, np.ndarray]]]) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], list[Logs]]) -> DataFrame:
     """Add lang_pred and score (0 to 1) to ``docs``, from the whole text alone.
 
     A text that is null or has no letter, and any text without a model, is ``und`` with score 0. Ties
