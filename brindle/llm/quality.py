@@ -22,13 +22,13 @@ MIN_WORDS, MAX_REPEATED, REPEAT_WINDOW = 20, 30, 8
 #: reach grows by sqrt(1 + SHORT / n).
 BAND, LEAST_RANGE, SHORT = 2.0, 0.015, 50
 #: Entries of a model (12 bytes each) that tasks may hold. A larger model is joined with the n-grams instead.
-HELD = 4_000_000
+HELD = 8_000_000
 #: Characters that are counted at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Discounts where a language has too few n-grams to tell them.
 DISCOUNTS = (0.5, 0.75, 0.9)
 _SPACES = " \t\n\r\x0b\x0c"
-_MIX = 0x9E3779B97F4A7C15
+_MIX, _ODD = 0x9E3779B97F4A7C15, 0x5851F42D4C957F2D
 
 
 def points(text: str) -> np.ndarray:
@@ -76,11 +76,19 @@ def count_grams(texts: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
 
 
 def repeated_words(words: list[bytes], window: int = REPEAT_WINDOW) -> int:
-    """Words that stand in a window of ``window`` words found twice or more in the text. Windows are
-    compared exactly: pairs are numbered, then pairs of pairs, and so on (``window`` is a power of 2)."""
+    """Words that stand in a window of ``window`` words found twice or more in the text. If windows have
+    equal hashes they are compared exactly: pairs are numbered, then pairs of pairs, and so on (``window``
+    is a power of 2)."""
     n = len(words) - window + 1
     if n < 2:
         return 0
+    ids = np.fromiter(map(hash, words), np.int64, len(words))
+    mixed = np.zeros(n, np.int64)
+    for k in range(window):
+        mixed = mixed * np.int64(_ODD) + ids[k : k + n]
+    mixed.sort()
+    if (mixed[1:] != mixed[:-1]).all():
+        return 0
     numbers: dict[bytes, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
     size = 1
