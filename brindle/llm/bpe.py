@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,20 +66,27 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.n
     return values[np.arange(total) - np.repeat(ends - n, n) + np.repeat(starts[at], n)]
 
 
+def _content(words: dict[bytes, int], bodies: list[bytes]) -> int:
+    """A chunk's key follows from what it holds. Words and documents are read apart, and may be read again
+    when an executor is lost: chunks that are composed otherwise then don't meet, see :func:`_joined`."""
+    h = xxhash.xxh3_64(b"\0".join(words))
+    h.update(b"".join(bodies))
+    return h.intdigest() - (1 << 63)
+
+
 def _chunker(split: str, parts: int):
     """Each Arrow batch of documents is a chunk: its documents as numbers of the chunk's distinct words,
     and those words dealt over ``parts`` by hash."""
     units = SPLITS[split]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId() << 24
-        for number, batch in enumerate(batches):
+        for batch in batches:
             words = _Numbered()
             number_of = words.__getitem__
             bodies = [_pack(np.fromiter(map(number_of, units(t.as_py() or "")), np.uint32)) for t in batch.column(1)]
-            n = len(bodies)
+            n, number = len(bodies), _content(words, bodies)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([task + number] * n, pa.int64()), pa.array([-1] * n, pa.int32()), batch.column(0), pa.array(bodies, pa.binary()), pa.nulls(n, pa.binary())],
+                [pa.array([number] * n, pa.int64()), pa.array([-1] * n, pa.int32()), batch.column(0), pa.array(bodies, pa.binary()), pa.nulls(n, pa.binary())],
                 names=["chunk", "part", "doc_id", "first", "second"],
             )
             dealt: dict[int, tuple[list[bytes], list[int]]] = {}
@@ -91,7 +98,7 @@ def _chunker(split: str, parts: int):
             blobs = [_pack(np.frombuffer(b"".join(w), np.uint8)) for w, _ in dealt.values()]
             sizes = [_pack(np.array([*map(len, w), *i], np.uint32)) for w, i in dealt.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([task + number] * n, pa.int64()), pa.array(list(dealt), pa.int32()), pa.nulls(n, batch.column(0).type), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())],
+                [pa.array([number] * n, pa.int64()), pa.array(list(dealt), pa.int32()), pa.nulls(n, batch.column(0).type), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())],
                 names=["chunk", "part", "doc_id", "first", "second"],
             )
 
@@ -115,6 +122,8 @@ BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerat
 #: Words that one call of the tokenizer encodes together, and calls before their ids are collected.
 _TOGETHER, _CALLS = 64, 256
 _DECODED = 256
+#: Documents whose distinct words make one part of the word table, on average.
+PART_DOCS = 4_000
 
 
 class WordEncoder:
@@ -222,7 +231,9 @@ def _joined(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     values = np.concatenate([empty, *ids])
     lengths_by, starts_by = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     lengths_by[place], starts_by[place] = length, np.cumsum(length) - length
-    bodies = (_unpack(x, np.uint32) for x in docs["first"])
+    bodies = [_unpack(x, np.uint32) for x in docs["first"]]
+    if max((int(b.max()) for b in bodies if len(b)), default=-1) >= len(place):
+        raise RuntimeError("a chunk's words are missing: its documents were read in another order than its words")
     return pd.DataFrame({"doc_id": docs["doc_id"], "ids": [gather(values, starts_by, lengths_by, b).tobytes() for b in bodies]})
 
 
@@ -240,7 +251,7 @@ def encode_documents(docs: DataFrame, path: str, split: str = "bytes", store: bo
     table gives none. Texts of any length are whole. Other columns are not read.
     """
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // PART_DOCS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select(F.col("doc_id").cast("string"), "text")  # pandas would make a long column with nulls double
     chunks = docs.mapInArrow(_chunker(split, parts), _CHUNKS)
