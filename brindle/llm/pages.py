@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.catalog import query
+from brindle.llm.common import small
 from brindle.llm.urls import host_of
-from brindle.session import table
+from brindle.session import scratch, table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -25,7 +26,7 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(
 CONTAINERS = frozenset("body main article section div td center blockquote".split())
 BLOCKS = CONTAINERS | frozenset("html head p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th pre hr figure figcaption header footer nav aside form fieldset address details summary caption".split())
 VOID = frozenset("br hr img input meta link source area base col embed param track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript template xmp noembed noframes svg math object select button".split())
+RAW = frozenset("script style textarea title iframe noscript template xmp noembed noframes svg select button".split())
 #: Elements that never hold the article's text.
 NOISE_TAGS = frozenset("head nav footer aside form".split())
 #: Words of class, id and role names that mark what isn't the article.
@@ -42,6 +43,8 @@ ROOTS = frozenset("html body main article".split())
 LEAST_SHARE = 0.7
 #: The part of a container's score that its parent gets too.
 UP = 0.5
+#: Hosts whose paths may be broadcast; with more of them pages are shuffled by host.
+HOSTS = 200_000
 #: Elements nested deeper than this break blocks and may be noise, but are no containers of their own.
 DEEPEST = 256
 
@@ -287,7 +290,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     empty; a column named text is replaced. Pages are read whole.
     """
     pages = pages.drop("text")
-    paths = consensus_paths(pages)
+    paths = small(scratch(consensus_paths(pages), "page-paths"), HOSTS)
     named = pages.withColumn("_host", host_of(F.col("url"))).join(paths.select(F.col("host").alias("_host"), F.col("path").alias("_path")), "_host", "left")
     keep = pages.columns
 

@@ -76,6 +76,20 @@ def test_all_parts_of_an_article_are_read():
     assert pages.main_text(other, "/body/div.a") == (long * 2).strip()
 
 
+def test_formulas_and_fallbacks_are_text():
+    page = "<body><article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p><object data='x'><p>Not shown?</p></object></article></body>"
+    assert pages.main_text(page) == "Energy is E=m here.\nNot shown?"
+
+
+def test_repeated_pages_and_a_table_of_many_hosts(spark, monkeypatch):
+    rows = [(i % 3, f"http://h{i % 3}.org/", f"<body><div class='a'><p>{'text ' * 20}{i % 3}</p></div><nav>no</nav></body>") for i in range(9)]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((i % 3, ("text " * 20) + str(i % 3)) for i in range(9))
+    for hosts in (pages.HOSTS, 0):  # broadcast, and shuffled
+        monkeypatch.setattr(pages, "HOSTS", hosts)
+        assert sorted((r.page_id, r.text) for r in pages.extract_pages(given).collect()) == want
+
+
 def test_noise_is_tracked_at_any_depth():
     deep = "<div>" * 400
     page = f"<body>{deep}<p>kept text that is long enough</p><div class='ad'><div>dropped</div></div><nav>dropped</nav><p>kept too</p>{'</div>' * 400}</body>"
