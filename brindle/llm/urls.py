@@ -18,7 +18,7 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: A listed host has a label that holds one of these words.
+#: A listed host has one of these words as a label, or as a label's part between hyphens.
 LISTED_WORDS = ("casino", "bets", "pills", "adult", "spam", "ads")
 TRACKING = "^(utm_[a-z]*|ref|fbclid|gclid)="
 #: The filter never has more blocks than this: 8 bytes of bits each, so its broadcast is bounded.
@@ -119,9 +119,9 @@ def filter_urls(
 
 
 def listed_urls(pages: DataFrame, words: Sequence[str] = LISTED_WORDS, url: str = "url") -> DataFrame:
-    """Canonical URLs whose host holds one of ``words``: the list that the query filters by, since the
-    given tables bring none."""
-    return pages.where(host_of(F.col(url)).rlike("|".join(words))).select(canonical(F.col(url)).alias("canonical"))
+    """Canonical URLs whose host has one of ``words`` as a label or a part of one: the list that the query
+    filters by, since the given tables bring none."""
+    return pages.where(host_of(F.col(url)).rlike(f"(^|[.-])({'|'.join(words)})([.-]|$)")).select(canonical(F.col(url)).alias("canonical"))
 
 
 _SQL = r"""
@@ -134,7 +134,7 @@ WITH parts AS (
   FROM pages),
 keyed AS (
   SELECT *, host || regexp_replace(path, '/$', '') || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS key FROM parts),
-listed AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(host, 'casino|bets|pills|adult|spam|ads') AND key <> ''),
+listed AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(host, '(^|[.-])(casino|bets|pills|adult|spam|ads)([.-]|$)') AND key <> ''),
 rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 best AS (
   SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
