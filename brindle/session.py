@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,13 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster names
-    it, else (tests, one machine) a temporary folder made once per session."""
+    it, else (tests, one machine) a temporary folder made once per session and removed at the end.
+
+    Tables in a named folder stay, since results that read them may outlive the session's queries."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     own = spark.conf.get("brindle.scratch", None)
     if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="brindle-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = "file://" + folder
         spark.conf.set("brindle.scratch", own)
     return own
 
