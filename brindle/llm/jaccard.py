@@ -2,9 +2,11 @@
 
 A document with n shingles needs T = ceil(3n/4) of them in common with any partner. Lists are ordered from
 short to long by a frequency sketch. Of the document's n - T + L shortest lists a partner must stand in L,
-so only these are merged, and documents without so many shared lists drop out; the long lists are never
-merged, but probed by binary search for the candidates that the short ones give. A pair stays if its
-overlap reaches what it needs.
+so only these are merged (each task sends its entries sorted, and the sorted runs are merged), and documents without
+so many shared lists drop out. A pair's occurrences in the merged lists are counted, and it is a candidate
+from L on. The long lists are never merged: whether a candidate stands in the list of a shingle is
+asked by binary search for the shingle in the candidate's sorted set, which needs no list of a common
+shingle in one place. A pair stays if its overlap reaches what it needs.
 """
 
 from __future__ import annotations
@@ -78,6 +80,13 @@ def shared_least(n, percent: int = PERCENT):
     return F.greatest(F.lit(1), F.floor(n * (SHARED * percent / 10_000)))
 
 
+def occurrences_least(n_a, n_b):
+    """In how many merged lists the two members of a linked pair stand together at least, as columns: each
+    sends SHARED hundredths more of its lists than it may miss. Two shingles in one list (lists are told apart by
+    part and 32 bits) are allowed for in large sets."""
+    return F.greatest(F.lit(1), F.ceil(F.least(n_a, n_b) * SHARED / 100) - F.floor(F.greatest(n_a, n_b) / 1024))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets link: the shorter one is probed for in the longer one."""
     a, b = (a, b) if len(a) <= len(b) else (b, a)
@@ -160,10 +169,10 @@ def _postings(words: int, percent: int, parts: int, sketch):
                 continue
             s = np.concatenate(lists)
             at = np.repeat(np.arange(len(lists), dtype=np.uint32), [len(x) for x in lists])
-            part = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            ends = np.cumsum(np.bincount(part, minlength=parts))[:-1]
-            keys, at, ids = np.split((s >> np.uint64(32)).astype(np.uint32)[order], ends), np.split(at[order], ends), _short(digests)
+            part, key = (s >> np.uint64(20)) % np.uint64(parts), s >> np.uint64(32)
+            order = np.argsort((part << np.uint64(32)) | key)  # a sorted run for each part
+            ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))[:-1]
+            keys, at, ids = np.split(key.astype(np.uint32)[order], ends), np.split(at[order], ends), _short(digests)
             sizes = np.array(sizes, np.uint32)
             rows: list[list] = [[], [], [], [], []]
             for p in range(parts):
@@ -186,7 +195,7 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
         ids.append(np.frombuffer(own, np.int64)[at])
         sizes.append(np.frombuffer(n, np.uint32)[at])
     k, i, n = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k, kind="stable")  # merges the sorted runs
     k, i, n = k[order], i[order], n[order]
     once = np.ones(len(k), bool)  # most lists have one entry: these need no second sort
     once[1:] &= k[1:] != k[:-1]
@@ -278,30 +287,31 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _compare(percent: int, at_once: int = 1 << 20):
-    """Pairs of a list's members from different components that size and bitmaps allow to link. All lists of
-    a group are worked on together: each entry meets the next one of its list, then the one after, ..."""
+    """Pairs of a list's members from different components that size and bitmaps allow to link, with the number
+    of lists in which they stand together. All lists of a group are worked on together: each entry meets the next one of
+    its list, then the one after, ..."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["list", "id"], kind="stable")
         lists, ids, n, block = (rows[c].to_numpy() for c in ("list", "id", "n", "block"))
         labels = pd.factorize(rows["label"])[0]
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITS)
+        _, first, member = np.unique(ids, return_index=True, return_inverse=True)  # members, numbered by id
+        bits = np.frombuffer(b"".join(rows["bits"].iloc[first]), np.uint64).reshape(-1, BITS)
         whole = rows["low"].iloc[0] == rows["high"].iloc[0]  # else only pairs from the two blocks
         ends = np.searchsorted(lists, lists, side="right")
-        found, held, size = [np.zeros((0, 2), np.int64)], [], 0
+        found, held, size = [np.zeros((0, 3), np.int64)], [], 0
 
         def sift() -> None:
             """A pair stands in many lists: it is looked at once."""
             nonlocal held, size
-            i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-            pairs = np.stack([ids[i], ids[j]], axis=1)
-            _, first = np.unique(pairs, axis=0, return_index=True)
-            i, j, pairs = i[first], j[first], pairs[first]
+            pairs, times = np.unique(np.concatenate(held), return_counts=True)
+            i, j = np.divmod(pairs, len(first))
             for at in range(0, len(i), 1 << 14):
                 x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                 # overlap >= p (x + y) / (100 + p) leaves at most (100 - p) (x + y) / (100 + p) apart
                 apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                found.append(pairs[at : at + (1 << 14)][(100 + percent) * apart <= (100 - percent) * (n[x] + n[y])])
+                ok = (100 + percent) * apart <= (100 - percent) * (n[first[x]] + n[first[y]])
+                found.append(np.stack([x[ok], y[ok], times[at : at + (1 << 14)][ok]], axis=1))
             held, size = [], 0
 
         alive, step = np.arange(len(ids)), 0
@@ -313,14 +323,15 @@ def _compare(percent: int, at_once: int = 1 << 20):
             if not whole:
                 ok &= block[alive] != block[j]
             if ok.any():
-                held.append((alive[ok], j[ok]))
+                held.append(member[alive[ok]] * len(first) + member[j[ok]])
                 size += int(ok.sum())
             if size > at_once:
                 sift()
         if held:
             sift()
-        out = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+        i, j, times = np.concatenate(found).T
+        i, j = first[i], first[j]
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "n_a": n[i], "n_b": n[j], "times": times})
 
     return run
 
@@ -359,7 +370,8 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     classes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select(short, "doc_id")
     wanted = classes.join(lists.select("id").distinct(), "id").select("doc_id")
     sets = marked(docs, wanted).select("text").mapInArrow(_sets(words), "id long, digest binary, n long, set binary, bits binary")
-    sets = scratch(sets.join(lists.select("id").distinct(), "id", "left_semi"), "jaccard-sets")
+    sets = sets.join(lists.select("id").distinct(), "id", "left_semi").groupBy("id", "digest")
+    sets = scratch(sets.agg(*(F.first(c).alias(c) for c in ("n", "set", "bits"))), "jaccard-sets")  # copies once
     shared = lists.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count("*").alias("shared"))
     shared = scratch(shared, "jaccard-shared")
     stars = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b"))
@@ -386,7 +398,9 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     # lists with one smallest member hold much the same pairs: in one of four groups these are found once
     near = F.pmod(F.xxhash64("pivot", F.pmod("list", F.lit(4))), F.lit(8 * shuffles))
     rest = rest.withColumn("group", F.when(F.col("blocks") == 1, near).otherwise(F.col("list"))).drop("pivot")
-    pairs = rest.groupBy("group", "low", "high").applyInPandas(_compare(percent), "a long, b long").distinct()
+    met = rest.groupBy("group", "low", "high").applyInPandas(_compare(percent), "a long, b long, n_a long, n_b long, times long")
+    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    pairs = met.where(F.col("times") >= occurrences_least(F.col("n_a"), F.col("n_b"))).select("a", "b")
     more = verified(pairs, sets, percent)
     return told, links.union(scratch(more, "jaccard-links"))
 
