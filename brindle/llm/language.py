@@ -61,13 +61,13 @@ class Logs:
     """Log frequencies of items (words, or n-grams of one length) by language: sparse, since most items stand in
     one language. ``unseen`` is what the others have."""
 
-    def __init__(self, items: list[str], ends: np.ndarray, langs: np.ndarray, logs: np.ndarray, unseen: np.ndarray) -> None:
+    def __init__(self, items: pa.Array, ends: np.ndarray, langs: np.ndarray, logs: np.ndarray, unseen: np.ndarray) -> None:
         self.items, self.ends, self.langs, self.logs, self.unseen = items, ends, langs, logs, unseen
         self.places: dict[str, int] | None = None
 
     def get(self, item: str) -> np.ndarray | None:
         if self.places is None:
-            self.places = {x: i for i, x in enumerate(self.items)}
+            self.places = {x: i for i, x in enumerate(self.items.to_pylist())}
         i = self.places.get(item)
         if i is None:
             return None
@@ -94,16 +94,19 @@ def train(docs: DataFrame) -> tuple[list[str], list[Logs]]:
     sample = known.where(dice < share[F.col("lang")]).select("lang", "text")
     words = scratch(sample.mapInArrow(_count_words, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n")), "lang-words")
     sized = words.mapInArrow(_count_grams, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
-    counts = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(sized).toPandas()
-    counts["lang"] = counts["lang"].map({x: i for i, x in enumerate(langs)}).astype("int32")
+    number = F.create_map(*(x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))))
+    counts = words.select("lang", F.lit(0).alias("size"), "item", "n").unionByName(sized)
+    counts = counts.orderBy("size", "item", "lang").select("size", "item", number[F.col("lang")].alias("lang"), "n").toArrow()
+    bounds = np.searchsorted(counts.column("size").to_numpy(), range(LONGEST + 2))
     tables = []
     for size in range(LONGEST + 1):
-        own = counts[counts["size"] == size].sort_values(["item", "lang"])
-        at, items = own["item"].factorize()
-        n, lang = own["n"].to_numpy(), own["lang"].to_numpy()
+        own = counts.slice(bounds[size], bounds[size + 1] - bounds[size]).combine_chunks()
+        coded = own.column("item").combine_chunks().dictionary_encode()
+        at, items = coded.indices.to_numpy(), coded.dictionary
+        n, lang = own.column("n").to_numpy(), own.column("lang").to_numpy()
         totals = np.bincount(lang, n, len(langs)) + SMOOTH * max(1, len(items))
         logs = np.log((n + SMOOTH) / totals[lang]).astype(np.float32)
-        tables.append(Logs(list(items), np.cumsum(np.bincount(at, minlength=len(items))), lang, logs, np.log(SMOOTH / totals).astype(np.float32)))
+        tables.append(Logs(items, np.cumsum(np.bincount(at, minlength=len(items))), lang, logs, np.log(SMOOTH / totals).astype(np.float32)))
     return langs, tables
 
 

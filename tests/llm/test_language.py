@@ -28,6 +28,8 @@ def test_odd_texts_and_no_model(spark):
     assert [found[i].lang_pred for i in (0, 1, 2, 7)] == ["und"] * 4
     assert found[3].lang_pred == "en"
     assert all(r.lang_pred != "und" for i, r in found.items() if i in (3, 4, 6))
+    bare = language.train(spark.createDataFrame([(1, "12 34", "x")], "doc_id long, text string, lang string"))
+    assert {r.lang_pred for r in language.identify(docs, bare).collect()} == {"und", "x"}
     none = language.train(table(spark, SF, "documents").where("false"))
     assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
@@ -37,7 +39,7 @@ def test_backoff_is_by_hand(spark):
     docs = spark.createDataFrame([(1, "ab ab cd", "x"), (2, "ef ef ef", "y"), (3, None, "z"), (4, "ef", None)], "doc_id long, text string, lang string")
     langs, tables = language.train(docs)
     assert langs == ["x", "y"]
-    assert tables[0].items == ["ab", "cd", "ef"]
+    assert tables[0].items.to_pylist() == ["ab", "cd", "ef"]
     scorer = language.Scorer(langs, tables)
     assert (scorer.word("ab") == tables[0].get("ab")).all()
     assert (scorer.word("abz") == (tables[3].get(" ab"))).all()  # no 4-gram is known, one 3-gram is
