@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.catalog import query
+from brindle.llm.common import slices
 from brindle.session import scratch, table
 
 WORDS, PERCENT = 5, 75
@@ -49,7 +50,7 @@ class Shingler:
 
         class Hashes(dict):
             def __missing__(self, word: bytes) -> int:
-                if len(self) > 300_000:
+                if len(self) > 150_000:
                     self.clear()
                 self[word] = h = xxhash.xxh3_64_intdigest(word)
                 return h
@@ -120,7 +121,7 @@ def _first_pass(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, slots = Shingler(words), set(), np.zeros(SKETCH, np.uint32)
         kind = None
-        for batch in batches:
+        for batch in slices(batches):
             kind = batch.column(0).type
             sizes, digests, fresh = [], [], []
             for text in batch.column(1).to_pylist():
@@ -153,7 +154,7 @@ def _postings(words: int, percent: int, parts: int, sketch):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, often = Shingler(words), set(), np.frombuffer(sketch.value, np.uint32)
-        for batch in batches:
+        for batch in slices(batches, 3_000):
             digests, lists, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle(text)
@@ -220,7 +221,7 @@ def _sets(words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(words), set()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list] = [[], [], [], [], []]
             for text in batch.column(0).to_pylist():
                 s = shingle(text)

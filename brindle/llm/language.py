@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.catalog import query
+from brindle.llm.common import slices
 from brindle.session import scratch, table
 
 #: The model is fitted on about so many labelled documents of a language at most, and of all languages
 #: together, chosen by hash of doc_id. All languages are learned, and all words and n-grams of the sample.
-SAMPLE_DOCS, ALL_DOCS = 2_000, 40_000
+SAMPLE_DOCS, ALL_DOCS = 1_000, 20_000
 LONGEST = 4  # characters of the longest n-grams
 SMOOTH = 0.5
 #: Words that count for the score: a longer text doesn't get surer than one of so many words.
 SURE_WORDS = 50
-CACHE = 800_000  # scores of words that are remembered, over all languages
+CACHE = 400_000  # scores of words that are remembered, over all languages
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -37,7 +38,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 5_000):
         found: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
@@ -168,7 +169,7 @@ def identify(docs: DataFrame, model: tuple[list[str], list[Logs]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             found = [scorer.predict(t) for t in batch.column(place).to_pylist()]
             more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "score"])
