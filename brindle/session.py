@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -41,3 +42,10 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier jobs left on the driver. Spark drops their shuffle files and broadcasts once the
+    objects that stand for them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
