@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import jaccard, language, packing, pii, quality
-from brindle.session import scratch, table
+from brindle.session import release, scratch, table
 
 #: A document stays if its language is known with this score at least.
 LEAST_SCORE = 0.5
 
 
+def stage(step: Callable) -> Callable:
+    """A stage begins with what the ones before it left on the driver released."""
+
+    @functools.wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return step(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; lang becomes the prediction. Learns from the documents that are
     not held out."""
@@ -19,16 +34,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band."""
     return quality.judge(docs).where("kept").select(*docs.columns)
 
 
+@stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
     return jaccard.keep_one(docs, jaccard.labelled_rows(docs)).select(*docs.columns)
 
 
+@stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data and what discloses it replaced in their texts; n_chars follows."""
     found = pii.find_personal(docs, [c for c in docs.columns if c not in ("doc_id", "text")])
@@ -36,6 +54,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 2048 tokens."""
     return packing.pack_word_bpe(docs)
@@ -56,6 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for name, step in STAGES[:-1]:
+        docs = scratch(step(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
