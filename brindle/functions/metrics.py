@@ -159,8 +159,12 @@ def hamming(p: DataFrame, labels: int, by: Sequence[str] = BY) -> DataFrame:
     return p.groupBy(*by).agg(F.avg(d / F.lit(labels)).alias("value"))
 
 
-def score(p: DataFrame, metrics: Sequence[str], pos_label: str = "1", by: Sequence[str] = BY) -> DataFrame:
-    """H14. Rows (by, metric, value, larger); repeated metric names raise."""
+def score(p: DataFrame, metrics: Sequence[str], pos_label: str = "1", by: Sequence[str] = BY, k: int = 20, labels: int = 1, boxes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """H14. Rows (by, metric, value, larger); repeated metric names raise.
+
+    Some metrics need more of ``p``: rocAucMicro and rocAucMacro the map ``scores``, hammingLoss arrays and the number of
+    ``labels``, precisionAtTopK the ``k``, objectDetectionAP the tables ``boxes`` of truth and predictions, whose value all
+    groups share. rootMeanSquaredErrorAvg is one value for all targets, under the target ``all``."""
     if len(set(metrics)) != len(metrics):
         raise ValueError("a metric is named twice")
     one = {
@@ -168,6 +172,9 @@ def score(p: DataFrame, metrics: Sequence[str], pos_label: str = "1", by: Sequen
         "normalizedMutualInformation": lambda: nmi(p, by), "rSquared": lambda: r2(p, by), "rocAuc": lambda: roc_auc(p, pos_label, by),
         **{m: lambda c=c: prf(p, pos_label, by).select(*by, F.col(c).alias("value")) for m, c in (("precision", "precision"), ("recall", "recall"), ("f1", "f1"))},
         **{m: lambda c=c: errors(p, by).select(*by, F.col(c).alias("value")) for m, c in (("meanSquaredError", "mse"), ("rootMeanSquaredError", "rmse"), ("meanAbsoluteError", "mae"))},
+        "rocAucMicro": lambda: roc_auc_micro(p, by), "rocAucMacro": lambda: roc_auc_macro(p, by), "precisionAtTopK": lambda: precision_at_k(p, k, by), "hammingLoss": lambda: hamming(p, labels, by),
+        "rootMeanSquaredErrorAvg": lambda: rmse_avg(p, [b for b in by if b != "target"]).withColumn("target", F.lit("all")).select(*by, "value"),
+        "objectDetectionAP": lambda: p.select(*by).distinct().crossJoin(F.broadcast(detection_ap(*boxes))),
     }
     larger = dict(DIRECTIONS)
     parts = [one[m]().withColumn("metric", F.lit(m)).withColumn("larger", F.lit(larger[m])) for m in metrics]

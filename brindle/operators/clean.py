@@ -206,11 +206,18 @@ def column_sample(df: DataFrame, key: str, column: str, large: int = 100_000, me
 
 
 def candidate_columns(df: DataFrame, roles: Sequence[str]) -> DataFrame:
-    """C16. (column, role) for the columns with one of ``roles``: candidates for entity matching."""
+    """C16. (column, role, filled, different) for the columns with one of ``roles``: candidates for entity matching, with
+    how many rows fill them and how many different values there are, from one pass over the rows."""
     from brindle.operators.schema import roles_of
 
-    rows = [(c, r) for c in df.columns for r in roles_of(df, c) if r in roles]
-    return df.sparkSession.createDataFrame(rows, "column string, role string")
+    found = [(c, r) for c in df.columns for r in roles_of(df, c) if r in roles]
+    columns = list(dict.fromkeys(c for c, _ in found))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, role string, filled long, different long")
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
+    counts = cells.groupBy("column", "value").agg(F.count("value").alias("n")).groupBy("column").agg(F.sum("n").alias("filled"), F.count("value").alias("different"))
+    roles_by = F.create_map(*(x for c in columns for x in (F.lit(c), F.array(*[F.lit(r) for k, r in found if k == c]))))
+    return counts.select("column", F.explode(roles_by[F.col("column")]).alias("role"), "filled", "different")
 
 
 def series_to_long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

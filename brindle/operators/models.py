@@ -335,8 +335,8 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
         lower = scratch(lower.join(jump, "component", "left").select("node", "old", F.least("component", "far").alias("component")), "graph-labels")
         labels = lower.select("node", "component")
         if lower.where(F.col("old") != F.col("component")).isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"the components did not settle in {rounds} rounds")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -365,26 +365,39 @@ def spectral_embedding(edges: DataFrame, d: int = 2, rounds: int = 3, laplacian:
     return x.select("node", F.array(*names).alias("vec"))
 
 
-def communities(edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """I30. Label propagation: each round a node takes its neighbours' most frequent label, ties to the
-    smallest."""
+def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """I30. Label propagation until no label changes, in ``rounds`` rounds at most: a node takes its neighbours' most
+    frequent label, its own counting once, ties to the smallest. Half of the nodes may change in a round, so that
+    two sides of a graph don't just swap their labels."""
     both = scratch(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct(), "graph-edges")
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count("*").alias("n"))
-        labels = scratch(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label")), "graph-labels")
+    labels = scratch(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "graph-labels")
+    idle = 0
+    for turn in range(rounds):
+        votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "label").union(labels)
+        votes = votes.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("best"))
+        may = F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
+        told = scratch(labels.join(votes, "node").select("node", F.col("label").alias("old"), F.when(may, F.col("best")).otherwise(F.col("label")).alias("label")), "graph-labels")
+        idle = idle + 1 if told.where(F.col("old") != F.col("label")).isEmpty() else 0
+        labels = told.select("node", "label")
+        if idle == 2:
+            break
     return labels
 
 
-def link_scores(edges: DataFrame) -> DataFrame:
-    """I31. (a, b, common, adamic_adar) for pairs with a common neighbour of degree 2 or more. The pairs of a
-    neighbour are a stated output; its neighbours are joined by equality on it."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
-    degree = both.groupBy("src").agg(F.count("*").alias("deg")).where("deg >= 2")
-    weighed = both.join(degree, "src").select(F.col("src").alias("via"), F.col("dst").alias("n"), "deg")
-    a, b = weighed.alias("a"), weighed.select(F.col("via"), F.col("n")).alias("b")
-    pairs = a.join(b, (F.col("a.via") == F.col("b.via")) & (F.col("a.n") < F.col("b.n")))
-    return pairs.groupBy(F.col("a.n").alias("a"), F.col("b.n").alias("b")).agg(F.count("*").alias("common"), F.sum(1 / F.log(F.col("deg"))).alias("adamic_adar"))
+#: Neighbours of a node that one task pairs with the queries among them.
+HUB = 2_000
+
+
+def link_scores(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """I31. (a, b, common, adamic_adar) for each ``queries(node)`` a and every other node b with which it has a common
+    neighbour of degree 2 or more. A hub's neighbours are dealt over blocks of HUB, so that no task pairs all of them."""
+    both = scratch(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct(), "graph-edges")
+    degree = both.groupBy("src").agg(F.count("*").alias("deg")).where("deg >= 2").withColumn("blocks", F.ceil(F.col("deg") / HUB).cast("int"))
+    weighed = both.join(degree, "src").select(F.col("src").alias("via"), F.col("dst").alias("n"), "deg", "blocks")
+    asked = weighed.join(queries.select(F.col("node").alias("n")).distinct(), "n").select("via", F.col("n").alias("a"), "deg", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    others = weighed.select("via", F.col("n").alias("b"), F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int").alias("block"))
+    pairs = asked.join(others, ["via", "block"]).where("a <> b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(1 / F.log(F.col("deg"))).alias("adamic_adar"))
 
 
 def vertex_features(edges: DataFrame, labels: DataFrame, classes: Sequence[str]) -> DataFrame:
@@ -399,9 +412,9 @@ def _share(cond: Column) -> Column:
     return F.coalesce(F.avg(cond.cast("double")), F.lit(0.0))
 
 
-def match_graphs(left: DataFrame, right: DataFrame, seeds: DataFrame, rounds: int = 2, least: int = 2) -> DataFrame:
+def match_graphs(left: DataFrame, right: DataFrame, seeds: DataFrame, rounds: int = 10, least: int = 2) -> DataFrame:
     """I33. Seeded matching by percolation: pairs are scored by their matched neighbour pairs, and mutual best
-    ones join the matching, round by round."""
+    ones join the matching, round by round, until there are no more (in ``rounds`` rounds at most)."""
     a = left.select("src", "dst").union(left.select(F.col("dst"), F.col("src"))).distinct()
     b = right.select("src", "dst").union(right.select(F.col("dst"), F.col("src"))).distinct()
     matched = seeds.select("a", "b")
@@ -411,5 +424,8 @@ def match_graphs(left: DataFrame, right: DataFrame, seeds: DataFrame, rounds: in
         marks = marks.join(matched.select(F.col("a").alias("x")), "x", "left_anti").join(matched.select(F.col("b").alias("y")), "y", "left_anti")
         by = lambda c, o: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("n"), o))
         best = marks.withColumns({"_x": by("x", "y"), "_y": by("y", "x")}).where("_x = 1 and _y = 1").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        best = scratch(best, "graph-match")
+        if best.isEmpty():
+            break
         matched = scratch(matched.union(best), "graph-match")
     return matched

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from brindle.functions.keys import u
 from brindle.operators.ranks import blocks_of, number_rows, quantile_blocks
-
-#: Weights that are broadcast at most.
-MAX_WEIGHTS = 100_000
+from brindle.session import scratch
 
 
 def _shuffled(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -72,12 +71,18 @@ def weighted_sample(df: DataFrame, key: str, weight: str, k: int, seed: str = ""
 
 
 def weighted_choice(df: DataFrame, key: str, weight: str, n: int, seed: str = "") -> DataFrame:
-    """G7. ``n`` draws with replacement from a table of weights: (draw, key). The weights are broadcast, so
-    a table of more than MAX_WEIGHTS rows raises."""
-    if df.count() > MAX_WEIGHTS:
-        raise ValueError(f"more than {MAX_WEIGHTS} weights")
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.select(key, F.col(weight).alias("_w"), F.sum(weight).over(w).alias("_hi"))
-    total = df.agg(F.sum(weight)).first()[0]
+    """G7. ``n`` draws with replacement from a table of weights: (draw, key). Weights are summed in blocks along the
+    key, 10,000 blocks at most; a draw finds its block, then its row by a join inside the block."""
+    block = F.ascii(key) if isinstance(df.schema[key].dataType, StringType) else quantile_blocks(df, key, df.count())
+    inside = Window.partitionBy("_block").orderBy(key)
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.select(key, F.col(weight).alias("_w"), block.alias("_block"))
+    sums = sums.withColumns({"_hi": F.sum("_w").over(upto), "_lo": F.coalesce(F.sum("_w").over(before), F.lit(0.0))})
+    along = Window.orderBy("_block")
+    blocks = sums.groupBy("_block").agg(F.max("_hi").alias("_all"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_all").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_from"), F.sum("_all").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"))
+    blocks = scratch(blocks, "weight-blocks")
+    total = blocks.agg(F.max("_to")).first()[0] or 0.0
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), (u("id", seed) * F.lit(float(total))).alias("_u"))
-    return draws.join(F.broadcast(sums), (F.col("_u") < F.col("_hi")) & (F.col("_u") >= F.col("_hi") - F.col("_w"))).select("draw", key)
+    draws = draws.join(F.broadcast(blocks), (F.col("_u") >= F.col("_from")) & (F.col("_u") < F.col("_to"))).withColumn("_u", F.col("_u") - F.col("_from"))
+    return draws.join(sums, "_block").where((F.col("_u") < F.col("_hi")) & (F.col("_u") >= F.col("_lo"))).select("draw", key)

@@ -326,7 +326,7 @@ def c15(spark, d):
     return clean.column_sample(table(spark, d, "orders"), "o_orderkey", "o_custkey")
 
 
-@query("c16_candidate_columns", "SELECT 'o_custkey' AS \"column\", 'attribute' AS role UNION ALL SELECT 'o_orderstatus', 'attribute' UNION ALL SELECT 'o_totalprice', 'attribute' UNION ALL SELECT 'o_orderpriority', 'attribute'")
+@query("c16_candidate_columns", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", 'attribute' AS role, count({c}) AS filled, count(DISTINCT {c}) AS different FROM orders" for c in ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")))
 def c16(spark, d):
     return clean.candidate_columns(roled(spark, d), ["attribute"])
 

@@ -184,12 +184,17 @@ def h13(spark, d):
     return metrics.hamming(s.withColumn("fold", (F.col("o_custkey") % 4).cast("int")), 3, ["fold"]).withColumn("value", F.round("value", 6))
 
 
-H14 = f"SELECT {BY}, round(avg((truth = pred)::INT), 6) AS value, 'accuracy' AS metric, true AS larger FROM {P} GROUP BY {BY} UNION ALL SELECT {BY}, round(avg(2 * tp / (2 * tp + fp + fn)), 6), 'f1Macro', true FROM {CLASSES} GROUP BY {BY}"
+H14 = f"SELECT {BY}, round(avg((truth = pred)::INT), 6) AS value, 'accuracy' AS metric, true AS larger FROM {P} GROUP BY {BY} UNION ALL SELECT {BY}, round(avg(2 * tp / (2 * tp + fp + fn)), 6), 'f1Macro', true FROM {CLASSES} GROUP BY {BY} UNION ALL SELECT {BY}, value, 'rocAucMicro', true FROM ({AUC.format(by=BY, src=SCORES)}) UNION ALL SELECT {BY}, round(avg(value), 6), 'rocAucMacro', true FROM ({AUC.format(by=BY + ', class', src=SCORES).replace(', 6)', ', 12)')}) GROUP BY {BY}"
 
 
 @query("h14_score", H14)
 def h14(spark, d):
-    return metrics.score(predictions(spark, d), ["accuracy", "f1Macro"]).withColumn("value", F.round("value", 6))
+    return metrics.score(scored(spark, d), ["accuracy", "f1Macro", "rocAucMicro", "rocAucMacro"]).withColumn("value", F.round("value", 6))
+
+
+@query("h14_score_numbers", f"SELECT candidate_id, fold, 'all' AS target, round(avg(v), 4) AS value, 'rootMeanSquaredErrorAvg' AS metric, false AS larger FROM (SELECT {BY}, sqrt(avg(pow(truth - pred, 2))) AS v FROM {N} GROUP BY ALL) GROUP BY ALL UNION ALL SELECT {BY}, round(count(*) FILTER (t <= 20 AND q <= 20) / 20, 4), 'precisionAtTopK', true FROM (SELECT {BY}, row_number() OVER (PARTITION BY {BY} ORDER BY truth DESC, row_id) AS t, row_number() OVER (PARTITION BY {BY} ORDER BY pred DESC, row_id) AS q FROM {N}) GROUP BY {BY}")
+def h14n(spark, d):
+    return metrics.score(numbers(spark, d), ["rootMeanSquaredErrorAvg", "precisionAtTopK"]).withColumn("value", F.round("value", 4))
 
 
 @query("h15_normalize_score", f"SELECT {BY}, round(1 / (1 + sqrt(avg(pow(truth - pred, 2)))), 9) AS normalized, 'rootMeanSquaredError' AS metric FROM {N} GROUP BY {BY}")

@@ -186,8 +186,7 @@ def i24(spark, d):
 
 @query("i25_gaussian_clusters")
 def i25(spark, d):
-    small = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("embedding"))
-    return models.gaussian_clusters(small, "embedding", (2, 3))[1].select("vec_id", "cluster")
+    return models.gaussian_clusters(table(spark, d, "embeddings"), "embedding", (2, 3, 4))[1].select("vec_id", "cluster")
 
 
 DAILY = "(SELECT event_type, ts::DATE AS day, round(sum(value), 4) AS v FROM events GROUP BY 1, 2)"
@@ -199,47 +198,53 @@ def i26(spark, d):
     return models.fit_ar1(daily, "event_type", "day", "v").select("event_type", r("slope", 6), r("intercept"), r("forecast"))
 
 
-WEEK = "(SELECT user_id, [sum(value) FILTER (dayofweek(ts) = 0), sum(value) FILTER (dayofweek(ts) = 1), sum(value) FILTER (dayofweek(ts) = 2)] AS w, (user_id % 2)::INT AS label FROM events GROUP BY 1)"
+WEEK = "(SELECT user_id, [" + ", ".join(f"round(coalesce(sum(value) FILTER (dayofweek(ts) = {k}), 0), 4)" for k in range(7)) + "] AS w, (user_id % 2)::INT AS label FROM events GROUP BY 1)"
+_WEEKS_APART = "round(sqrt(list_sum(list_transform(range(1, 8), lambda i: pow(x.w[i] - y.w[i], 2)))), 9)"
 
 
-@query("i27_series_knn", f"""WITH s AS (SELECT user_id, label, round(coalesce(w[1], 0), 4) AS a, round(coalesce(w[2], 0), 4) AS b, round(coalesce(w[3], 0), 4) AS c FROM {WEEK}),
-n AS (SELECT x.user_id, y.label FROM s x JOIN s y ON x.user_id <> y.user_id QUALIFY row_number() OVER (PARTITION BY x.user_id ORDER BY round(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2) + pow(x.c - y.c, 2)), 9), y.user_id) <= 3)
+@query("i27_series_knn", f"""WITH s AS {WEEK},
+n AS (SELECT x.user_id, y.label FROM s x JOIN s y ON x.user_id <> y.user_id WHERE x.user_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY x.user_id ORDER BY {_WEEKS_APART}, y.user_id) <= 3)
 SELECT user_id, label AS pred FROM (SELECT user_id, label, count(*) AS n FROM n GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, label) = 1""")
 def i27(spark, d):
+    """Queries are the users whose id is divisible by 50, against all users."""
     day = lambda k: F.round(F.coalesce(F.sum(F.when(F.dayofweek("ts") == k + 1, F.col("value"))), F.lit(0.0)), 4)
-    s = table(spark, d, "events").groupBy("user_id").agg(F.array(day(0), day(1), day(2)).alias("series")).withColumn("label", (F.col("user_id") % 2).cast("int"))
-    return models.knn_predict(s, s, "user_id", "series", "label", 3, same=True).select("user_id", "pred")
+    s = table(spark, d, "events").groupBy("user_id").agg(F.array(*map(day, range(7))).alias("series")).withColumn("label", (F.col("user_id") % 2).cast("int"))
+    return models.knn_predict(s, s.where("user_id % 50 = 0"), "user_id", "series", "label", 3, same=True).select("user_id", "pred")
 
 
-def edges(spark, d):
-    """Supplier to part edges of rare lines; parts are numbered from a million."""
-    li = table(spark, d, "lineitem").where("l_quantity = 50 and l_linenumber = 1")
-    return li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
+def edges(spark, d, where="true"):
+    """Supplier to part edges of all lines; parts are numbered from a million."""
+    return table(spark, d, "lineitem").where(where).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
 
 
-EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)"
+EDGES = "(SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem)"
+#: Labels by node: a row replaces the node's former one, as long as a neighbour's is smaller.
+COMPONENTS = f"""WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.src, min(r.component) FROM r JOIN e ON e.dst = r.node JOIN recurring.r AS o ON o.node = e.src GROUP BY e.src, o.component HAVING min(r.component) < o.component)"""
 
 
-@query("i28_largest_component", f"""WITH RECURSIVE e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), r(node, seen) AS (SELECT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.seen),
-c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1) SELECT node, component FROM c WHERE component = (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""")
+@query("i28_largest_component", f"{COMPONENTS} SELECT node, component FROM r WHERE component = (SELECT component FROM r GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
 def i28(spark, d):
     return models.largest_component(edges(spark, d))
 
 
 @query("i29_spectral_embedding")
 def i29(spark, d):
-    return models.spectral_embedding(edges(spark, d), 2, 2)
+    return models.spectral_embedding(edges(spark, d), 2, 8)
 
 
 @query("i30_communities")
 def i30(spark, d):
-    return models.communities(edges(spark, d), 2)
+    return models.communities(edges(spark, d))
 
 
 @query("i31_link_scores", f"""WITH e AS (SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES}), g AS (SELECT src, count(*) AS deg FROM e GROUP BY 1 HAVING deg >= 2), w AS (SELECT e.src AS via, e.dst AS n, deg FROM e JOIN g USING (src))
-SELECT a.n AS a, b.n AS b, count(*) AS common, round(sum(1 / ln(a.deg)), 6) AS adamic_adar FROM w a JOIN w b ON a.via = b.via AND a.n < b.n GROUP BY 1, 2""")
+SELECT a.n AS a, b.n AS b, count(*) AS common, round(sum(1 / ln(a.deg)), 6) AS adamic_adar FROM w a JOIN w b ON a.via = b.via AND a.n <> b.n WHERE a.n % 50 = 0 GROUP BY 1, 2""")
 def i31(spark, d):
-    return models.link_scores(edges(spark, d)).withColumn("adamic_adar", F.round("adamic_adar", 6))
+    """Queries are the nodes whose id is divisible by 50, against all nodes."""
+    e = edges(spark, d)
+    asked = datasets.nodes_of(e).where("id % 50 = 0").select(F.col("id").alias("node"))
+    return models.link_scores(e, asked).withColumn("adamic_adar", F.round("adamic_adar", 6))
 
 
 @query("i32_vertex_features")
@@ -251,16 +256,19 @@ def i32(spark, d):
 
 @query("i33_match_graphs")
 def i33(spark, d):
-    e = edges(spark, d)
+    """On the lines of quantity 50 that come first in their order: marks are pairs of neighbours' neighbours."""
+    e = edges(spark, d, "l_quantity = 50 and l_linenumber = 1")
     other = e.select((F.col("src") + 5_000_000).alias("src"), (F.col("dst") + 5_000_000).alias("dst"))
     nodes = datasets.nodes_of(e)
-    return models.match_graphs(e, other, nodes.where(u("id") < 0.5).select(F.col("id").alias("a"), (F.col("id") + 5_000_000).alias("b")), 1, 1)
+    return models.match_graphs(e, other, nodes.where(u("id") < 0.5).select(F.col("id").alias("a"), (F.col("id") + 5_000_000).alias("b")))
 
 
-@query("j1_find_templates", "SELECT * FROM (VALUES ('dummy', 0), ('classification', 1), ('multiclass_jmi', 1), ('naive_bayes', 1), ('text', 1)) t(name, place) WHERE EXISTS (SELECT 1 FROM documents)")
+@query("j1_find_templates", """WITH p AS (SELECT max(len(string_split(text, ' '))) >= 20 AS texts, count(DISTINCT lang) > 2 AS many FROM documents)
+SELECT name, place FROM (VALUES ('dummy', 0, false, false), ('classification', 1, false, false), ('multiclass_jmi', 1, false, true), ('naive_bayes', 1, false, false), ('text', 1, true, false)) t(name, place, of_texts, of_many), p WHERE (texts OR NOT of_texts) AND (many OR NOT of_many)""")
 def j1(spark, d):
-    kinds = ["table", "text"] if "text" in table(spark, d, "documents").columns else ["table"]
-    return search.find_templates(search.templates(spark), "classification", kinds, ["multiClass"]).select("name", "place")
+    """Templates for telling a document's language; types and keywords follow from the rows."""
+    found = search.describe_problem(table(spark, d, "documents"), "text", "lang")
+    return search.find_templates(search.templates(spark), "classification", *found).select("name", "place")
 
 
 @query("j2_to_pipeline")

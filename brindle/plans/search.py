@@ -46,6 +46,13 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, task string, types array<string>, keywords array<string>, models array<string>, weight double")
 
 
+def describe_problem(df: DataFrame, text: str, target: str, words: int = 20, classes: int = 2) -> tuple[list[str], list[str]]:
+    """J1. The resource types and keywords that the rows themselves tell: text if a value of ``text`` has so many
+    words, multiClass if ``target`` has more than two classes, else binary."""
+    found = df.agg((F.max(F.size(F.split(text, " "))) >= words).alias("texts"), (F.count_distinct(target) > classes).alias("many")).first()
+    return ["table"] + ["text"] * bool(found["texts"]), ["multiClass" if found["many"] else "binary"]
+
+
 def find_templates(catalogue: DataFrame, task: str, types: Sequence[str], keywords: Sequence[str]) -> DataFrame:
     """J1. The baseline first, then templates of the task whose types are at hand and whose keywords, if any,
     the problem shares."""
