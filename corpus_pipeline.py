@@ -15,12 +15,18 @@ from brindle.session import release, scratch, table
 LEAST_SCORE = 0.5
 
 
-def stage(step: Callable) -> Callable:
-    """A stage begins with what the ones before it left on the driver released."""
+#: Rows of the batches that go to Python workers. A batch lies in the worker and in the executor at once, so
+#: stages that look at each document alone take few; packing looks for the distinct words of a batch.
+FEW_ROWS, MANY_ROWS = 1_000, 10_000
+
+
+def stage(step: Callable, rows: int = FEW_ROWS) -> Callable:
+    """A stage begins with what the ones before it left on the driver released, and sets its batches' rows."""
 
     @functools.wraps(step)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
         return step(spark, docs, sf_dir)
 
     return run
@@ -54,7 +60,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
-@stage
+@functools.partial(stage, rows=MANY_ROWS)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 2048 tokens."""
     return packing.pack_word_bpe(docs)
