@@ -289,16 +289,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _compare(percent: int, at_once: int = 1 << 20):
     """Pairs of a list's members from different components that size and bitmaps allow to link, with the number
-    of lists in which they stand together. All lists of a group are worked on together: each entry meets the next one of
-    its list, then the one after, ..."""
+    of lists in which they stand together. A member brings all its lists in the group in one row. The lists are
+    worked on together: each entry meets the next one of its list, then the one after, ..."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["list", "id"], kind="stable")
-        lists, ids, n, block = (rows[c].to_numpy() for c in ("list", "id", "n", "block"))
-        labels = pd.factorize(rows["label"])[0]
-        _, first, member = np.unique(ids, return_index=True, return_inverse=True)  # members, numbered by id
-        bits = np.frombuffer(b"".join(rows["bits"].iloc[first]), np.uint64).reshape(-1, BITS)
+        rows = rows.sort_values("id", kind="stable")  # members are numbered by id
+        ids, sizes, blocks = (rows[c].to_numpy() for c in ("id", "n", "block"))
+        codes = pd.factorize(rows["label"])[0]
+        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITS)
         whole = rows["low"].iloc[0] == rows["high"].iloc[0]  # else only pairs from the two blocks
+        lists = np.concatenate(list(rows["lists"]))
+        member = np.repeat(np.arange(len(ids)), [len(x) for x in rows["lists"]])
+        order = np.argsort(lists, kind="stable")
+        lists, member = lists[order], member[order]
+        n, block, labels = sizes[member], blocks[member], codes[member]
         ends = np.searchsorted(lists, lists, side="right")
         found, held, size = [np.zeros((0, 3), np.int64)], [], 0
 
@@ -306,16 +310,16 @@ def _compare(percent: int, at_once: int = 1 << 20):
             """A pair stands in many lists: it is looked at once."""
             nonlocal held, size
             pairs, times = np.unique(np.concatenate(held), return_counts=True)
-            i, j = np.divmod(pairs, len(first))
+            i, j = np.divmod(pairs, len(ids))
             for at in range(0, len(i), 1 << 14):
                 x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                 # overlap >= p (x + y) / (100 + p) leaves at most (100 - p) (x + y) / (100 + p) apart
                 apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                ok = (100 + percent) * apart <= (100 - percent) * (n[first[x]] + n[first[y]])
+                ok = (100 + percent) * apart <= (100 - percent) * (sizes[x] + sizes[y])
                 found.append(np.stack([x[ok], y[ok], times[at : at + (1 << 14)][ok]], axis=1))
             held, size = [], 0
 
-        alive, step = np.arange(len(ids)), 0
+        alive, step = np.arange(len(lists)), 0
         while len(alive):
             step += 1
             alive = alive[ends[alive] > alive + step]
@@ -324,15 +328,14 @@ def _compare(percent: int, at_once: int = 1 << 20):
             if not whole:
                 ok &= block[alive] != block[j]
             if ok.any():
-                held.append(member[alive[ok]] * len(first) + member[j[ok]])
+                held.append(member[alive[ok]] * len(ids) + member[j[ok]])
                 size += int(ok.sum())
             if size > at_once:
                 sift()
         if held:
             sift()
         i, j, times = np.concatenate(found).T
-        i, j = first[i], first[j]
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "n_a": n[i], "n_b": n[j], "times": times})
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "n_a": sizes[i], "n_b": sizes[j], "times": times})
 
     return run
 
@@ -392,13 +395,15 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     spread = lists.select("list", "id").join(members.select("id", "label"), "id").groupBy("list")
     open_lists = spread.agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("k")).where("l != h")
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
-    rest = lists.select("list", "id", "pivot").join(open_lists.select("list", blocks.alias("blocks")), "list").join(members, "id")
+    rest = lists.select("list", "id", "pivot").join(open_lists.select("list", blocks.alias("blocks")), "list")
     rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
     # lists with one smallest member hold much the same pairs: in one of four groups these are found once
     near = F.pmod(F.xxhash64("pivot", F.pmod("list", F.lit(4))), F.lit(8 * shuffles))
-    rest = rest.withColumn("group", F.when(F.col("blocks") == 1, near).otherwise(F.col("list"))).drop("pivot")
+    rest = rest.withColumn("group", F.when(F.col("blocks") == 1, near).otherwise(F.col("list")))
+    # a member's size and bitmap come once to each group, however many of its lists are there
+    rest = rest.groupBy("group", "low", "high", "block", "id").agg(F.collect_list("list").alias("lists")).join(members, "id")
     met = rest.groupBy("group", "low", "high").applyInPandas(_compare(percent), "a long, b long, n_a long, n_b long, times long")
     met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     pairs = met.where(F.col("times") >= occurrences_least(F.col("n_a"), F.col("n_b"))).select("a", "b")
