@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.catalog import query
-from brindle.llm.common import slices
+from brindle.llm.common import slices, small
 from brindle.session import scratch, table
 
 WORDS, PERCENT = 5, 75
@@ -448,11 +448,16 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     if "component" not in found.columns:
         found = labelled_rows(docs)
+    rows = found.groupBy("row").agg(F.first("component").alias("component"), F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min_by("row", first).alias("_row")).select("_row")
-    kept = kept.union(found.where(F.col("component").isNull() & F.col("doc_id").isNotNull()).select("row").distinct())
+    kept = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min_by(F.struct("row", "n"), first).alias("k")).select("k.*")
+    kept = kept.union(rows.where(F.col("component").isNull() & F.col("doc_id").isNotNull()).select("row", "n"))
+    kept = scratch(kept.select(F.col("row").alias("_row"), "n"), "jaccard-kept")
     named = docs.withColumn("_row", row_key(docs))
-    stay = named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    # rows agree that share a key; while few are kept no text is shuffled, but for those with a double
+    once = named.join(small(kept.where("n = 1").select("_row")), "_row", "left_semi")
+    more = named.join(small(kept.where("n > 1").select("_row")), "_row", "left_semi").dropDuplicates(["_row"])
+    stay = once.unionByName(more).select(*docs.columns)
     wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return stay.unionByName(docs.where(F.col("doc_id").isNull() & wordless))
 
