@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.catalog import query
 from brindle.llm.common import slices, small
-from brindle.session import scratch, table
+from brindle.session import release, scratch, table
 
 WORDS, PERCENT = 5, 75
 #: Slots of the frequency sketch: fixed, so it can be broadcast. Any order of the lists gives right
@@ -391,6 +391,7 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
         if more.isEmpty():
             break
         links = scratch(links.union(more), "jaccard-links")
+    release(spark)
     members = scratch(_labelled(sets, links, ("n", "bits")), "jaccard-members")
     spread = lists.select("list", "id").join(members.select("id", "label"), "id").groupBy("list")
     open_lists = spread.agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("k")).where("l != h")
@@ -418,6 +419,7 @@ def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     text without words. The others are as in :func:`jaccard_components`.
     """
     told, links = find_links(docs, words, percent)
+    release(docs.sparkSession)
     labels = components(links)
     classes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"))
     classes = classes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "low", F.coalesce("label", "digest").alias("label"))
