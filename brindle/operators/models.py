@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -18,6 +19,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
@@ -154,6 +156,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "multinomial_nb": lambda alpha=1.0: NaiveBayes(modelType="multinomial", smoothing=alpha),  # I10
     "bernoulli_nb": lambda alpha=1.0: NaiveBayes(modelType="bernoulli", smoothing=alpha),  # I10
     "sgd": lambda alpha=1e-3: LogisticRegression(maxIter=5, regParam=alpha),  # I13
+    "passive_aggressive": lambda alpha=1e-2: OneVsRest(classifier=LinearSVC(maxIter=5, regParam=alpha, featuresCol="_features"), featuresCol="_features", labelCol="_label"),  # I13: hinge loss
     "decision_tree": lambda depth=5: DecisionTreeClassifier(maxDepth=depth, seed=7),
 }
 REGRESSORS: dict[str, Callable] = {
@@ -162,6 +165,7 @@ REGRESSORS: dict[str, Callable] = {
     "decision_tree": lambda depth=5: DecisionTreeRegressor(maxDepth=depth, seed=7),  # I5
     "bagging": lambda trees=10, depth=8: RandomForestRegressor(numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=7),  # I6
     "sgd": lambda alpha=1e-3: LinearRegression(loss="huber", maxIter=20, regParam=alpha),  # I13
+    "passive_aggressive": lambda alpha=1e-2: LinearRegression(loss="huber", epsilon=1.1, maxIter=10, regParam=alpha),  # I13
     "ridge": lambda alpha=1.0: LinearRegression(elasticNetParam=0.0, regParam=alpha),  # I14
     "lasso": lambda alpha=0.1: LinearRegression(elasticNetParam=1.0, regParam=alpha),  # I15
 }
@@ -299,6 +303,19 @@ def cluster(df: DataFrame, vector: str, k: int) -> DataFrame:
     return KMeans(k=k, seed=7, featuresCol="_features", predictionCol="cluster").fit(ready).transform(ready).drop("_features")
 
 
+def cluster_best(df: DataFrame, vector: str, ks: Sequence[int] = range(2, 13)) -> tuple[int, DataFrame]:
+    """I24. The number of clusters with the best silhouette (ties to the fewest), and its clusters."""
+    ready = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
+    judge = ClusteringEvaluator(featuresCol="_features", predictionCol="cluster")
+    best = None
+    for k in ks:
+        found = KMeans(k=k, seed=7, featuresCol="_features", predictionCol="cluster").fit(ready).transform(ready)
+        value = judge.evaluate(found)
+        if best is None or value > best[0]:
+            best = (value, k, found)
+    return best[1], best[2].drop("_features")
+
+
 def gaussian_clusters(df: DataFrame, vector: str, ks: Sequence[int] = (2, 3, 4)) -> tuple[int, DataFrame]:
     """I25. The number of components with the best BIC, and its clusters."""
     ready = df.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
@@ -320,6 +337,54 @@ def fit_ar1(series: DataFrame, group: str, ts: str, value: str) -> DataFrame:
     return fit.withColumn("forecast", F.col("slope") * F.col("last") + F.col("intercept"))
 
 
+def _solve_ar(group: str, orders: Sequence[int], take_log: bool):
+    """Solve each series' normal equations, given as sums of products of [1, lags, value]."""
+    top = max(orders)
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for n, sums, last in zip(rows["n"], rows["sums"], rows["last"], strict=True):
+                full = np.zeros((top + 2, top + 2))
+                full[np.triu_indices(top + 2)] = sums
+                full += np.triu(full, 1).T
+                best = (np.inf, None, None)
+                for p in orders:
+                    if n <= p:
+                        continue
+                    a, b = full[: p + 1, : p + 1], full[: p + 1, -1]
+                    w = np.linalg.lstsq(a, b, rcond=None)[0]
+                    rss = max(float(full[-1, -1] - 2 * w @ b + w @ a @ w), 1e-12)
+                    aic = n * np.log(rss / n) + 2 * (p + 1)
+                    if aic < best[0]:
+                        best = (aic, p, w)
+                if best[1] is None:
+                    out.append((None, None, None))
+                    continue
+                y = float(best[2][0] + best[2][1:] @ np.asarray(last, float)[: best[1]])
+                out.append((best[1], best[2].tolist(), float(np.exp(y)) if take_log else y))
+            yield pd.DataFrame({group: rows[group], "order": pd.array([o[0] for o in out], "Int32"), "weights": [o[1] for o in out], "forecast": [o[2] for o in out]})
+
+    return run
+
+
+def fit_ar(series: DataFrame, group: str, ts: str, value: str, orders: Sequence[int] = (1,), take_log: bool = False) -> DataFrame:
+    """I26. (group, order, weights, forecast) with the order of least AIC for each series; weights begin with the
+    intercept. Spark sums products of lags, a task solves a few numbers for each series. ``take_log``: on logarithms
+    of values, which must be positive. All orders see the same rows; a series too short for all of them gives nulls."""
+    top = max(orders)
+    w = Window.partitionBy(group).orderBy(ts)
+    y = F.log(value) if take_log else F.col(value).cast("double")
+    lagged = series.withColumn("_y", y).withColumns({f"_x{i}": F.lag("_y", i).over(w) for i in range(1, top + 1)})
+    terms = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(1, top + 1)], F.col("_y")]
+    whole = F.col(f"_x{top}").isNotNull() & F.col("_y").isNotNull()
+    sums = [F.coalesce(F.sum(F.when(whole, terms[i] * terms[j])), F.lit(0.0)) for i in range(top + 2) for j in range(i, top + 2)]
+    last = F.max_by(F.array("_y", *[f"_x{i}" for i in range(1, top)]), ts)
+    found = lagged.groupBy(group).agg(F.count_if(whole).alias("n"), F.array(*sums).alias("sums"), last.alias("last"))
+    kind = series.schema[group].dataType.simpleString()
+    return found.mapInPandas(_solve_ar(group, sorted(orders), take_log), f"`{group}` {kind}, order int, weights array<double>, forecast double")
+
+
 # --- graphs --------------------------------------------------------------------------------------------
 
 

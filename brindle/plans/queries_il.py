@@ -9,7 +9,7 @@ from brindle.catalog import query
 from brindle.functions import metrics, user
 from brindle.functions.keys import u, u_sql
 from brindle.operators import models, relate, split
-from brindle.plans import search
+from brindle.plans import jobs, search
 from brindle.plans.queries_ac import REPORTS, folder, reports
 from brindle.plans.queries_df import FEATURES, LKEY, PREDS, candidates, lines, r
 from brindle.session import scratch, table
@@ -87,6 +87,7 @@ query("i6_bagging")(_regressor("bagging", trees=4, depth=4))
 query("i7_logistic_regression")(_classifier("logistic_regression"))
 query("i8_linear_svc")(_classifier("linear_svc"))
 query("i13_sgd")(_regressor("sgd"))
+query("i13_passive_aggressive")(_classifier("passive_aggressive"))
 
 
 @query("i3_extra_trees")
@@ -184,6 +185,11 @@ def i24(spark, d):
     return models.cluster(table(spark, d, "embeddings"), "embedding", 4).select("vec_id", "cluster")
 
 
+@query("i24_cluster_best")
+def i24_best(spark, d):
+    return models.cluster_best(table(spark, d, "embeddings"), "embedding")[1].select("vec_id", "cluster")
+
+
 @query("i25_gaussian_clusters")
 def i25(spark, d):
     return models.gaussian_clusters(table(spark, d, "embeddings"), "embedding", (2, 3, 4))[1].select("vec_id", "cluster")
@@ -198,6 +204,18 @@ def i26(spark, d):
     return models.fit_ar1(daily, "event_type", "day", "v").select("event_type", r("slope", 6), r("intercept"), r("forecast"))
 
 
+@query("i26_ar_log", f"WITH l AS (SELECT event_type, day, ln(v) AS y, lag(ln(v)) OVER (PARTITION BY event_type ORDER BY day) AS x FROM {DAILY}) SELECT event_type, 1::INT AS \"order\", round(exp(regr_slope(y, x) * arg_max(y, day) + regr_intercept(y, x)), 3) AS forecast FROM l GROUP BY 1")
+def i26_log(spark, d):
+    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("v"))
+    return models.fit_ar(daily, "event_type", "day", "v", take_log=True).select("event_type", "order", r("forecast", 3))
+
+
+@query("i26_ar_order")
+def i26_order(spark, d):
+    daily = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 4).alias("v"))
+    return models.fit_ar(daily, "event_type", "day", "v", orders=(1, 2, 3))
+
+
 WEEK = "(SELECT user_id, [" + ", ".join(f"round(coalesce(sum(value) FILTER (dayofweek(ts) = {k}), 0), 4)" for k in range(7)) + "] AS w, (user_id % 2)::INT AS label FROM events GROUP BY 1)"
 _WEEKS_APART = "round(sqrt(list_sum(list_transform(range(1, 8), lambda i: pow(x.w[i] - y.w[i], 2)))), 9)"
 
@@ -271,11 +289,16 @@ def j1(spark, d):
     return search.find_templates(search.templates(spark), "classification", *found).select("name", "place")
 
 
+def asked(target: str = "l_returnflag") -> jobs.Problem:
+    return jobs.Problem("row_id", FEATURES, target)
+
+
 @query("j2_to_pipeline")
 def j2(spark, d):
+    """A template's chain with a drawn choice for each step, and a model behind it."""
     train, test = parts(spark, d)
-    fit = search.to_pipeline({"candidate_id": "a", "model": "decision_tree", "depth": 3}, FEATURES, "l_returnflag")
-    return models.predict(fit(train), test, "row_id")
+    point = jobs.points_of(spark, "classification", ["random_forest"], 1)[-1]
+    return jobs.fit_produce(asked(), point, train, test)
 
 
 @query("j3_expand_grid", "SELECT s || '|' || p AS point, count(*) AS n FROM (SELECT DISTINCT o_orderstatus AS s FROM orders) CROSS JOIN (SELECT DISTINCT o_orderpriority AS p FROM orders) JOIN orders ON o_orderstatus = s AND o_orderpriority = p GROUP BY 1")
@@ -313,9 +336,9 @@ def j7(spark, d):
     splits = split.nested_splits(lines(spark, d).select("row_id", *FEATURES, "l_returnflag"), "row_id")
 
     def value(point: dict) -> float:
-        return search.evaluate([point | {"candidate_id": "x"}], splits, FEATURES, "l_returnflag", "row_id", "quick").where("metric = 'accuracy'").first()["value"]
+        return jobs.evaluate(asked(), point, splits, "quick")[0].where("metric = 'accuracy'").first()["value"]
 
-    _, tried = search.dimension_search({"model": "decision_tree", "depth": 2}, {"depth": [3, 4]}, value, 1)
+    _, tried = search.dimension_search({"model": "decision_tree", "depth": 2}, {"depth": [3, 4], "model": ["random_forest"]}, value, 2)
     return spark.createDataFrame([(p["model"], int(p["depth"]), float(v)) for p, v in tried], "model string, depth int, value double")
 
 
@@ -331,9 +354,19 @@ def j8(spark, d):
 
 @query("j9_evaluate")
 def j9(spark, d):
+    """Scores of every split and of five folds; predictions of a refit on all are counted beside them."""
     splits = split.nested_splits(lines(spark, d).select("row_id", *FEATURES, "l_returnflag"), "row_id")
-    points = [{"candidate_id": "a", "model": "decision_tree", "depth": 2}, {"candidate_id": "b", "model": "logistic_regression"}]
-    return search.evaluate(points, splits, FEATURES, "l_returnflag", "row_id", threads=2)
+    scores, fitted = jobs.evaluate(asked(), {"candidate_id": "a", "model": "decision_tree", "depth": 3}, splits, folds=5)
+    whole = jobs.score(fitted, splits.drop("split"), "all")
+    return scores.unionByName(whole)
+
+
+@query("j9_search")
+def j9_search(spark, d):
+    """From the table to ranked candidates: the baseline, naive Bayes and the classification template's points."""
+    df = lines(spark, d).select("row_id", *FEATURES, "l_returnflag")
+    points = [p for t, names in (("dummy", ["dummy"]), ("naive_bayes", ["gaussian_nb"]), ("classification", ["logistic_regression"])) for p in jobs.points_of(spark, t, names, 1)]
+    return jobs.run_search(asked(), df, points)[0]
 
 
 @query("j10_cross_validate")
@@ -388,9 +421,18 @@ def j18(spark, d):
 @query("j19_fit_score")
 def j19(spark, d):
     train, test = parts(spark, d)
-    p = models.predict(models.fit_classifier("decision_tree", train, FEATURES, "l_returnflag"), test, "row_id").join(test.select("row_id", F.col("l_returnflag").alias("truth")), "row_id")
-    p = p.withColumns({"candidate_id": F.lit("a"), "fold": F.lit(0), "target": F.lit("l_returnflag")})
-    return metrics.normalize_score(metrics.score(p, ["accuracy", "f1Macro", "normalizedMutualInformation"]))
+    return metrics.normalize_score(jobs.fit_score(asked(), {"candidate_id": "a", "model": "decision_tree"}, train, test))
+
+
+DUMMY = f"(SELECT l_returnflag AS truth, (SELECT l_returnflag FROM {LI} WHERE NOT {TEST} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS pred FROM {LI} WHERE {TEST})"
+
+
+@query("j19_score_baseline", f"SELECT 'a' AS candidate_id, 'test' AS fold, 'l_returnflag' AS target, 'accuracy' AS metric, round(avg((truth = pred)::INT), 6) AS value FROM {DUMMY}")
+def j19_baseline(spark, d):
+    """The jobs one by one, on a model with a closed form: fit, produce, score the predictions."""
+    train, test = parts(spark, d)
+    told = jobs.produce(jobs.fit(asked(), {"model": "dummy"}, train), test)
+    return jobs.score_predictions(asked(), told, test).where("metric = 'accuracy'").select("candidate_id", "fold", "target", "metric", r("value", 6))
 
 
 @query("j20_produce")
@@ -424,6 +466,15 @@ def k1(spark, d):
     return streams.drain(streams.stream_reports(streams.read_reports(spark, stored(spark, d))).select("id", "cv"), folder(spark, "k1"))
 
 
+@query("k1_running_count", f"SELECT count(*) AS seen FROM {REPORTS} WHERE error IS NULL")
+def k1_count(spark, d):
+    """Followed until as many reports are in as the stored folder holds."""
+    at = stored(spark, d)
+    want = spark.read.parquet(at).where("cv is not null and error is null").count()
+    out = streams.follow(streams.stream_reports(streams.read_reports(spark, at, per_batch=1)).select("id", "cv"), folder(spark, "k1"), lambda n: n >= want, 600)
+    return out.agg(F.max("seen").alias("seen"))
+
+
 @query("k2_stream_best", f"SELECT template_name, arg_max(id, cv) AS id, max(cv) AS cv, count(*) AS reports FROM {REPORTS} WHERE error IS NULL GROUP BY 1")
 def k2(spark, d):
     return streams.drain(streams.stream_best(streams.read_reports(spark, stored(spark, d), per_batch=1)), folder(spark, "k2"), "complete")

@@ -1,10 +1,9 @@
-"""Templates, candidate search, history and ranking."""
+"""Templates, candidate search, history and ranking (J1 to J22; pipelines and jobs are in :mod:`brindle.plans.jobs`)."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -12,7 +11,6 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.functions import metrics
 from brindle.functions.keys import u
 from brindle.operators import models
 from brindle.operators.relate import unseen
@@ -62,13 +60,6 @@ def find_templates(catalogue: DataFrame, task: str, types: Sequence[str], keywor
     return found.withColumn("place", F.when(F.col("task") == "any", 0).otherwise(1)).orderBy("place", "name")
 
 
-def to_pipeline(point: dict, features: Sequence[str], target: str, classification: bool = True):
-    """J2. A point (model and its parameters) as a function from a training table to a fitted pipeline."""
-    fit = models.fit_classifier if classification else models.fit_regressor
-    params = {k: v for k, v in point.items() if k not in ("model", "candidate_id")}
-    return lambda train: fit(point["model"], train, features, target, **params)
-
-
 def distribution(values: Sequence) -> tuple[str, tuple]:
     """J4. What a list of values stands for: constant, choice, range of integers, log range or range."""
     if len(values) == 1:
@@ -195,29 +186,6 @@ def top_simple(reports: DataFrame, n: int = 3) -> DataFrame:
     return top_ranked(reports.where(F.col("sub_pipelines") == 0), n)
 
 
-def evaluate(points: Sequence[dict], splits: DataFrame, features: Sequence[str], target: str, key: str, mode: str = "full", threads: int = 4) -> DataFrame:
-    """J9. splits has the column split (train, test2, test1). Fit on train, score test2; then fit on train
-    and test2, score test1 (``quick``: only the first). A few Spark jobs run side by side."""
-
-    def one(point: dict) -> DataFrame:
-        fit = to_pipeline(point, features, target)
-        stages = [("test2", ["train"]), ("test1", ["train", "test2"])][: 1 if mode == "quick" else 2]
-        out = None
-        for part, own in stages:
-            model = fit(splits.where(F.col("split").isin(own)))
-            p = models.predict(model, splits.where(F.col("split") == part), key).join(splits.select(key, F.col(target).alias("truth")), key)
-            p = p.withColumns({"candidate_id": F.lit(point["candidate_id"]), "fold": F.lit(part), "target": F.lit(target)})
-            out = p if out is None else out.unionByName(p)
-        return metrics.score(out, ["accuracy", "f1Macro"])
-
-    with ThreadPoolExecutor(threads) as pool:
-        frames = list(pool.map(one, points))
-    whole = frames[0]
-    for f in frames[1:]:
-        whole = whole.unionByName(f)
-    return whole
-
-
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, learner, fold: str, folds: int, classification: bool = True) -> list[float]:
     """J10. The mean metric of a model step over given folds."""
     evaluator = MulticlassClassificationEvaluator(labelCol=target, metricName="f1") if classification else RegressionEvaluator(labelCol=target, metricName="rmse")

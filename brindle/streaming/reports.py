@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 SCHEMA = "id string, template_name string, cv double, rank double, finished_at timestamp, error string"
 
@@ -61,3 +63,29 @@ def drain(stream: DataFrame, path: str, mode: str = "append", each: Callable | N
         put = each or (lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/out"))
         writer.foreachBatch(put).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def follow(stream: DataFrame, path: str, done: Callable[[int], bool], seconds: float) -> DataFrame:
+    """K1. Run a stream until ``done(rows so far)`` or until ``seconds`` have passed; what it wrote, with the number of
+    rows up to the end of its batch as ``seen``. A batch that is run again replaces itself, and its number too."""
+    spark = stream.sparkSession
+    told: dict[int, int] = {}
+
+    def put(df: DataFrame, batch: int) -> None:
+        at = f"{path}/out/batch={batch}"
+        df.write.mode("overwrite").parquet(at)
+        told[batch] = spark.read.schema(df.schema).parquet(at).count()
+
+    query = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).start()
+    end = time.monotonic() + seconds
+    try:
+        while time.monotonic() < end and not done(sum(told.values())) and not query.awaitTermination(1):
+            pass
+    finally:
+        query.stop()
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    if not told:
+        return spark.createDataFrame([], StructType([*stream.schema.fields, StructField("seen", LongType())]))
+    counts = spark.createDataFrame(sorted(told.items()), "batch int, n long")
+    counts = counts.withColumn("seen", F.sum("n").over(Window.orderBy("batch"))).drop("n")
+    return spark.read.schema(schema).parquet(f"{path}/out").join(F.broadcast(counts), "batch").drop("batch")
