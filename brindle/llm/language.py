@@ -65,6 +65,13 @@ class Logs:
     def __init__(self, items: pa.Array, ends: np.ndarray, langs: np.ndarray, logs: np.ndarray, unseen: np.ndarray) -> None:
         self.items, self.ends, self.langs, self.logs, self.unseen = items, ends, langs, logs, unseen
         self.places: dict[str, int] | None = None
+        self.told: dict[str, np.ndarray] = {}
+
+    def remembered(self, item: str) -> np.ndarray | None:
+        """As :meth:`get`, for items that come again and again; at most CACHE numbers are remembered."""
+        if (out := self.told.get(item)) is None and (out := self.get(item)) is not None and len(self.told) * len(out) < CACHE:
+            self.told[item] = out
+        return out
 
     def get(self, item: str) -> np.ndarray | None:
         if self.places is None:
@@ -137,7 +144,7 @@ class Scorer:
         if (found := self.tables[0].get(word)) is not None:
             return found
         for n in range(LONGEST, 0, -1):
-            hits = [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]
+            hits = [x for g in grams(word, n) if (x := self.tables[n].remembered(g)) is not None]
             if hits:
                 return sum(hits) / len(hits)
         return 0.0
