@@ -11,7 +11,7 @@ shingle in one place. A pair stays if its overlap reaches what it needs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,8 @@ BITS = 64
 JOINING = 3
 #: Members of a list that one task compares with each other.
 BLOCK = 4096
+#: Entries of the merged lists in one part, and of the open lists in one group, on average.
+PART_ENTRIES, GROUP_ROWS = 8_000_000, 1_000_000
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -347,35 +349,26 @@ def _labelled(sets: DataFrame, links: DataFrame, more: tuple[str, ...] = ()) ->
     return named.select("id", F.coalesce("label", "digest").alias("label"), *more)
 
 
-def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents, links). Documents: (doc_id, row, n, digest), the digest names the class of equal sets.
-    Links: (a, b) between classes, enough of them that every two classes that a link joins are connected.
-
-    No pair is left out that could join two components: first every class is held against the smallest
-    member of the lists that it shares most, then a few pairs of each two components that meet, and last,
-    list by list, all pairs of members that are still in different components.
-    """
-    spark = docs.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    first = scratch(docs.withColumn("row", row_key(docs)).mapInArrow(_first_pass(words), _FIRST.format(id=kind)), "jaccard-first")
-    told = first.where("part < 0").select("doc_id", "row", "n", "digest")
-    sums = first.where("part >= 0").groupBy("part").applyInPandas(_sum_slots, "part int, slots binary").orderBy("part").collect()
-    sketch = spark.sparkContext.broadcast(b"".join(r["slots"] for r in sums) or bytes(4 * SKETCH))
-    texts = docs.select("text")
-    entries = texts.mapInArrow(_postings(words, percent, 2 * shuffles, sketch), "part int, keys binary, places binary, ids binary, sizes binary")
-    merged = scratch(entries.groupBy("part").applyInPandas(_merge, "list long, id long, n long"), "jaccard-merged")
-    able = merged.groupBy("id").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= shared_least(F.col("n"), percent))
-    lists = merged.select("list", "id").join(able.select("id"), "id")
-    heads = lists.groupBy("list").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1").select("list", "pivot")
-    lists = scratch(lists.join(heads, "list").select("list", "id", "pivot"), "jaccard-lists")
+def sets_of(docs: DataFrame, told: DataFrame, lists: DataFrame, words: int) -> DataFrame:
+    """(id, digest, n, set, bits) of the classes that stand in ``lists``, each class once."""
     short = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("id")
     classes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select(short, "doc_id")
-    wanted = classes.join(lists.select("id").distinct(), "id").select("doc_id")
+    ids = lists.select("id").distinct()
+    wanted = classes.join(ids, "id").select("doc_id")
     sets = marked(docs, wanted).select("text").mapInArrow(_sets(words), "id long, digest binary, n long, set binary, bits binary")
-    sets = sets.join(lists.select("id").distinct(), "id", "left_semi").groupBy("id", "digest")
-    sets = scratch(sets.agg(*(F.first(c).alias(c) for c in ("n", "set", "bits"))), "jaccard-sets")  # copies once
+    sets = sets.join(ids, "id", "left_semi").groupBy("id", "digest")
+    return scratch(sets.agg(*(F.first(c).alias(c) for c in ("n", "set", "bits"))), "jaccard-sets")  # copies once
+
+
+def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough=None) -> DataFrame:
+    """Links (a, b) between classes that stand together in one of ``lists(list, id, pivot)``, a written table
+    whose pivot is the list's smallest id; enough links that every two classes that a link joins are connected.
+
+    First every class is held against the smallest member of the lists that it shares most, then a few
+    pairs of each two components that meet, and last, list by list, all pairs of members that are still in
+    different components. ``enough(n_a, n_b)``: in how many lists a pair of the last step stands at least.
+    """
+    shuffles = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = lists.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count("*").alias("shared"))
     shared = scratch(shared, "jaccard-shared")
     stars = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b"))
@@ -391,7 +384,7 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
         if more.isEmpty():
             break
         links = scratch(links.union(more), "jaccard-links")
-    release(spark)
+    release(lists.sparkSession)
     members = scratch(_labelled(sets, links, ("n", "bits")), "jaccard-members")
     spread = lists.select("list", "id").join(members.select("id", "label"), "id").groupBy("list")
     open_lists = spread.agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("k")).where("l != h")
@@ -401,24 +394,47 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
     # lists with one smallest member hold much the same pairs: in one of four groups these are found once
-    near = F.pmod(F.xxhash64("pivot", F.pmod("list", F.lit(4))), F.lit(8 * shuffles))
+    groups = max(8 * shuffles, lists.count() // GROUP_ROWS)
+    near = F.pmod(F.xxhash64("pivot", F.pmod("list", F.lit(4))), F.lit(groups))
     rest = rest.withColumn("group", F.when(F.col("blocks") == 1, near).otherwise(F.col("list")))
     # a member's size and bitmap come once to each group, however many of its lists are there
     rest = rest.groupBy("group", "low", "high", "block", "id").agg(F.collect_list("list").alias("lists")).join(members, "id")
     met = rest.groupBy("group", "low", "high").applyInPandas(_compare(percent), "a long, b long, n_a long, n_b long, times long")
     met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    pairs = met.where(F.col("times") >= occurrences_least(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    more = verified(pairs, sets, percent)
-    return told, links.union(scratch(more, "jaccard-links"))
+    pairs = met if enough is None else met.where(F.col("times") >= enough(F.col("n_a"), F.col("n_b")))
+    return links.union(scratch(verified(pairs.select("a", "b"), sets, percent), "jaccard-links"))
+
+
+def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(documents, links). Documents: (doc_id, row, n, digest), the digest names the class of equal sets.
+    Links: (a, b) between classes, as :func:`links_in` finds them in the merged lists.
+    """
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    first = scratch(docs.withColumn("row", row_key(docs)).mapInArrow(_first_pass(words), _FIRST.format(id=kind)), "jaccard-first")
+    told = first.where("part < 0").select("doc_id", "row", "n", "digest")
+    sums = first.where("part >= 0").groupBy("part").applyInPandas(_sum_slots, "part int, slots binary").orderBy("part").collect()
+    sketch = spark.sparkContext.broadcast(b"".join(r["slots"] for r in sums) or bytes(4 * SKETCH))
+    texts = docs.select("text")
+    sent = (told.agg(F.sum("n")).first()[0] or 0) * (100 - percent + SHARED) // 100
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), sent // PART_ENTRIES)
+    entries = texts.mapInArrow(_postings(words, percent, parts, sketch), "part int, keys binary, places binary, ids binary, sizes binary")
+    merged = scratch(entries.groupBy("part").applyInPandas(_merge, "list long, id long, n long"), "jaccard-merged")
+    able = merged.groupBy("id").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= shared_least(F.col("n"), percent))
+    lists = merged.select("list", "id").join(able.select("id"), "id")
+    heads = lists.groupBy("list").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1").select("list", "pivot")
+    lists = scratch(lists.join(heads, "list").select("list", "id", "pivot"), "jaccard-lists")
+    return told, links_in(lists, sets_of(docs, told, lists, words), percent, occurrences_least)
 
 
-def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, finder: Callable = find_links) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, component) for each row of ``docs(doc_id, text)``.
 
     row is its :func:`row_key`; component tells components apart, whatever their ids, and is null for a
-    text without words. The others are as in :func:`jaccard_components`.
+    text without words. The others are as in :func:`jaccard_components`. ``finder`` finds the links.
     """
-    told, links = find_links(docs, words, percent)
+    told, links = finder(docs, words, percent)
     release(docs.sparkSession)
     labels = components(links)
     classes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("low"))
