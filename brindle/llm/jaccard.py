@@ -360,15 +360,10 @@ def sets_of(docs: DataFrame, told: DataFrame, lists: DataFrame, words: int) -> D
     return scratch(sets.agg(*(F.first(c).alias(c) for c in ("n", "set", "bits"))), "jaccard-sets")  # copies once
 
 
-def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough=None) -> DataFrame:
-    """Links (a, b) between classes that stand together in one of ``lists(list, id, pivot)``, a written table
-    whose pivot is the list's smallest id; enough links that every two classes that a link joins are connected.
-
-    First every class is held against the smallest member of the lists that it shares most, then a few
-    pairs of each two components that meet, and last, list by list, all pairs of members that are still in
-    different components. ``enough(n_a, n_b)``: in how many lists a pair of the last step stands at least.
-    """
-    shuffles = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def first_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Some of the links (a, b) between classes that stand together in one of ``lists(list, id, pivot)``, a written
+    table whose pivot is the list's smallest id: every class is held against the smallest member of the
+    lists that it shares most, then a few pairs of each two components that meet."""
     shared = lists.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count("*").alias("shared"))
     shared = scratch(shared, "jaccard-shared")
     stars = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b"))
@@ -385,7 +380,13 @@ def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough=None) -> Da
             break
         links = scratch(links.union(more), "jaccard-links")
     release(lists.sparkSession)
-    members = scratch(_labelled(sets, links, ("n", "bits")), "jaccard-members")
+    return links
+
+
+def dealt(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """(group, low, high, block, id, lists): the members of lists with several components, dealt into groups to be
+    compared. A long list is cut into blocks, and each two blocks are a group; short ones share a group."""
+    shuffles = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = lists.select("list", "id").join(members.select("id", "label"), "id").groupBy("list")
     open_lists = spread.agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("k")).where("l != h")
     blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
@@ -398,10 +399,19 @@ def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough=None) -> Da
     near = F.pmod(F.xxhash64("pivot", F.pmod("list", F.lit(4))), F.lit(groups))
     rest = rest.withColumn("group", F.when(F.col("blocks") == 1, near).otherwise(F.col("list")))
     # a member's size and bitmap come once to each group, however many of its lists are there
-    rest = rest.groupBy("group", "low", "high", "block", "id").agg(F.collect_list("list").alias("lists")).join(members, "id")
+    return rest.groupBy("group", "low", "high", "block", "id").agg(F.collect_list("list").alias("lists"))
+
+
+def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough: Callable) -> DataFrame:
+    """Links (a, b) between classes that stand together in one of ``lists``, enough of them that every two classes that
+    a link joins are connected: :func:`first_links`, and then, list by list, all pairs of members that are
+    still in different components. ``enough(n_a, n_b)``: in how many lists a pair of these stands at least."""
+    links = first_links(lists, sets, percent)
+    members = scratch(_labelled(sets, links, ("n", "bits")), "jaccard-members")
+    rest = dealt(lists, members).join(members, "id")
     met = rest.groupBy("group", "low", "high").applyInPandas(_compare(percent), "a long, b long, n_a long, n_b long, times long")
     met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    pairs = met if enough is None else met.where(F.col("times") >= enough(F.col("n_a"), F.col("n_b")))
+    pairs = met.where(F.col("times") >= enough(F.col("n_a"), F.col("n_b")))
     return links.union(scratch(verified(pairs.select("a", "b"), sets, percent), "jaccard-links"))
 
 

@@ -68,3 +68,34 @@ def test_components_agree_as_often_as_sets_are_alike():
         pools = [rng.integers(0, 1 << 64, common + 2 * own, np.uint64) for _ in range(200)]
         left, right = minhash.signatures([p[: common + own] for p in pools]), minhash.signatures([np.concatenate([p[:common], p[common + own :]]) for p in pools])
         assert (left == right).mean() == pytest.approx((common + 0.0) / (common + 2 * own), abs=0.02)
+
+
+def test_spanning_pairs_join_what_all_pairs_join():
+    rng = np.random.default_rng(8)
+    for n, m in ((2, 1), (30, 25), (60, 400)):
+        i, j = np.sort(rng.choice(n, (m, 2)), axis=1).T
+        labels = rng.integers(0, n, n)
+        weights = rng.integers(0, 5, m) / 5
+
+        def joined(pairs):
+            up = labels.copy()
+            for x, y in pairs:
+                up[up == up[x]] = up[y]
+            return sorted(tuple(np.flatnonzero(up == u)) for u in set(up.tolist()))
+
+        best = minhash.spanning(i, j, weights, labels)
+        assert joined(zip(i[best], j[best], strict=True)) == joined(zip(i, j, strict=True))
+        assert len(best) <= len(set(labels.tolist())) - 1
+
+
+def test_pairs_that_fail_are_not_tried_for_ever(spark):
+    """Long sets with a similarity under the threshold: bitmaps can't tell, so every pair is tried once."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(9000)]
+    rows = []
+    for i in range(14):
+        own = list(base)
+        for _ in range(420 if i % 2 else 250):
+            own[rng.randrange(9000)] = f"x{rng.randrange(10**7)}"
+        rows.append((i, " ".join(own)))
+    assert found(spark, rows) == brute(rows, 4, 80)
