@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from brindle.llm import alignment, bpe, fingerprints, jaccard, language, minhash, packing, pages, pii, quality, sharding, urls  # noqa: F401
+    from brindle.llm import alignment, bpe, collocations, fingerprints, jaccard, language, minhash, packing, pages, pii, quality, sharding, urls  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
