@@ -27,7 +27,9 @@ from brindle.session import scratch, table
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of each language that the first round opens, at least.
-OPENED = 4000
+OPENED = 6000
+#: How many times the words a round opens if the one before it found too few phrases.
+WIDER = 2
 #: Bits of the tables that tell tasks which words and phrases go on, fixed so that they can be broadcast. What shares a
 #: bit with one of them only costs work: the counts that decide are those of whole phrases.
 BITS = 1 << 23
@@ -234,6 +236,7 @@ def best_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, opened: in
     # the counts up to which words are open: the rarest ones first, as their bounds are highest
     steps = Window.partitionBy("lang").orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
     steps = words.groupBy("lang", "f").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(steps))
+    steps = scratch(steps, "collocations-steps")
     first = steps.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("upto") >= opened, F.col("f"))), F.max("f")).alias("open"))
     limits = scratch(totals.join(first, "lang"), "collocations-limits")
     done, order = [], (F.desc("score"), F.desc("a"), F.asc("phrase"))
@@ -244,14 +247,19 @@ def best_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, opened: in
         ranked = scratch(ranked.where(F.col("rank") <= top), "collocations-ranked")
         last = ranked.where(F.col("rank") == top).select("lang", F.col("score").alias("last"))
         closed = some.where(F.col("f") > F.col("open")).groupBy("lang").agg(F.min("f").alias("next"), F.max("f").alias("end"))
+        had = steps.join(limits.select("lang", F.col("open").alias("f")), ["lang", "f"]).select("lang", F.col("upto").alias("had"))
+        wider = steps.join(had, "lang").where(F.col("upto") >= WIDER * F.col("had")).groupBy("lang").agg(F.min("f").alias("wider"))
+        closed = closed.join(wider, "lang", "left")
         state = limits.join(closed, "lang", "left").join(last, "lang", "left")
         bound = score(F.lit(1), F.col("n"), F.lit(1), F.col("next"))
         settled = F.col("next").isNull() | F.coalesce(F.col("last") > bound, F.lit(False))
-        # a phrase with a higher end can't reach the last score; with too few phrases, all words are opened
-        reach = F.coalesce(score(F.lit(1), F.col("n"), F.lit(1), F.greatest("last", F.lit(1))), F.col("end"))
-        state = scratch(state.select("lang", "n", settled.alias("settled"), F.greatest(reach, F.col("next")).alias("open")), "collocations-state")
+        # a phrase with a higher end can't reach the last score; with too few phrases, more words are opened
+        reach = F.coalesce(F.when(F.col("last") > 0, score(F.lit(1), F.col("n"), F.lit(1), F.col("last"))), F.col("wider"), F.col("end"))
+        upto = steps.select("lang", F.col("f").alias("open"))
+        state = scratch(state.select("lang", "n", settled.alias("settled"), F.greatest(reach, F.col("next")).alias("reach")), "collocations-state")
         done.append(ranked.join(state.where("settled").select("lang"), "lang", "left_semi"))
-        limits = state.where(~F.col("settled")).select("lang", "n", "open")
+        limits = state.where(~F.col("settled")).join(upto, "lang").where(F.col("open") <= F.col("reach"))
+        limits = scratch(limits.groupBy("lang", "n").agg(F.max("open").alias("open")), "collocations-limits")
         if limits.isEmpty():
             break
     return functools.reduce(DataFrame.unionByName, done).select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
