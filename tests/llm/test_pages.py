@@ -1,5 +1,8 @@
 import html
 import re
+import time
+
+import pytest
 
 from brindle.llm import pages
 from brindle.session import table
@@ -94,3 +97,10 @@ def test_noise_is_tracked_at_any_depth():
     deep = "<div>" * 400
     page = f"<body>{deep}<p>kept text that is long enough</p><div class='ad'><div>dropped</div></div><nav>dropped</nav><p>kept too</p>{'</div>' * 400}</body>"
     assert pages.main_text(page) == "kept text that is long enough\nkept too"
+
+
+@pytest.mark.parametrize("unit", ["<a", '<a "', "<a '", "<!", "&", "</", "<p x='", '<a b="c"', "<script>", "<!--"])
+def test_unclosed_markup_takes_linear_time(unit):
+    began = time.perf_counter()
+    assert pages.main_text("<p>words before</p>" + unit * (1_000_000 // len(unit))).startswith("words before")
+    assert time.perf_counter() - began < 5
