@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from brindle.plans import queries_ac, queries_df, queries_gh, queries_il  # noqa: F401
+    from brindle.plans import queries_ac, queries_df, queries_gh, queries_il, queries_templates  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

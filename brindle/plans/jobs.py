@@ -3,36 +3,47 @@
 from __future__ import annotations
 
 import ast
+import math
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import OneVsRest
-from pyspark.ml.feature import PCA, Imputer, IndexToString, MaxAbsScaler, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, IndexToString, MaxAbsScaler, MinMaxScaler, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import metrics
 from brindle.operators import models, split
-from brindle.plans import search
+from brindle.operators.split import weighted_choice
+from brindle.plans import search, stages
+from brindle.session import scratch
 
 #: What a step may be: from its input's and its own column to a transformer or estimator of vectors. ``percentile`` is Spark's
 #: selector, which passes over a feature that a numeric target follows without any rest.
 KINDS: dict[str, Callable] = {
     "nothing": lambda i, o: SQLTransformer(statement=f"SELECT *, {i} AS {o} FROM __THIS__"),
     "standard_scale": lambda i, o: StandardScaler(inputCol=i, outputCol=o, withMean=True),
+    "min_max_scale": lambda i, o: MinMaxScaler(inputCol=i, outputCol=o),
     "max_abs_scale": lambda i, o: MaxAbsScaler(inputCol=i, outputCol=o),
     "robust_scale": lambda i, o: RobustScaler(inputCol=i, outputCol=o, withCentering=True),
     "variance": lambda i, o, threshold=0.0: VarianceThresholdSelector(featuresCol=i, outputCol=o, varianceThreshold=threshold),
     "percentile": lambda i, o, keep=0.5: UnivariateFeatureSelector(featuresCol=i, outputCol=o, labelCol="_label", selectionMode="percentile").setFeatureType("continuous").setSelectionThreshold(keep),
     "pca": lambda i, o, k=2: PCA(k=k, inputCol=i, outputCol=o),
+    "jmi": lambda i, o, k=3, nbins=5: stages.SelectJMI(column=i, out=o, target="_label", k=k, nbins=nbins),
 }
 SCALES = ("nothing", "standard_scale", "max_abs_scale", "robust_scale")
 #: The steps of a template before its model: (name, choices, the step it reads). ``table`` is the imputed table.
 CHAINS: dict[str, tuple] = {
     "classification": (("scale", SCALES, "table"), ("select", ("nothing", "percentile", "variance"), "scale")),
-    "multiclass_jmi": (("scale", SCALES, "table"), ("select", ("percentile",), "scale")),
+    "multiclass_jmi": (("scale", SCALES, "table"), ("select", ("jmi",), "scale")),
+    "naive_bayes": (("scale", SCALES, "table"),),
+    "text": (("scale", ("min_max_scale",), "table"),),  # multinomial models take nothing below 0
+    "event_table": (("scale", SCALES, "table"), ("select", ("nothing", "variance"), "scale")),
+    "multi_table": (("scale", SCALES, "table"), ("select", ("nothing", "variance"), "scale")),
+    "series": (("scale", SCALES, "table"),),
     "regression": (("scale", SCALES, "table"), ("select", ("nothing", "percentile", "variance"), "scale")),
     "wide_numeric": (("select", ("variance", "percentile"), "table"), ("reduce", ("pca", "nothing"), "select")),
 }
@@ -51,7 +62,9 @@ GRIDS: dict[str, dict[str, Sequence]] = {
 @dataclass(frozen=True)
 class Problem:
     """What is asked of a table. ``roles`` names columns that only some models need: ``privileged`` and ``labels``
-    (lists), ``vector``, ``user``, ``item``, ``group``, ``ts``."""
+    (lists), ``vector``, ``user``, ``item``, ``group``, ``ts``; and what of a raw table becomes features besides the numbers
+    in ``features``: ``categories``, ``texts``, ``dates`` (lists), ``series`` (column, length), ``related`` (table, its key,
+    its numbers) whose rows belong to the value of ``related_by``."""
 
     key: str
     features: Sequence[str]
@@ -59,16 +72,57 @@ class Problem:
     classification: bool = True
     roles: dict = field(default_factory=dict)
 
+    @property
+    def raw(self) -> bool:
+        return any(self.roles.get(k) for k in ("categories", "texts", "dates", "series", "related"))
+
     @property
     def metrics(self) -> list[str]:
         return ["accuracy", "f1Macro"] if self.classification else ["rootMeanSquaredError", "rSquared"]
 
 
+#: Values of a category that get a column, and random projections of a series.
+VALUES, PROJECTIONS = 12, 4
+#: Closed forms that end a pipeline as a stage of it.
+CLOSED: dict[str, Callable] = {
+    "gaussian_nb": lambda p, column: stages.GaussianNB(column=column, target=p.target),
+    "dummy": lambda p, column: stages.Majority(target=p.target, classification=p.classification),
+}
+
+
+def table_stages(problem: Problem) -> list:
+    """From a raw table to the vector ``_table``: related rows aggregated, dates taken apart, series projected, texts scored
+    by class, gaps filled, categories encoded. Each stage is saved and reloaded with the pipeline."""
+    roles, made, prefixes = problem.roles, [], []
+    numbers, categories = list(problem.features), list(roles.get("categories", ()))
+    if roles.get("related"):
+        table, key, of = roles["related"]
+        made.append(stages.AggregateRelated(table, key=roles["related_by"], related_key=key, numbers=list(of)))
+        numbers += ["rel_count", *(f"rel_{c}_{n}" for c in of for n in ("sum", "avg", "min", "max", "std"))]
+    if roles.get("dates"):
+        made.append(stages.DateParts(columns=list(roles["dates"])))
+        numbers += [f"{c}_{n}" for c in roles["dates"] for n in ("year", "quarter", "month", "day", "weekday", "dayofyear")]
+    if roles.get("series"):
+        column, size = roles["series"]
+        made.append(stages.ProjectSeries(column=column, size=size, k=PROJECTIONS))
+        numbers += [f"rp{i}" for i in range(PROJECTIONS)]
+    for c in roles.get("texts", ()):
+        made.append(stages.TargetText(column=c, target=problem.target))
+        prefixes.append(f"_text_{c}_")
+    made.append(stages.Impute(numbers=numbers, categories=categories, strategy="mean"))
+    if categories:
+        made.append(stages.Encode(columns=categories, n_limit=VALUES))
+        prefixes += [f"_enc_{c}_" for c in categories]
+    return [*made, stages.ToVector(columns=numbers, prefixes=prefixes, out="_table")]
+
+
 def chain(problem: Problem, steps: Sequence[tuple] = ()) -> tuple[list, str]:
     """The stages before the model and the column of the last one. Missing numbers become means; a step is (name,
     kind, the step it reads, parameters)."""
     filled = [f"_filled_{c}" for c in problem.features]
-    stages: list = [Imputer(inputCols=list(problem.features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_table", handleInvalid="keep")]
+    made: list = [Imputer(inputCols=list(problem.features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_table", handleInvalid="keep")]
+    if problem.raw:
+        made = table_stages(problem)
     known = {"table"}
     last = "table"
     for name, kind, reads, *params in steps:
@@ -76,29 +130,31 @@ def chain(problem: Problem, steps: Sequence[tuple] = ()) -> tuple[list, str]:
             raise ValueError(f"step {name} reads {reads}, which no earlier step is called")
         if name in known:
             raise ValueError(f"two steps are called {name}")
-        made = KINDS[kind](f"_{reads}", f"_{name}", **(params[0] if params else {}))
+        step = KINDS[kind](f"_{reads}", f"_{name}", **(params[0] if params else {}))
         if kind == "percentile":
-            made = made.setLabelType("categorical" if problem.classification else "continuous").setLabelCol("_label")
-        stages.append(made)
+            step = step.setLabelType("categorical" if problem.classification else "continuous").setLabelCol("_label")
+        made.append(step)
         known.add(name)
         last = name
-    return stages, f"_{last}"
+    return made, f"_{last}"
 
 
 def learned(problem: Problem, train: DataFrame, model: str, steps: Sequence[tuple], params: dict):
     """A fitted ML pipeline: label, chain, model, label back. Rows without a target teach nothing."""
     train = train.where(F.col(problem.target).isNotNull())
-    stages, last = chain(problem, steps)
+    before, last = chain(problem, steps)
+    if model in CLOSED:
+        return Pipeline(stages=[*before, CLOSED[model](problem, last)]).fit(train)
     handed = SQLTransformer(statement=f"SELECT *, {last} AS _features FROM __THIS__")
     if problem.classification:
         labels = StringIndexer(inputCol=problem.target, outputCol="_label", handleInvalid="keep").fit(train)
         learner = models.CLASSIFIERS[model](**params)
         learner = learner if isinstance(learner, OneVsRest) else learner.setFeaturesCol("_features").setLabelCol("_label")
         back = IndexToString(inputCol="prediction", outputCol="pred", labels=labels.labels)
-        return Pipeline(stages=[labels, *stages, handed, learner, back]).fit(train)
+        return Pipeline(stages=[labels, *before, handed, learner, back]).fit(train)
     train = train.withColumn("_label", F.col(problem.target).cast("double"))
     learner = models.REGRESSORS[model](**params).setFeaturesCol("_features").setLabelCol("_label")
-    return Pipeline(stages=[*stages, handed, learner]).fit(train)
+    return Pipeline(stages=[*before, handed, learner]).fit(train)
 
 
 def _dummy(p: Problem, train: DataFrame, params: dict) -> Callable:
@@ -158,12 +214,39 @@ def fit(problem: Problem, point: dict, df: DataFrame) -> Fitted:
     """J2, J19. Fit a point: ``model``, ``steps`` and, under any other name, the model's parameters."""
     params = {k: v for k, v in point.items() if k not in ("candidate_id", "template", "model", "steps")}
     name = point["model"]
-    if name in OTHERS:
+    if problem.raw and name in OTHERS and name not in CLOSED:
+        return _over_raw(problem, point, df, OTHERS[name], params)
+    if name in OTHERS and not (problem.raw or point.get("steps")):
         return Fitted(problem, point, OTHERS[name](problem, df, params))
     model = learned(problem, df, name, point.get("steps", ()), params)
     return Fitted(problem, point, lambda new: models.predict(model, new, problem.key), model)
 
 
+def _over_raw(problem: Problem, point: dict, df: DataFrame, learner: Callable, params: dict) -> Fitted:
+    """A model that is no stage, behind the stages that make numbers of a raw table: as columns, and as the array ``_row``."""
+    known = df if point["model"] == "self_training" else df.where(F.col(problem.target).isNotNull())
+    before = Pipeline(stages=table_stages(problem)).fit(known)
+    columns = before.stages[-1].known
+    inner = Problem(problem.key, columns, problem.target, problem.classification, problem.roles | {"vector": "_row"})
+    ready = lambda rows: before.transform(rows).withColumn("_row", F.array(*[F.col(c).cast("double") for c in columns]))
+    predict = learner(inner, ready(df), params)
+    return Fitted(problem, point, lambda new: predict(ready(new)))
+
+
+def save(fitted: Fitted, path: str) -> str:
+    """A9, J20. Store a fitted pipeline with all that its stages learned: what cleans new rows as well as the model."""
+    if fitted.model is None:
+        raise ValueError(f"{fitted.point['model']} is no stage of a pipeline and can't be stored")
+    fitted.model.write().overwrite().save(path)
+    return path
+
+
+def load(problem: Problem, path: str) -> Fitted:
+    """J20. A stored pipeline, to predict rows that were never seen; of the problem only the key and the target count."""
+    model = PipelineModel.load(path)
+    return Fitted(problem, {"model": "stored"}, lambda new: models.predict(model, new, problem.key), model)
+
+
 def produce(fitted: Fitted, df: DataFrame) -> DataFrame:
     """J19. (key, pred, confidence) for new rows."""
     return fitted.produce(df)
@@ -248,6 +331,53 @@ def points_of(spark, template: str, names: Sequence[str], n: int, seed: str = "d
     return out
 
 
+_REPORTS = "id string, turn int, template_name string, model string, cv double, total_runtime double, sim_count long, error string"
+
+
+def _next_arm(reports: DataFrame, arms: Sequence[str], seed: str) -> str:
+    """J8. A template drawn by its bandit weight; one that never succeeded has the least metric."""
+    weights = search.uct(search.normalize_history(search.update_history(reports)))
+    weights = weights.where(F.col("template_name").isin(list(arms))).select(F.col("template_name").alias("name"), F.col("uct").alias("weight"))
+    return weighted_choice(weights, "name", "weight", 1, seed).first()["name"]
+
+
+def bandit_search(problem: Problem, df: DataFrame, arms: dict[str, Sequence[str]], draws: int = 50, seconds: float = math.inf, seed: str = "bandit") -> tuple[DataFrame, Fitted | None]:
+    """J5, J8, J9, J11. A search that learns: (reports, the best pipeline, fitted on all rows; None if none ran).
+
+    ``arms``: the models of each template. First every template's default point, heaviest first (J5); then, turn by
+    turn, a template drawn by its bandit weight over the history so far and a point that wasn't evaluated yet. It ends after ``draws`` turns, or with the first turn
+    that begins after ``seconds``. A point that fails becomes a report with its error and no metric, and costs its template its time.
+    Reports: one row for each turn, ``cv`` the first metric on test2 (negative where less is better), ``rank`` from 1, null for failures.
+    """
+    spark, lead = df.sparkSession, problem.metrics[0]
+    splits = scratch(split.nested_splits(df, problem.key), "search-splits")
+    weight = {t[0]: t[5] for t in search.TEMPLATES}
+    first, rows, points = sorted(arms, key=lambda a: (-weight.get(a, 1.0), a)), [], {}
+    ends = time.monotonic() + seconds
+    for turn in range(draws):
+        began = time.monotonic()
+        if began >= ends:
+            break
+        name = first[turn] if turn < len(first) else _next_arm(spark.createDataFrame(rows, _REPORTS), first, f"{seed}-{turn}")
+        nth = sum(r[2] == name for r in rows)
+        model = arms[name][nth % len(arms[name])]
+        value = error = None
+        point = {"candidate_id": f"{name}-{model}-{nth // len(arms[name])}"}
+        try:
+            point = points_of(spark, name, [model], nth // len(arms[name]), seed)[-1]
+            found = evaluate(problem, point, splits, "quick")[0].where(F.col("metric") == lead).first()
+            value = float(found["value"] if found["larger"] else -found["value"])
+        except Exception as failure:  # a point may fail in any step, and the search goes on
+            error = f"{type(failure).__name__}: {failure}"[:500]
+        points[point["candidate_id"]] = point
+        rows.append((f"{turn}-{point['candidate_id']}", turn, name, model, value, time.monotonic() - began, 1, error))
+    reports = spark.createDataFrame(rows, _REPORTS)
+    order = sorted((r for r in rows if r[4] is not None), key=lambda r: (-r[4], r[1]))
+    ranks = spark.createDataFrame([(r[0], i + 1) for i, r in enumerate(order)], "id string, rank int")
+    reports = reports.join(F.broadcast(ranks), "id", "left")
+    return reports, fit(problem, points[order[0][0].split("-", 1)[1]], df) if order else None
+
+
 def run_search(problem: Problem, df: DataFrame, points: Sequence[dict], n: int = 1) -> tuple[DataFrame, Fitted]:
     """Search end to end: quick scores of all points, then a full evaluation of the best ``n`` on test2.
 
