@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.keys import u
+from brindle.operators.ranks import quantile_blocks, scan
+from brindle.session import scratch
 
 BY = ("candidate_id", "fold", "target")
 #: (metric, larger is better, best value, worst value)
@@ -70,10 +72,10 @@ def jaccard(p: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def roc_auc(p: DataFrame, pos_label: str, by: Sequence[str] = BY) -> DataFrame:
     """H4. From average ranks of the confidence; null with one class. Equal confidences are counted
-    together first, so the window sees distinct scores only."""
-    s = p.groupBy(*by, F.col("confidence").alias("s")).agg(F.count_if(F.col("truth") == pos_label).alias("pos"), F.count("*").alias("n"))
-    before = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    together first, and ranks run along blocks of scores, so no task holds all scores of a candidate."""
+    s = scratch(p.groupBy(*by, F.col("confidence").alias("s")).agg(F.count_if(F.col("truth") == pos_label).alias("pos"), F.count("*").alias("n")), "auc")
+    s = scan(s, by, quantile_blocks(s, "s", s.count()), ["s"], {"upto": ("sum", F.col("n"))})
+    s = s.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     c = s.groupBy(*by).agg(F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("m"), F.sum(F.col("pos") * F.col("rank")).alias("r"))
     return c.select(*by, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("m")).alias("value"))
 
@@ -127,7 +129,10 @@ def nmi(p: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 def precision_at_k(p: DataFrame, k: int, by: Sequence[str] = BY) -> DataFrame:
     """H11. Overlap of the top k by truth and by prediction, over k; ties by key."""
     rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(F.col(c).try_cast("double").desc(), "row_id"))
-    return p.withColumns({"_t": rank("truth"), "_q": rank("pred")}).groupBy(*by).agg((F.count_if((F.col("_t") <= k) & (F.col("_q") <= k)) / F.lit(k)).alias("value"))
+    # a filter on the row number lets every task keep its own first k of a group
+    first = lambda c: p.withColumn("_n", rank(c)).where(F.col("_n") <= k).select(*by, "row_id")
+    both = first("truth").unionByName(first("pred")).groupBy(*by, "row_id").agg(F.count("*").alias("n"))
+    return both.groupBy(*by).agg((F.count_if(F.col("n") == 2) / F.lit(k)).alias("value"))
 
 
 def detection_ap(truth: DataFrame, pred: DataFrame, iou: float = 0.5) -> DataFrame:
@@ -145,12 +150,14 @@ def detection_ap(truth: DataFrame, pred: DataFrame, iou: float = 0.5) -> DataFra
     best = joined.groupBy("image", "pred_id", "confidence").agg(F.max_by(F.struct("box_id", "iou"), F.struct("iou", -F.col("box_id"))).alias("b"))
     first = F.row_number().over(Window.partitionBy("image", "b.box_id").orderBy(F.desc("confidence"), "pred_id"))
     hits = best.withColumn("tp", F.when((F.col("b.iou") >= iou) & (first == 1), 1).otherwise(0))
-    run = Window.partitionBy(F.lit(0)).orderBy(F.desc("confidence"), "pred_id").rowsBetween(Window.unboundedPreceding, 0)
+    hits = scratch(hits.select("pred_id", "confidence", (-F.col("confidence")).alias("_fall"), "tp"), "detections")
+    block = quantile_blocks(hits, "_fall", hits.count())
+    order = [F.desc("confidence"), "pred_id"]
+    curve = scan(hits, [], block, order, {"tps": ("sum", F.col("tp")), "k": ("sum", F.lit(1))})
+    curve = scratch(curve.withColumn("precision", F.col("tps") / F.col("k")), "detections")
+    curve = scan(curve, [], block, order, {"envelope": ("max", F.col("precision"))}, backwards=True)
     n = F.broadcast(truth.agg(F.count("*").alias("_n")))
-    curve = hits.withColumns({"tps": F.sum("tp").over(run), "k": F.count("*").over(run)}).crossJoin(n)
-    curve = curve.select("tp", "k", (F.col("tps") / F.col("k")).alias("precision"), "_n")
-    after = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    return curve.withColumn("envelope", F.max("precision").over(after)).agg(F.coalesce(F.sum(F.col("tp") * F.col("envelope") / F.col("_n")), F.lit(0.0)).alias("value"))
+    return curve.crossJoin(n).agg(F.coalesce(F.sum(F.col("tp") * F.col("envelope") / F.col("_n")), F.lit(0.0)).alias("value"))
 
 
 def hamming(p: DataFrame, labels: int, by: Sequence[str] = BY) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, MaxAbsScaler, RegexTokenizer, RobustScaler, StandardScaler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.ranks import number_rows, sorted_blocks
 from brindle.operators.schema import cols_to_vector, vector_to_cols
 
 
@@ -36,7 +37,8 @@ def encode(df: DataFrame, columns: Sequence[str], n_limit: int = 12) -> DataFram
 def label_index(df: DataFrame, column: str) -> DataFrame:
     """(value, label): values by descending count, ties by value, from 0."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.select("value", (F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1).alias("label"))
+    order = [F.desc("n"), F.asc("value")]
+    return number_rows(sorted_blocks(counts, order), [], F.col("_at"), order).select("value", (F.col("nth") - 1).cast("int").alias("label"))
 
 
 def label_encode(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import scratch
+
 #: Rows of a block that one task orders, on average.
 BLOCK = 50_000
 
@@ -26,6 +28,15 @@ def quantile_blocks(df: DataFrame, order: str, rows: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c <= value)).cast("long")
 
 
+def sorted_blocks(df: DataFrame, order: Sequence, out: str = "_at") -> DataFrame:
+    """``df`` written in ranges of any orderable columns, with the number of a row's range as ``out``."""
+    df = scratch(df, "ranges")
+    parts = -(-df.count() // BLOCK)
+    if parts <= 1:
+        return df.withColumn(out, F.lit(0))
+    return scratch(df.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id()), "ranges")
+
+
 def number_rows(df: DataFrame, by: Sequence[str], block: Column, order: Sequence[str], out: str = "nth", total: str | None = None) -> DataFrame:
     """Number the rows of each group from 1 in the order of (block, *order), as ``out``; ``total`` names a
     column for the group's size. Blocks are counted, the counts summed along the group, and rows are
@@ -43,3 +54,26 @@ def number_rows(df: DataFrame, by: Sequence[str], block: Column, order: Sequence
         on = on & numbered[k].eqNullSafe(starts[f"_k{i}"])
     more = [F.col("_all").alias(total)] if total else []
     return numbered.join(starts, on).select(*df.columns, (F.col("_start") + F.col("_nth")).alias(out), *more)
+
+
+def scan(df: DataFrame, by: Sequence[str], block: Column, order: Sequence, outs: dict[str, tuple[str, Column]], backwards: bool = False) -> DataFrame:
+    """Running sums or maxima of each group along (block, *order), this row included, as columns: ``outs`` is {name: (``sum`` or
+    ``max``, value)}. ``backwards``: from this row to the end. Blocks are aggregated, their results run along the
+    group, and rows are only run along inside their block. ``df`` is read twice, so it should be a written table."""
+    fold = {"sum": F.sum, "max": F.max}
+    dealt = df.withColumns({"_block": block} | {f"_x_{name}": value for name, (_, value) in outs.items()})
+    keys = [*by, "_block"]
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    group = [F.col(c) for c in by] or [F.lit(0)]
+    others = Window.partitionBy(*group).orderBy("_block").rowsBetween(*((1, last) if backwards else (first, -1)))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*((0, last) if backwards else (first, 0)))
+    starts = dealt.groupBy(*keys).agg(*[fold[kind](f"_x_{name}").alias(f"_s_{name}") for name, (kind, _) in outs.items()])
+    starts = starts.withColumns({f"_s_{name}": fold[kind](f"_s_{name}").over(others) for name, (kind, _) in outs.items()})
+    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_s_{name}" for name in outs])
+    run = dealt.withColumns({f"_x_{name}": fold[kind](f"_x_{name}").over(inside) for name, (kind, _) in outs.items()})
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & run[k].eqNullSafe(starts[f"_k{i}"])
+    joined = run.join(starts, on)
+    both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest}
+    return joined.select(*df.columns, *[both[kind](F.col(f"_s_{name}"), F.col(f"_x_{name}")).alias(name) for name, (kind, _) in outs.items()])

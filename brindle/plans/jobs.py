@@ -56,6 +56,7 @@ GRIDS: dict[str, dict[str, Sequence]] = {
     "logistic_regression": {"reg": [0.001, 0.01, 0.1]},
     "linear_svc": {"reg": [0.001, 0.01, 0.1]},
     "ridge": {"alpha": [0.01, 0.1, 1.0]},
+    "kmeans": {"k": [2, 8]},
 }
 
 

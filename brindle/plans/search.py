@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.keys import u
 from brindle.operators import models
+from brindle.operators.ranks import number_rows, sorted_blocks
 from brindle.operators.relate import unseen
 from brindle.operators.split import weighted_choice
 
@@ -176,7 +177,8 @@ def best_per_model(reports: DataFrame) -> DataFrame:
 
 def most_diverse(pairs: DataFrame, n: int = 5) -> DataFrame:
     """J17. Ids in the order in which the pairs, least similar first, bring them up."""
-    ranked = pairs.withColumn("place", F.row_number().over(Window.orderBy(F.round("similarity", 9), "a", "b")))
+    order = [F.round("similarity", 9), F.col("a"), F.col("b")]
+    ranked = number_rows(sorted_blocks(pairs, order), [], F.col("_at"), order, "place")
     seen = ranked.select("place", F.posexplode(F.array("a", "b")).alias("side", "id")).groupBy("id").agg(F.min(F.struct("place", "side")).alias("first"))
     return seen.orderBy("first").limit(n).select("id")
 
