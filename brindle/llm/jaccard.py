@@ -41,6 +41,8 @@ JOINING = 3
 BLOCK = 4096
 #: Entries of the merged lists in one part, and of the open lists in one group, on average.
 PART_ENTRIES, GROUP_ROWS = 8_000_000, 1_000_000
+#: Bits of a shingle that name its list, beside the part.
+LIST_BITS = 32
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,17 +79,23 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def shared_least(n, percent: int = PERCENT):
-    """How many of a document's short lists must hold a partner at least; n is a number or a column. A
-    partner may be as small as percent / 100 of n, and has as many of its own."""
-    return F.greatest(F.lit(1), F.floor(n * (SHARED * percent / 10_000)))
+def shared_least(n: int, percent: int = PERCENT) -> int:
+    """How many of a document's merged shingles a partner must have at least. A partner may be as small as
+    percent / 100 of n, and sends as many of its own."""
+    return SHARED * percent * n // 10_000
 
 
 def occurrences_least(n_a, n_b):
-    """In how many merged lists the two members of a linked pair stand together at least, as columns: each
-    sends SHARED hundredths more of its lists than it may miss. Two shingles in one list (lists are told apart by
-    part and 32 bits) are allowed for in large sets."""
-    return F.greatest(F.lit(1), F.ceil(F.least(n_a, n_b) * SHARED / 100) - F.floor(F.greatest(n_a, n_b) / 1024))
+    """How many shingles the two members of a linked pair have in common in the merged lists at least, as
+    columns: each sends SHARED hundredths more of its lists than it may miss."""
+    return F.greatest(F.lit(1), F.ceil(F.least(n_a, n_b) * SHARED / 100))
+
+
+def spare(s: np.ndarray, bits: int = LIST_BITS) -> int:
+    """How many shingles of a sorted set may stand in a list that another one of the set stands in already: those
+    whose first ``bits`` bits are another's too. A pair's lists are fewer than its common shingles by no more
+    than this, for either member."""
+    return int((np.diff(s >> np.uint64(64 - bits)) == 0).sum())
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -151,13 +159,14 @@ def _sum_slots(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": rows["part"].iloc[:1], "slots": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def _postings(words: int, percent: int, parts: int, sketch):
-    """The short lists' entries, dealt over ``parts`` by shingle: 32 bits of the shingle and the class."""
+def _postings(words: int, percent: int, parts: int, sketch, bits: int = LIST_BITS):
+    """The short lists' entries, dealt over ``parts`` by shingle: ``bits`` bits of the shingle and the class, with
+    the number of lists that the class must share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen, often = Shingler(words), set(), np.frombuffer(sketch.value, np.uint32)
         for batch in slices(batches, 3_000):
-            digests, lists, sizes = [], [], []
+            digests, lists, least = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle(text)
                 if len(s) and (d := _digest(s)) not in seen:
@@ -165,39 +174,39 @@ def _postings(words: int, percent: int, parts: int, sketch):
                     # sorted already, so a stable sort by frequency is one by (frequency, shingle)
                     order = np.argsort(often[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")
                     digests.append(d)
-                    sizes.append(len(s))
+                    least.append(max(1, shared_least(len(s), percent) - spare(s, bits)))
                     more = max(1, -(-SHARED * len(s) // 100))
                     lists.append(s[order[: len(s) - needed(len(s), percent) + more]])
             if not lists:
                 continue
             s = np.concatenate(lists)
             at = np.repeat(np.arange(len(lists), dtype=np.uint32), [len(x) for x in lists])
-            part, key = (s >> np.uint64(20)) % np.uint64(parts), s >> np.uint64(32)
+            part, key = (s >> np.uint64(20)) % np.uint64(parts), s >> np.uint64(64 - bits)
             order = np.argsort((part << np.uint64(32)) | key)  # a sorted run for each part
             ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))[:-1]
             keys, at, ids = np.split(key.astype(np.uint32)[order], ends), np.split(at[order], ends), _short(digests)
-            sizes = np.array(sizes, np.uint32)
+            least = np.array(least, np.uint32)
             rows: list[list] = [[], [], [], [], []]
             for p in range(parts):
                 if len(keys[p]):
                     own, inside = np.unique(at[p], return_inverse=True)
-                    for column, x in zip(rows, (p, keys[p].tobytes(), inside.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), ids[own].tobytes(), sizes[own].tobytes()), strict=True):
+                    for column, x in zip(rows, (p, keys[p].tobytes(), inside.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes(), ids[own].tobytes(), least[own].tobytes()), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "keys", "places", "ids", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["part", "keys", "places", "ids", "least"])
 
     return run
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge the lists of a part: (list, id, n) for lists with two classes or more."""
-    keys, ids, sizes = [], [], []
-    for k, places, own, n in zip(rows["keys"], rows["places"], rows["ids"], rows["sizes"], strict=True):
+    """Merge the lists of a part: (list, id, least) for lists with two classes or more."""
+    keys, ids, least = [], [], []
+    for k, places, own, n in zip(rows["keys"], rows["places"], rows["ids"], rows["least"], strict=True):
         k = np.frombuffer(k, np.uint32)
         at = np.frombuffer(places, np.uint16 if len(places) == 2 * len(k) else np.uint32)
         keys.append(k)
         ids.append(np.frombuffer(own, np.int64)[at])
-        sizes.append(np.frombuffer(n, np.uint32)[at])
-    k, i, n = np.concatenate(keys), np.concatenate(ids), np.concatenate(sizes)
+        least.append(np.frombuffer(n, np.uint32)[at])
+    k, i, n = np.concatenate(keys), np.concatenate(ids), np.concatenate(least)
     order = np.argsort(k, kind="stable")  # merges the sorted runs
     k, i, n = k[order], i[order], n[order]
     once = np.ones(len(k), bool)  # most lists have one entry: these need no second sort
@@ -215,26 +224,26 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     sizes = np.diff(np.append(starts, len(k)))
     many = np.repeat(sizes > 1, sizes)
     part = np.int64(rows["part"].iloc[0]) << np.int64(32)
-    return pd.DataFrame({"list": part + k[many].astype(np.int64), "id": i[many], "n": n[many].astype(np.int64)})
+    return pd.DataFrame({"list": part + k[many].astype(np.int64), "id": i[many], "least": n[many].astype(np.int64)})
 
 
-def _sets(words: int):
+def _sets(words: int, list_bits: int):
     """Sets and bitmaps of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(words), set()
         for batch in slices(batches):
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for text in batch.column(0).to_pylist():
                 s = shingle(text)
                 if not len(s) or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
                 parity = np.bincount((s >> np.uint64(7)).astype(np.int64) & (64 * BITS - 1), minlength=64 * BITS) & 1
-                for column, x in zip(rows, (int(_short([d])[0]), d, len(s), s.tobytes(), np.packbits(parity.astype(bool)).tobytes()), strict=True):
+                for column, x in zip(rows, (int(_short([d])[0]), d, len(s), spare(s, list_bits), s.tobytes(), np.packbits(parity.astype(bool)).tobytes()), strict=True):
                     column.append(x)
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["id", "digest", "n", "set", "bits"])
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, kinds, strict=True)], names=["id", "digest", "n", "spare", "set", "bits"])
 
     return run
 
@@ -296,7 +305,7 @@ def _compare(percent: int, at_once: int = 1 << 20):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")  # members are numbered by id
-        ids, sizes, blocks = (rows[c].to_numpy() for c in ("id", "n", "block"))
+        ids, sizes, spares, blocks = (rows[c].to_numpy() for c in ("id", "n", "spare", "block"))
         codes = pd.factorize(rows["label"])[0]
         bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITS)
         whole = rows["low"].iloc[0] == rows["high"].iloc[0]  # else only pairs from the two blocks
@@ -337,7 +346,7 @@ def _compare(percent: int, at_once: int = 1 << 20):
         if held:
             sift()
         i, j, times = np.concatenate(found).T
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "n_a": sizes[i], "n_b": sizes[j], "times": times})
+        return pd.DataFrame({"a": ids[i], "b": ids[j], "n_a": sizes[i], "n_b": sizes[j], "spare": np.minimum(spares[i], spares[j]), "times": times})
 
     return run
 
@@ -349,15 +358,15 @@ def _labelled(sets: DataFrame, links: DataFrame, more: tuple[str, ...] = ()) ->
     return named.select("id", F.coalesce("label", "digest").alias("label"), *more)
 
 
-def sets_of(docs: DataFrame, told: DataFrame, lists: DataFrame, words: int) -> DataFrame:
-    """(id, digest, n, set, bits) of the classes that stand in ``lists``, each class once."""
+def sets_of(docs: DataFrame, told: DataFrame, lists: DataFrame, words: int, list_bits: int = LIST_BITS) -> DataFrame:
+    """(id, digest, n, spare, set, bits) of the classes that stand in ``lists``, each class once."""
     short = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("id")
     classes = told.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select(short, "doc_id")
     ids = lists.select("id").distinct()
     wanted = classes.join(ids, "id").select("doc_id")
-    sets = marked(docs, wanted).select("text").mapInArrow(_sets(words), "id long, digest binary, n long, set binary, bits binary")
+    sets = marked(docs, wanted).select("text").mapInArrow(_sets(words, list_bits), "id long, digest binary, n long, spare long, set binary, bits binary")
     sets = sets.join(ids, "id", "left_semi").groupBy("id", "digest")
-    return scratch(sets.agg(*(F.first(c).alias(c) for c in ("n", "set", "bits"))), "jaccard-sets")  # copies once
+    return scratch(sets.agg(*(F.first(c).alias(c) for c in ("n", "spare", "set", "bits"))), "jaccard-sets")  # copies once
 
 
 def first_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -405,19 +414,21 @@ def dealt(lists: DataFrame, members: DataFrame) -> DataFrame:
 def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough: Callable) -> DataFrame:
     """Links (a, b) between classes that stand together in one of ``lists``, enough of them that every two classes that
     a link joins are connected: :func:`first_links`, and then, list by list, all pairs of members that are
-    still in different components. ``enough(n_a, n_b)``: in how many lists a pair of these stands at least."""
+    still in different components. ``enough(n_a, n_b)``: how often a pair of these meets at least, common shingles
+    that share a list told by ``spare``."""
     links = first_links(lists, sets, percent)
-    members = scratch(_labelled(sets, links, ("n", "bits")), "jaccard-members")
+    members = scratch(_labelled(sets, links, ("n", "spare", "bits")), "jaccard-members")
     rest = dealt(lists, members).join(members, "id")
-    met = rest.groupBy("group", "low", "high").applyInPandas(_compare(percent), "a long, b long, n_a long, n_b long, times long")
-    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    pairs = met.where(F.col("times") >= enough(F.col("n_a"), F.col("n_b")))
+    met = rest.groupBy("group", "low", "high").applyInPandas(_compare(percent), "a long, b long, n_a long, n_b long, spare long, times long")
+    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max("spare").alias("spare"))
+    pairs = met.where(F.col("times") + F.col("spare") >= enough(F.col("n_a"), F.col("n_b")))
     return links.union(scratch(verified(pairs.select("a", "b"), sets, percent), "jaccard-links"))
 
 
-def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = LIST_BITS) -> tuple[DataFrame, DataFrame]:
     """(documents, links). Documents: (doc_id, row, n, digest), the digest names the class of equal sets.
-    Links: (a, b) between classes, as :func:`links_in` finds them in the merged lists.
+    Links: (a, b) between classes, as :func:`links_in` finds them in the merged lists. ``bits`` name a list within its part; with
+    fewer of them shingles share lists, which finds the same links from more candidates.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -429,13 +440,13 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     texts = docs.select("text")
     sent = (told.agg(F.sum("n")).first()[0] or 0) * (100 - percent + SHARED) // 100
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), sent // PART_ENTRIES)
-    entries = texts.mapInArrow(_postings(words, percent, parts, sketch), "part int, keys binary, places binary, ids binary, sizes binary")
-    merged = scratch(entries.groupBy("part").applyInPandas(_merge, "list long, id long, n long"), "jaccard-merged")
-    able = merged.groupBy("id").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= shared_least(F.col("n"), percent))
+    entries = texts.mapInArrow(_postings(words, percent, parts, sketch, bits), "part int, keys binary, places binary, ids binary, least binary")
+    merged = scratch(entries.groupBy("part").applyInPandas(_merge, "list long, id long, least long"), "jaccard-merged")
+    able = merged.groupBy("id").agg(F.count("*").alias("k"), F.min("least").alias("least")).where(F.col("k") >= F.col("least"))
     lists = merged.select("list", "id").join(able.select("id"), "id")
     heads = lists.groupBy("list").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1").select("list", "pivot")
     lists = scratch(lists.join(heads, "list").select("list", "id", "pivot"), "jaccard-lists")
-    return told, links_in(lists, sets_of(docs, told, lists, words), percent, occurrences_least)
+    return told, links_in(lists, sets_of(docs, told, lists, words, bits), percent, occurrences_least)
 
 
 def labelled_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, finder: Callable = find_links) -> DataFrame:

@@ -113,3 +113,22 @@ def test_keep_one_tells_rows_with_one_doc_id_apart(spark):
     want = [*lone, (None, "", 1), (None, "", 2), (None, None, 1), (1, words("x"), 1), (9, words("y"), 1), (9, "", 1), (9, " ", 1)]
     kept = jaccard.keep_one(docs, jaccard.labelled_rows(docs))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("bits", [3, 8])
+def test_shingles_that_share_a_list_lose_no_link(spark, bits):
+    rng = random.Random(bits)
+    base = [[f"w{rng.randrange(400)}" for _ in range(90)] for _ in range(12)]
+    rows = []
+    for words in base:
+        for change in (0, 1, 2, 3, 4):
+            own = list(words)
+            for at in rng.sample(range(90), change):
+                own[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = jaccard.labelled_rows(docs, finder=lambda d, words, percent: jaccard.find_links(d, words, percent, bits))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in told.collect()) == brute(rows)
+    sets = [jaccard.Shingler()(text) for _, text in rows]
+    assert any(jaccard.spare(s, bits) for s in sets)
+    assert not any(jaccard.spare(s) for s in sets)
