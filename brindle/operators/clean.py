@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.keys import u
+from brindle.operators.ranks import quantiles
 from brindle.session import scratch
 
 BOOLEANS = ("true", "false", "0", "1", "yes", "no")
@@ -45,7 +46,7 @@ def infer_types(df: DataFrame, columns: Sequence[str], max_cat: int = MAX_CATEGO
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """C2. One row for each column: counts, extremes, moments and quartiles of numbers, the most frequent
+    """C2. One row for each column: counts, extremes, moments and exact quartiles of numbers, the most frequent
     value with its share, mean text length."""
     values = _long(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     x = F.col("value").try_cast("double")
@@ -60,12 +61,14 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("top_n"),
         (F.sum(F.length("value") * F.col("n")) / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean_length"),
     )
-    spread = _long(df, columns).groupBy("column").agg(
-        F.stddev_samp(x).alias("std"),
-        F.percentile(x, F.lit(0.25)).alias("q1"),
-        F.percentile(x, F.lit(0.5)).alias("median"),
-        F.percentile(x, F.lit(0.75)).alias("q3"),
-    )
+    spread = _long(df, columns).groupBy("column").agg(F.stddev_samp(x).alias("std"))
+    told = quantiles(df, {c: F.col(c).cast("string").try_cast("double") for c in columns}, (0.25, 0.5, 0.75))
+    at = F.col("column")
+    for i, name in enumerate(("q1", "median", "q3")):
+        one = F.lit(None).cast("double")
+        for c in columns:
+            one = F.when(at == c, F.lit(told[c][i])).otherwise(one)
+        spread = spread.withColumn(name, one)
     return total.join(spread, "column").withColumn("top_share", F.col("top_n") / (F.col("rows") - F.col("nulls"))).drop("top_n")
 
 
@@ -118,12 +121,16 @@ def mode_of(c: str) -> Column:
     return F.mode(c, True)
 
 
-STRATEGIES = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5)), "most_frequent": mode_of}
+STRATEGIES = {"mean": F.avg, "most_frequent": mode_of}
 
 
 def impute(df: DataFrame, columns: Sequence[str], strategy: str = "mean") -> DataFrame:
-    """C6, C7. Nulls become the column's mean, median or most frequent value (one aggregate for all)."""
-    fill = df.agg(*[STRATEGIES[strategy](c).alias(c) for c in columns]).first()
+    """C6, C7. Nulls become the column's mean, median or most frequent value (one aggregate for all), or the
+    exact median (a few counted passes for all)."""
+    if strategy == "median":
+        fill = {c: q[0] for c, q in quantiles(df, {c: F.col(c) for c in columns}, [0.5]).items()}
+    else:
+        fill = df.agg(*[STRATEGIES[strategy](c).alias(c) for c in columns]).first()
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(fill[c])) for c in columns})
 
 
@@ -144,8 +151,10 @@ def impute_greedy(df: DataFrame, columns: Sequence[str], key: str, hide: float =
     that are hidden by the key's bucket; ties go to the first by name."""
     hidden = u(key, "greedy") < hide
     names = ("mean", "median", "mode", "zero")
-    fills = df.agg(*[f(F.when(~hidden, F.col(c))).alias(f"{c}|{n}") for c in columns for n, f in (("mean", F.avg), ("median", lambda x: F.percentile(x, F.lit(0.5))), ("mode", lambda x: F.mode(x, True)))]).first()
-    value = {(c, n): (fills[f"{c}|{n}"] if n != "zero" else 0.0) or 0.0 for c in columns for n in names}
+    fills = df.agg(*[f(F.when(~hidden, F.col(c))).alias(f"{c}|{n}") for c in columns for n, f in (("mean", F.avg), ("mode", lambda x: F.mode(x, True)))]).first()
+    middle = quantiles(df.where(~hidden), {c: F.col(c) for c in columns}, [0.5])
+    told = lambda c, n: {"median": middle[c][0], "zero": 0.0}[n] if n in ("median", "zero") else fills[f"{c}|{n}"]
+    value = {(c, n): told(c, n) or 0.0 for c in columns for n in names}
     errors = df.where(hidden).agg(*[F.avg(F.abs(F.col(c) - F.lit(float(value[c, n])))).alias(f"{c}|{n}") for c in columns for n in names]).first()
     best = {c: min(names, key=lambda n: (round(errors[f"{c}|{n}"] or 0.0, 9), n)) for c in columns}
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(float(value[c, best[c]]))) for c in columns} | {f"{c}_strategy": F.lit(best[c]) for c in columns})

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.ranks import number_rows, sorted_blocks
+from brindle.operators.ranks import number_rows, quantiles, sorted_blocks
 from brindle.operators.schema import cols_to_vector, vector_to_cols
 
 
@@ -155,8 +155,8 @@ def scale_maxabs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def scale_iqr(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """D12. (x - median) / (Q3 - Q1), exact quartiles; a range of 0 counts as 1."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    return df.withColumns({c: (F.col(c) - q[c][1]) / ((q[c][2] - q[c][0]) or 1.0) for c in columns})
+    q = quantiles(df, {c: F.col(c) for c in columns}, (0.25, 0.5, 0.75))
+    return df.withColumns({c: (F.col(c) - q[c][1]) / ((q[c][2] - q[c][0]) or 1.0) for c in columns if q[c][1] is not None})
 
 
 def scale_robust(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import metrics
 from brindle.functions.keys import u
+from brindle.operators.ranks import quantiles
 from brindle.operators.relate import knn_join
 from brindle.session import scratch
 
@@ -251,11 +252,10 @@ def self_training(labelled: DataFrame, unlabelled: DataFrame, features: Sequence
     rest = unlabelled.select(key, *features)
     for _ in range(rounds):
         model = fit_classifier(learner, train, features, target)
-        told = predict(model, rest, key)
-        n = told.count()
-        if not n:
+        told = scratch(predict(model, rest, key), "self-training")
+        cut = quantiles(told, {"cut": F.col("confidence")}, [1 - share])["cut"][0]
+        if cut is None:
             break
-        cut = told.agg(F.percentile("confidence", F.lit(1 - share))).first()[0]
         sure = scratch(told.where(F.col("confidence") >= cut).select(key, F.col("pred").alias(target)), "self-training")
         train = scratch(train.unionByName(rest.join(sure, key).select(key, *features, target)), "self-training")
         rest = scratch(rest.join(sure, key, "left_anti"), "self-training")

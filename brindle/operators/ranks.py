@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,8 @@ from brindle.session import scratch
 
 #: Rows of a block that one task orders, on average.
 BLOCK = 50_000
+#: Of the sketches that propose brackets: a cut is off by 1 / ACCURACY of the rows at most.
+ACCURACY = 10_000
 
 
 def blocks_of(uniform: Column, rows: int) -> Column:
@@ -77,3 +80,66 @@ def scan(df: DataFrame, by: Sequence[str], block: Column, order: Sequence, outs:
     joined = run.join(starts, on)
     both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest}
     return joined.select(*df.columns, *[both[kind](F.col(f"_s_{name}"), F.col(f"_x_{name}")).alias(name) for name, (kind, _) in outs.items()])
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], shares: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of numbers, linear between neighbours, for each of ``columns`` by name; null for one without values.
+
+    Each wanted rank is narrowed to a bracket of values: a sketch of the values inside proposes two cuts close to the rank, and a
+    counted pass tells on which side of which cut the rank lies, so a poor sketch costs a pass and no exactness. A bracket
+    loses its ends' values each time, however often they come. Values are gathered only from brackets of
+    BLOCK rows or fewer. All columns and ranks share their passes; a pass is one aggregate of a few numbers.
+    """
+    value = {c: x.cast("double") for c, x in columns.items()}
+    ends = df.agg(*[f(x).alias(f"{k}|{c}") for c, x in value.items() for k, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
+    at = {(c, q): (ends[f"n|{c}"] - 1) * q for c in value for q in shares if ends[f"n|{c}"]}
+    ranks = {(c, r) for (c, _), p in at.items() for r in (math.floor(p), math.ceil(p))}
+    found: dict[tuple[str, int], float] = {}
+    #: (column, rank): the bracket's ends, the rows before it and those in it
+    open_ = {(c, r): (ends[f"low|{c}"], ends[f"high|{c}"], 0, ends[f"n|{c}"]) for c, r in ranks}
+    while open_:
+        for key, (low, high, _, _) in list(open_.items()):
+            if low == high or math.isnan(low):
+                found[key] = low
+                del open_[key]
+        jobs = list(open_.items())
+        if not jobs:
+            break
+        asked = []
+        for i, ((c, rank), (low, high, before, rows)) in enumerate(jobs):
+            inside = F.when((value[c] >= low) & (value[c] <= high), value[c])
+            if rows <= BLOCK:
+                asked.append(F.get(F.array_sort(F.collect_list(inside)), F.lit(rank - before)).alias(f"v{i}"))
+            else:
+                near = [min(1.0, max(0.0, (rank - before) / rows + d)) for d in (-2 / ACCURACY, 2 / ACCURACY)]
+                asked.append(F.percentile_approx(inside, near, ACCURACY).alias(f"v{i}"))
+        told = df.agg(*asked).first()
+        cut, counts = {}, []
+        for i, (key, (low, high, _, rows)) in enumerate(jobs):
+            if rows <= BLOCK:
+                found[key] = told[f"v{i}"]
+                del open_[key]
+                continue
+            x, (a, b) = value[key[0]], told[f"v{i}"]
+            cut[i] = (a, b)
+            inside = (x >= low) & (x <= high)
+            parts = {"l": inside & (x < a), "a": x == a, "m": (x > a) & (x < b), "b": (x == b) & (x > a), "h": inside & (x > b)}
+            for name, test in parts.items():
+                counts += [f(F.when(test, x)).alias(f"{k}{name}{i}") for k, f in (("n", F.count), ("low", F.min), ("high", F.max))]
+        told = df.agg(*counts).first() if counts else None
+        for i in cut:
+            key, (_, _, before, _) = jobs[i]
+            for name in "lambh":  # in ascending order
+                n = told[f"n{name}{i}"]
+                if key[1] < before + n:
+                    open_[key] = (told[f"low{name}{i}"], told[f"high{name}{i}"], before, n)
+                    break
+                before += n
+
+    def between(c: str, q: float) -> float | None:
+        if (c, q) not in at:
+            return None
+        p, low, high = at[c, q], math.floor(at[c, q]), math.ceil(at[c, q])
+        return found[c, low] if low == high else (high - p) * found[c, low] + (p - low) * found[c, high]
+
+    return {c: [between(c, q) for q in shares] for c in value}

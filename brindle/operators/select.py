@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.feature import PCA, UnivariateFeatureSelector
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.keys import u
@@ -66,16 +66,18 @@ def binned(df: DataFrame, features: Sequence[str], nbins: int) -> DataFrame:
 
 
 def mutual_information(df: DataFrame, pairs: Sequence[tuple[Sequence[str], str]]) -> list[float]:
-    """I(X; Y) in nats for each (columns of X, Y), all from one grouping-sets-free pass: the joint table of
-    the binned columns is small and counted once for each pair."""
-    out = []
-    for xs, y in pairs:
-        joint = df.groupBy(F.struct(*xs).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n")).toPandas()
-        n = joint["n"].to_numpy(float)
-        x = joint["x"].astype(str)
-        px, py, total = joint.groupby(x)["n"].transform("sum").to_numpy(float), joint.groupby(joint["y"].astype(str))["n"].transform("sum").to_numpy(float), n.sum()
-        out.append(float((n / total * np.log(n * total / (px * py))).sum()))
-    return out
+    """I(X; Y) in nats for each (columns of X, Y), the columns of X binned: all joint tables come from one grouping, keyed by
+    the pair. A row becomes one for each pair, counted before the shuffle; a joint table has at most as many rows
+    as there are combinations of bins and values of Y. Only the results come to the driver."""
+    if not pairs:
+        return []
+    cells = [F.struct(F.lit(i).alias("pair"), F.array(*[F.col(c).cast("int") for c in xs]).alias("x"), F.col(y).cast("string").alias("y")) for i, (xs, y) in enumerate(pairs)]
+    joint = df.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.pair", "c.x", "c.y").agg(F.count("*").alias("n"))
+    over = lambda *by: F.sum("n").over(Window.partitionBy("pair", *by))
+    told = joint.withColumns({"nx": over("x"), "ny": over("y"), "total": over()})
+    part = F.col("n") / F.col("total") * F.log(F.col("n").cast("double") * F.col("total") / (F.col("nx").cast("double") * F.col("ny")))
+    found = dict(told.groupBy("pair").agg(F.sum(part)).collect())
+    return [found.get(i, 0.0) for i in range(len(pairs))]
 
 
 def select_jmi(df: DataFrame, features: Sequence[str], target: str, nbins: int = 5, k: int = 3) -> list[str]:
@@ -86,7 +88,8 @@ def select_jmi(df: DataFrame, features: Sequence[str], target: str, nbins: int =
     chosen = [min(features, key=lambda c: (-round(first[c], 9), c))]
     while len(chosen) < min(k, len(features)):
         rest = [c for c in features if c not in chosen]
-        gain = {c: sum(mutual_information(bins, [([c, s], target) for s in chosen])) for c in rest}
+        both = iter(mutual_information(bins, [([c, s], target) for c in rest for s in chosen]))
+        gain = {c: sum(next(both) for _ in chosen) for c in rest}
         chosen.append(min(rest, key=lambda c: (-round(gain[c], 9), c)))
     return chosen
 
@@ -95,30 +98,34 @@ def select_mb(df: DataFrame, features: Sequence[str], target: str, nbins: int =
     """E6. Markov blanket by score: features are added while I(X; Y | chosen) grows by ``least``, then those
     are taken out whose removal costs less."""
     bins = binned(df, features, nbins).select(*features, target)
-    info = lambda s: mutual_information(bins, [(s, target)])[0] if s else 0.0
+    info = lambda sets: mutual_information(bins, [(s, target) for s in sets])
     chosen: list[str] = []
     now = 0.0
     while len(chosen) < min(4, len(features)):
-        gains = {c: info([*chosen, c]) - now for c in features if c not in chosen}
+        rest = [c for c in features if c not in chosen]
+        gains = {c: x - now for c, x in zip(rest, info([[*chosen, c] for c in rest]), strict=True)}
         best = min(gains, key=lambda c: (-round(gains[c], 9), c))
         if gains[best] < least:
             break
         chosen.append(best)
         now += gains[best]
-    for c in list(chosen):
-        if len(chosen) > 1 and now - info([x for x in chosen if x != c]) < least:
-            chosen.remove(c)
-            now = info(chosen)
+    while len(chosen) > 1:
+        left = dict(zip(chosen, info([[x for x in chosen if x != c] for c in chosen]), strict=True))
+        worst = next((c for c in chosen if now - left[c] < least), None)
+        if worst is None:
+            break
+        chosen.remove(worst)
+        now = left[worst]
     return chosen
 
 
 def select_smb(df: DataFrame, features: Sequence[str], target: str, nbins: int = 4, least: float = 1e-3) -> list[str]:
     """E7. Markov blanket, simultaneous: a feature stays if it informs the target given each other one."""
     bins = binned(df, features, nbins).select(*features, target)
-    alone = dict(zip(features, mutual_information(bins, [([c], target) for c in features]), strict=True))
+    pairs = [(a, b) for a in features for b in features if a != b]
+    told = mutual_information(bins, [*(([c], target) for c in features), *(([a, b], target) for a, b in pairs)])
+    alone, both = dict(zip(features, told, strict=False)), dict(zip(pairs, told[len(features) :], strict=True))
     keep = [c for c in features if alone[c] >= least]
-    pairs = [(a, b) for a in keep for b in keep if a != b]
-    both = dict(zip(pairs, mutual_information(bins, [([a, b], target) for a, b in pairs]), strict=True))
     return [a for a in keep if all(both[a, b] - alone[b] >= least for b in keep if b != a)] or keep[:1]
 
 

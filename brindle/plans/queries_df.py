@@ -153,7 +153,26 @@ def e4(spark, d):
     return select.f_scores(kept, FEATURES[1:], "target", classification=False).select("feature", r("f", 3))
 
 
-@query("e5_select_jmi")
+def _jmi_sql(nbins: int = 5) -> str:
+    """The two features that joint mutual information takes first, as SQL."""
+    row_id = "concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate::DATE)"
+    ends = ", ".join(f"min({c}) AS lo_{c}, (max({c}) - min({c})) / {nbins} AS w_{c}" for c in FEATURES)
+    bins = ", ".join(f"least(floor(({c} - lo_{c}) / CASE WHEN w_{c} = 0 THEN 1 ELSE w_{c} END), {nbins - 1})::INT AS {c}" for c in FEATURES)
+    one = " UNION ALL ".join(f"SELECT '{c}' AS feature, '' AS beside, {c}::VARCHAR AS x, y FROM b" for c in FEATURES)
+    two = " UNION ALL ".join(f"SELECT '{c}', '{s}', {c} || ',' || {s}, y FROM b" for c in FEATURES for s in FEATURES if s != c)
+    return f"""
+WITH f AS (SELECT {", ".join(FEATURES)}, (l_quantity > 25) <> ({u_sql(row_id, "flip")} < 0.1) AS y FROM lineitem),
+e AS (SELECT {ends} FROM f), b AS (SELECT {bins}, y FROM f, e),
+cells AS (SELECT feature, beside, x, y, count(*) AS n FROM ({one} UNION ALL {two}) GROUP BY ALL),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY feature, beside, x)::DOUBLE AS nx, sum(n) OVER (PARTITION BY feature, beside, y)::DOUBLE AS ny, sum(n) OVER (PARTITION BY feature, beside)::DOUBLE AS total FROM cells),
+info AS (SELECT feature, beside, round(sum(n / total * ln(n * total / (nx * ny))), 9) AS v FROM sums GROUP BY ALL),
+first AS (SELECT feature FROM info WHERE beside = '' ORDER BY v DESC, feature LIMIT 1),
+second AS (SELECT feature FROM info WHERE beside = (SELECT feature FROM first) ORDER BY v DESC, feature LIMIT 1)
+SELECT 0 AS place, feature FROM first UNION ALL SELECT 1, feature FROM second
+"""
+
+
+@query("e5_select_jmi", _jmi_sql())
 def e5(spark, d):
     return named(spark, "feature", select.select_jmi(flagged(spark, d), FEATURES, "big", k=2))
 

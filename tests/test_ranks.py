@@ -1,12 +1,15 @@
 """Running sums, maxima and row numbers over blocks, against plain loops."""
 
+import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import metrics
-from brindle.operators import encode, ranks
+from brindle.operators import encode, ranks, select
 
 
 @pytest.fixture(autouse=True)
@@ -47,3 +50,34 @@ def test_auc_and_top_k_in_small_blocks(spark):
     p = p.withColumn("truth", (F.col("row_id") * 7 % 120).cast("string"))
     top = {r[3] for r in sorted(rows, key=lambda r: (-(r[3] * 7 % 120), r[3]))[:20]} & {r[3] for r in sorted(rows, key=lambda r: (-r[5], r[3]))[:20]}
     assert metrics.precision_at_k(p, 20).first().value == pytest.approx(len(top) / 20)
+
+
+@pytest.mark.parametrize("accuracy", [3, 100])
+def test_quantiles_are_exact_whatever_the_sketch(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(ranks, "ACCURACY", accuracy)
+    rng = random.Random(accuracy)
+    wide = [rng.choice((None, 10 ** rng.uniform(-200, 200), -rng.random())) for _ in range(400)]
+    ties = [rng.choice((0.0, 0.0, 0.0, 1.0, 1.0, 2.5)) for _ in range(400)]
+    two = [float(i % 2) for i in range(400)]
+    df = spark.createDataFrame(list(zip(wide, ties, two, [None] * 400, strict=True)), "wide double, ties double, two double, none double").repartition(3)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.997, 1.0)
+    found = ranks.quantiles(df, {c: F.col(c) for c in df.columns}, shares)
+    for name, values in (("wide", [x for x in wide if x is not None]), ("ties", ties), ("two", two)):
+        for q, got in zip(shares, found[name], strict=True):
+            assert math.isclose(got, float(np.quantile(values, q)), rel_tol=1e-9, abs_tol=1e-12), (name, q)
+    assert found["none"] == [None] * len(shares)
+    assert ranks.quantiles(df.limit(0), {"two": F.col("two")}, [0.5]) == {"two": [None]}
+
+
+def test_mutual_information_equals_a_plain_sum(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), rng.choice((0, 1, None)), rng.choice("ab")) for _ in range(300)]
+    df = spark.createDataFrame(rows, "p int, q int, y string")
+    found = select.mutual_information(df, [(["p"], "y"), (["p", "q"], "y")])
+
+    def plain(xs):
+        joint, left, right = Counter(xs), Counter(x for x, _ in xs), Counter(y for _, y in xs)
+        return sum(n / 300 * math.log(n * 300 / (left[x] * right[y])) for (x, y), n in joint.items())
+
+    assert found == pytest.approx([plain([(p, y) for p, _, y in rows]), plain([((p, q), y) for p, q, y in rows])])
+    assert select.mutual_information(df, []) == []
