@@ -488,6 +488,17 @@ def k3(spark, d):
     return streams.drain(streams.stream_dedupe(streams.read_reports(spark, at), "400 weeks").select("id", "template_name"), folder(spark, "k3"))
 
 
+@query("k3_flag_duplicates", f"SELECT id, template_name, duplicate FROM {REPORTS} CROSS JOIN (VALUES (false), (true)) AS t(duplicate)")
+def k3_flags(spark, d):
+    """Every report comes twice, in files of their own, and so in batches of their own."""
+    at = folder(spark, "flags")
+    rs = reports(spark, d).select("id", "template_name", "cv", "rank", "finished_at", "error")
+    for _ in range(2):
+        rs.coalesce(1).write.mode("append").parquet(at)
+    flagged = streams.flag_duplicates(streams.read_reports(spark, at, per_batch=1), "400 weeks")
+    return streams.drain(flagged.select("id", "template_name", "duplicate"), folder(spark, "k3f"))
+
+
 @query("k4_drop_late", f"SELECT id FROM {REPORTS} WHERE finished_at <= TIMESTAMP '1998-01-01'")
 def k4(spark, d):
     return streams.drain(streams.drop_late(streams.read_reports(spark, stored(spark, d)), "1998-01-01").select("id"), folder(spark, "k4"))

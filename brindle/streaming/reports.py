@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 SCHEMA = "id string, template_name string, cv double, rank double, finished_at timestamp, error string"
 
@@ -34,6 +36,29 @@ def stream_dedupe(reports: DataFrame, delay: str = "1 hour") -> DataFrame:
     return reports.withWatermark("finished_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+def flag_duplicates(reports: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """K3. All reports, with ``duplicate``: whether the id came before. An id is remembered until the watermark, ``delay``
+    behind the newest report, has passed its last report by ``delay`` again, so state is bounded; a report behind the watermark
+    is dropped. Of reports of an id in one batch the one that finished first is no duplicate."""
+    span = reports.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {delay})").first()[0]
+    schema = StructType([*reports.schema.fields, StructField("duplicate", BooleanType())])
+
+    def flag(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("_ms", kind="stable")
+        last = state.get[0] if state.exists else None
+        rows["duplicate"] = [last is not None or i > 0 for i in range(len(rows))]
+        latest = max([x for x in (last, state.getCurrentWatermarkMs()) if x is not None] + [int(x) for x in rows["_ms"].dropna()])
+        state.update((latest,))
+        state.setTimeoutTimestamp(latest + span)
+        yield rows.drop(columns="_ms")
+
+    timed = reports.withColumn("_ms", F.unix_millis("finished_at")).withWatermark("finished_at", delay)
+    return timed.groupBy("id").applyInPandasWithState(flag, schema, "latest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drop_late(reports: DataFrame, deadline: str, delay: str = "10 minutes") -> DataFrame:
     """K4. Without reports that finished after the deadline."""
     return reports.withWatermark("finished_at", delay).where(F.col("finished_at") <= F.lit(deadline).cast("timestamp"))
