@@ -292,6 +292,25 @@ def stack(bases: Sequence[DataFrame], df: DataFrame, target: str, key: str) -> D
     return predict(fit_classifier("bernoulli_nb", coded, names, target), coded, key)
 
 
+def stack_folds(df: DataFrame, features: Sequence[str], target: str, key: str, learners: Sequence[str] = ("logistic_regression", "multinomial_nb"), meta: str = "logistic_regression", folds: int = 3) -> DataFrame:
+    """I22. Stacking without a look at a row's own label: each learner predicts a fold from the others (dealt within each
+    class), the predictions join the features as 0/1 columns, and the model on top predicts each fold from the others too.
+    Returns (key, pred, confidence) for every row; keys are unique."""
+    from brindle.operators.encode import one_hot
+    from brindle.operators.split import split_stratified
+
+    def held_out(learner: str, dealt: DataFrame, names: Sequence[str]) -> DataFrame:
+        told = [predict(fit_classifier(learner, dealt.where(F.col("fold") != i), names, target), dealt.where(F.col("fold") == i), key) for i in range(folds)]
+        return reduce(DataFrame.unionByName, told)
+
+    dealt = scratch(split_stratified(df.select(key, *features, target), key, target, folds), "stack-folds")
+    joined, bases = dealt, [f"_base{i}" for i in range(len(learners))]
+    for base, learner in zip(bases, learners, strict=True):
+        joined = joined.join(held_out(learner, dealt, features).select(key, F.col("pred").alias(base)), key)
+    coded = scratch(one_hot(joined, bases), "stack-coded")
+    return held_out(meta, coded, [c for c in coded.columns if c not in (key, target, "fold")])
+
+
 def collaborative(ratings: DataFrame, user: str, item: str, value: str, rank: int = 5):
     """I23."""
     return ALS(rank=rank, maxIter=5, regParam=0.1, userCol=user, itemCol=item, ratingCol=value, coldStartStrategy="drop", seed=7).fit(ratings)

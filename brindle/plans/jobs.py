@@ -276,8 +276,8 @@ def fit_score(problem: Problem, point: dict, train: DataFrame, df: DataFrame) ->
 
 
 def cross_validated(problem: Problem, point: dict, df: DataFrame, folds: int = 5) -> DataFrame:
-    """J9, J19. The metrics' means over folds, as fold ``cv``."""
-    dealt = split.split_kfold(df, problem.key, folds)
+    """J9, J10, J19. The metrics' means over folds, as fold ``cv``; the folds of a classification are dealt within each class."""
+    dealt = split.split_stratified(df, problem.key, problem.target, folds) if problem.classification else split.split_kfold(df, problem.key, folds)
     told = [score(fit(problem, point, dealt.where(F.col("fold") != i).drop("fold")), dealt.where(F.col("fold") == i).drop("fold"), str(i)) for i in range(folds)]
     return reduce(DataFrame.unionByName, told).groupBy("candidate_id", "target", "metric", "larger").agg(F.avg("value").alias("value")).withColumn("fold", F.lit("cv"))
 

@@ -174,6 +174,12 @@ def i22(spark, d):
     return models.stack([c.where(F.col("candidate_id") == f"c{i}") for i in (1, 2, 3)], o, "o_orderstatus", "row_id")
 
 
+@query("i22_stack_folds")
+def i22_folds(spark, d):
+    train, test = parts(spark, d)
+    return models.stack_folds(train.unionByName(test), FEATURES, "l_returnflag", "row_id")
+
+
 @query("i23_collaborative")
 def i23(spark, d):
     ratings = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("int").alias("u"), F.col("l_partkey").cast("int").alias("i")).agg(F.avg("l_quantity").cast("float").alias("v"))

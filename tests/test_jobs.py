@@ -1,5 +1,7 @@
 """Pipelines from templates and one-call jobs."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +77,14 @@ def test_order_of_a_series_is_found(spark):
     assert found["two"]["order"] == 2 and np.allclose(found["two"].weights, w)
     assert abs(found["two"].forecast - (w @ [1, y[-1], y[-2]])) < 1e-9
     assert len(found["one"].weights) == found["one"]["order"] + 1 and found["short"].forecast is None
+
+
+def test_stacking_learns_from_its_bases_but_not_from_a_row_itself(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.random(), rng.random()) for i in range(240)]
+    told = spark.createDataFrame([(i, x, y, "a" if x > 0.5 else "b") for i, x, y in rows], "id long, x double, y double, label string")
+    found = models.stack_folds(told, ["x", "y"], "label", "id").join(told, "id")
+    assert found.count() == 240 and found.where("pred = label").count() > 200
+    # labels that nothing tells: a model that saw a row's own label would do better than chance
+    noise = spark.createDataFrame([(i, x, y, rng.choice("ab")) for i, x, y in rows], "id long, x double, y double, label string")
+    assert models.stack_folds(noise, ["x", "y"], "label", "id").join(noise, "id").where("pred = label").count() < 160
