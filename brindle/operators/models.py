@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import metrics
 from brindle.functions.keys import u
+from brindle.operators.neighbours import knn_join
 from brindle.operators.ranks import quantiles
-from brindle.operators.relate import knn_join
 from brindle.session import scratch
 
 

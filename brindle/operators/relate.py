@@ -1,12 +1,10 @@
-"""Joins, set operations and relational combination."""
+"""Joins, set operations and relational combination."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,57 +143,3 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     if metric == "cosine":
         return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: F.pow(p.cast("double") - q.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, v: s + v))
-
-
-#: Queries that a pass over the base holds; more of them are met in several passes.
-QUERY_BLOCK = 4_096
-
-
-def _nearest(keys: list, vectors: np.ndarray, k: int, metric: str, same: bool, kind: pa.DataType):
-    """Each task's k nearest rows of what it reads, for every query: (_q, _b, distance)."""
-
-    def apart(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            return 1 - (rows * q).sum(axis=1) / np.sqrt((rows * rows).sum(axis=1) * (q * q).sum())
-        return np.sqrt(((rows - q) ** 2).sum(axis=1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in keys]
-        for batch in batches:
-            found = [(b, v) for b, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v is not None]
-            if not found:
-                continue
-            names, rows = [b for b, _ in found], np.array([v for _, v in found], np.float64)
-            for i, (key, q) in enumerate(zip(keys, vectors, strict=True)):
-                d = apart(rows, q)
-                rounded = np.round(d, 9)
-                near = range(len(d)) if len(d) <= k + 1 else np.flatnonzero(rounded <= np.partition(rounded, k)[k])
-                own = [(float(rounded[j]), names[j], float(d[j])) for j in near if not (same and names[j] == key)]
-                best[i] = sorted(best[i] + own)[:k]
-        flat = [(key, b, d) for key, own in zip(keys, best, strict=True) for _, b, d in own]
-        columns = list(zip(*flat, strict=True)) if flat else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())], names=["_q", "_b", "distance"])
-
-    return run
-
-
-def knn_join(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5, metric: str = "euclidean", same: bool = False) -> DataFrame:
-    """F15. (key, neighbour, distance, rank): exact k nearest rows of ``base`` for each row of a stated query
-    set, ties by key. Blocks of QUERY_BLOCK queries go to the tasks, each of which keeps the k best of what it
-    reads, so a shuffle sees k rows for a query and task. ``same``: both sides are one table, and a row isn't its
-    own neighbour. Rows without a vector are nobody's neighbours."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    q = queries.select(key, vector).where(F.col(vector).isNotNull())
-    b = base.select(key, vector)
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    kind = b.schema[key].dataType
-    parts = []
-    for i in range(blocks):
-        own = q.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i).orderBy(key).toArrow()
-        vectors = np.array(own.column(1).to_pylist(), np.float64)
-        task = _nearest(own.column(0).to_pylist(), vectors, k, metric, same, to_arrow_type(kind))
-        parts.append(b.mapInArrow(task, f"_q {kind.simpleString()}, _b {kind.simpleString()}, distance double"))
-    near = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy("_q").orderBy(F.round("distance", 9), "_b")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("_q").alias(key), F.col("_b").alias("neighbour"), "distance", "rank")

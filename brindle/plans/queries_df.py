@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from brindle.catalog import query
 from brindle.functions.keys import u, u_sql
-from brindle.operators import encode, relate, select
+from brindle.operators import encode, neighbours, relate, select
 from brindle.plans.queries_ac import HOLED, holed
 from brindle.session import table
 
@@ -338,4 +338,4 @@ KNN_SQL = """SELECT a.vec_id, b.vec_id AS neighbour, round(sqrt(list_sum(list_tr
 @query("f15_knn_join", KNN_SQL)
 def f15(spark, d):
     e = table(spark, d, "embeddings")
-    return relate.knn_join(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5, same=True).select("vec_id", "neighbour", r("distance", 6))
+    return neighbours.knn_join(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 5, same=True).select("vec_id", "neighbour", r("distance", 6))

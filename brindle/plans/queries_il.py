@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.catalog import query
 from brindle.functions import metrics, user
 from brindle.functions.keys import u, u_sql
-from brindle.operators import models, relate, split
+from brindle.operators import models, neighbours, relate, split
 from brindle.plans import jobs, search
 from brindle.plans.queries_ac import REPORTS, folder, reports
 from brindle.plans.queries_df import FEATURES, LKEY, PREDS, candidates, lines, r
@@ -196,6 +196,22 @@ def i24_best(spark, d):
     return models.cluster_best(table(spark, d, "embeddings"), "embedding")[1].select("vec_id", "cluster")
 
 
+def _apart(a: str, b: str) -> str:
+    return f"sqrt(list_sum(list_transform(range(1, 65), lambda i: pow({a}[i]::DOUBLE - {b}[i]::DOUBLE, 2))))"
+
+
+#: The tree's first three nodes: the smallest key, the row furthest from it, and the row furthest from the nearer of both.
+_NODES_SQL = f"""WITH n0 AS (SELECT embedding AS a FROM embeddings ORDER BY vec_id LIMIT 1),
+n1 AS (SELECT embedding AS b FROM embeddings, n0 ORDER BY {_apart('embedding', 'a')} DESC, vec_id LIMIT 1),
+n2 AS (SELECT embedding AS c FROM embeddings, n0, n1 ORDER BY least({_apart('embedding', 'a')}, {_apart('embedding', 'b')}) DESC, vec_id LIMIT 1),
+d AS (SELECT vec_id, {_apart('embedding', 'a')} AS x, {_apart('embedding', 'b')} AS y, {_apart('embedding', 'c')} AS z FROM embeddings, n0, n1, n2)"""
+
+
+@query("i24_cover_tree", f"{_NODES_SQL} SELECT vec_id, (CASE WHEN x <= least(y, z) THEN 0 WHEN y <= z THEN 1 ELSE 2 END)::INT AS cluster FROM d")
+def i24_tree(spark, d):
+    return neighbours.cluster_tree(table(spark, d, "embeddings"), "vec_id", "embedding", 3).select("vec_id", "cluster")
+
+
 @query("i25_gaussian_clusters")
 def i25(spark, d):
     return models.gaussian_clusters(table(spark, d, "embeddings"), "embedding", (2, 3, 4))[1].select("vec_id", "cluster")
