@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.catalog import query
 from brindle.functions import metrics, user
 from brindle.functions.keys import u, u_sql
-from brindle.operators import models, neighbours, relate, split
+from brindle.operators import linear, models, neighbours, relate, split
 from brindle.plans import jobs, search
 from brindle.plans.queries_ac import REPORTS, folder, reports
 from brindle.plans.queries_df import FEATURES, LKEY, PREDS, candidates, lines, r
@@ -129,6 +129,34 @@ def i15(spark, d):
     return models.lasso_path(parts(spark, d)[0], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
 
 
+_PATH_SQL = f"""WITH m AS (SELECT sqrt(count(*)) AS t, avg(l_extendedprice) AS y, stddev_pop(l_quantity) AS s1, stddev_pop(l_discount) AS s2, corr(l_quantity, l_discount) AS r,
+  covar_pop(l_quantity, l_extendedprice) / stddev_pop(l_quantity) * sqrt(count(*)) AS c1, covar_pop(l_discount, l_extendedprice) / stddev_pop(l_discount) * sqrt(count(*)) AS c2 FROM {LI} WHERE NOT {TEST}),
+f AS (SELECT *, abs(c1) >= abs(c2) AS one, greatest(abs(c1), abs(c2)) AS c, CASE WHEN abs(c1) >= abs(c2) THEN c2 ELSE c1 END AS o, r * sign(CASE WHEN abs(c1) >= abs(c2) THEN c1 ELSE c2 END) AS a FROM m),
+g AS (SELECT *, least((c - o) / (1 - a), (c + o) / (1 + a)) AS go FROM f),
+k AS (SELECT 0 AS step, c AS penalty, 0.0 AS w1, 0.0 AS w2 FROM g
+  UNION ALL SELECT 1, c - go, CASE WHEN one THEN sign(c1) * go / s1 / t ELSE 0 END, CASE WHEN one THEN 0 ELSE sign(c2) * go / s2 / t END FROM g
+  UNION ALL SELECT 2, 0, (c1 - r * c2) / (1 - r * r) / s1 / t, (c2 - r * c1) / (1 - r * r) / s2 / t FROM g)
+SELECT step::INT AS step, round(penalty, 2) AS penalty, 'l_quantity' AS feature, round(w1, 3) AS weight FROM k UNION ALL SELECT step::INT, round(penalty, 2), 'l_discount', round(w2, 3) FROM k"""
+
+
+@query("i15_least_angle", _PATH_SQL)
+def i15_path(spark, d):
+    return linear.least_angle_path(parts(spark, d)[0], ["l_quantity", "l_discount"], "l_extendedprice").select("step", r("penalty", 2), "feature", r("weight", 3))
+
+
+@query("i13_passive_aggressive_rounds")
+def i13_rounds(spark, d):
+    train, test = parts(spark, d)
+    return models.predict_lda(linear.fit_passive_aggressive(train, FEATURES, "l_returnflag", "row_id"), test, FEATURES, "row_id")
+
+
+@query("i13_passive_aggressive_regressor")
+def i13_regressor(spark, d):
+    train, test = parts(spark, d)
+    names = [c for c in FEATURES if c != "l_extendedprice"]
+    return models.predict_linear(linear.fit_passive_aggressive_regressor(train, names, "l_extendedprice", "row_id"), test, names, "row_id")
+
+
 @query("i16_mlp")
 def i16(spark, d):
     train, test = parts(spark, d)
