@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.catalog import query
 from brindle.functions import metrics, user
 from brindle.functions.keys import u, u_sql
-from brindle.operators import linear, models, neighbours, relate, split
+from brindle.operators import linear, models, neighbours, relate, split, trees
 from brindle.plans import jobs, search
 from brindle.plans.queries_ac import REPORTS, folder, reports
 from brindle.plans.queries_df import FEATURES, LKEY, PREDS, candidates, lines, r
@@ -96,6 +96,19 @@ def i3(spark, d):
     return models.extra_trees(train, test, FEATURES, "l_returnflag", "row_id", trees=2)
 
 
+@query("i3_extra_trees_levels")
+def i3_levels(spark, d):
+    train, test = parts(spark, d)
+    return trees.predict_extra_trees(trees.fit_extra_trees(train, FEATURES, "l_returnflag"), test, "row_id")
+
+
+@query("i3_extra_trees_regressor")
+def i3_regressor(spark, d):
+    train, test = parts(spark, d)
+    names = [c for c in FEATURES if c != "l_extendedprice"]
+    return trees.predict_extra_trees(trees.fit_extra_trees(train, names, "l_extendedprice", classification=False), test, "row_id")
+
+
 @query("i9_kernel_svm")
 def i9(spark, d):
     train, test = parts(spark, d)
