@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from brindle.operators.ranks import number_rows, quantiles, sorted_blocks
 from brindle.operators.schema import cols_to_vector, vector_to_cols
-
+from brindle.session import scratch
 
 #: Columns that one source column may become.
 MAX_COLUMNS = 1_000
+#: Terms that go to every task, in bytes at most; rows from which on a term is dealt with apart where there are more.
+TERM_BYTES, HOT_ROWS = 64_000_000, 1_000_000
 
 
 def top_values(df: DataFrame, column: str, n: int) -> list:
@@ -85,36 +87,58 @@ def tokens(column: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
 
 
+def term_counts(df: DataFrame, by: Sequence[str], terms: Column) -> DataFrame:
+    """(*by, term, tf), written once; the first of ``by`` is the row's key. Texts are dealt by it before they are cut up, so their terms
+    are counted where they are, and a text crosses the network instead of its many terms."""
+    dealt = df.repartition(by[0]).select(*by, F.explode(terms).alias("term"))
+    return scratch(dealt.groupBy(*by, "term").agg(F.count("*").alias("tf")), "terms")
+
+
+def join_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` with what ``terms`` (written; term, df and more) says of their term. ``df`` is the number of rows that a term has. Up to
+    TERM_BYTES of terms go to the tasks. Of more, only those that have over a million rows and one of 10,000 of all rows do,
+    10,000 at most, and the rest meets its rows by a shuffle in which no term is hot."""
+    told = terms.agg(F.sum(F.octet_length("term") + 8 * len(terms.columns)).alias("bytes"), F.sum("df").alias("rows")).first()
+    if (told["bytes"] or 0) <= TERM_BYTES:
+        return rows.join(F.broadcast(terms), "term")
+    hot = F.col("df") > max(HOT_ROWS, told["rows"] // 10_000)
+    often = F.broadcast(terms.where(hot))
+    return rows.join(often, "term").unionByName(rows.join(often.select("term"), "term", "left_anti").join(terms.where(~hot), "term"))
+
+
 def text_encode(df: DataFrame, key: str, text: str, target: str) -> DataFrame:
     """D6. For each class c the mean over a row's tokens of ln((n_tc + 1) / (n_t + V)); no token: 0."""
-    words = df.select(key, target, F.explode(tokens(text)).alias("token"))
-    counts = words.groupBy("token", target).agg(F.count("*").alias("n"))
+    words = term_counts(df.select(key, target, text), [key, target], tokens(text))
+    counts = words.groupBy("term", target).agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
     classes = df.select(F.col(target).alias("class")).where("class is not null").distinct()
     v = classes.count()
-    grid = counts.groupBy("token").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct(target, "n"))).alias("by"))
+    grid = counts.groupBy("term").agg(F.sum("n").alias("total"), F.sum("df").alias("df"), F.map_from_entries(F.collect_list(F.when(F.col(target).isNotNull(), F.struct(target, "n")))).alias("by"))
     if v > MAX_COLUMNS:
         raise ValueError(f"{target} has more than {MAX_COLUMNS} classes")
     names = sorted(r[0] for r in classes.collect())
-    weights = grid.select("token", *[F.log((F.coalesce(F.try_element_at("by", F.lit(c)), F.lit(0)) + 1) / (F.col("total") + v)).alias(f"w_{c}") for c in names])
-    means = words.join(weights, "token").groupBy(key).agg(*[F.avg(f"w_{c}").alias(f"{text}_{c}") for c in names])
+    weights = grid.select("term", "df", *[F.log((F.coalesce(F.try_element_at("by", F.lit(c)), F.lit(0)) + 1) / (F.col("total") + v)).alias(f"w_{c}") for c in names])
+    told = join_terms(words.select(key, "term", "tf"), scratch(weights, "term-weights"))
+    means = told.groupBy(key).agg(*[(F.sum(F.col(f"w_{c}") * F.col("tf")) / F.sum("tf")).alias(f"{text}_{c}") for c in names])
     return df.join(means, key, "left").fillna(0.0, [f"{text}_{c}" for c in names])
 
 
 def ngrams(column: str, n: int) -> Column:
-    """Word n-grams of a text; shorter texts have none."""
+    """Word n-grams of a text; shorter texts have none. The text is cut into words once, not once for each n-gram."""
     t = tokens(column)
     if n == 1:
         return t
-    return F.filter(F.transform(t, lambda x, i: F.array_join(F.slice(t, i + 1, n), " ")), lambda g: F.size(F.split(g, " ")) == n)
+    places = lambda w: F.sequence(F.lit(1), F.size(w) - n + 1)
+    grams = lambda w: F.when(F.size(w) >= n, F.transform(places(w), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(t), grams), 1)
 
 
 def count_vector(df: DataFrame, key: str, column: str, n: int = 1, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """D7. Sparse counts in long form, (key, term, tf), of terms in ``min_df`` documents at least and in a
+    """D7. Sparse counts in long form, (key, term, tf, df), of terms in ``min_df`` documents at least and in a
     share of ``max_df`` at most."""
     total = df.count()
-    tf = df.select(key, F.explode(ngrams(column, n)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = term_counts(df.select(key, column), [key], ngrams(column, n))
     known = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
-    return tf.join(known, "term").select(key, "term", "tf", "df")
+    return join_terms(tf, scratch(known, "term-rows")).select(key, "term", "tf", "df")
 
 
 def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:

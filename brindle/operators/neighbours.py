@@ -187,6 +187,23 @@ def _compare(k: int, cosine: bool, same: bool, kind: pa.DataType):
     return run
 
 
+def _dealt(q: DataFrame, b: DataFrame, n: int, nodes: int, k: int, wanted: int, cosine: bool) -> tuple[DataFrame, DataFrame, dict[int, int], dict[int, int]]:
+    """Rows with their cell, queries with the cells they visit, and how many of both a cell has."""
+    tree = cover_tree(b.where(F.pmod(F.xxhash64("_b"), F.lit(-(-n // GROWN_ON))) == 0) if n > GROWN_ON else b, "_b", "_v", nodes)
+    dealt = scratch(b.withColumn("_n", nearest_node(tree.vectors)("_v")).select("_b", "_v", F.col("_n.cell").alias("_cell"), F.col("_n.far").alias("_far")), "knn-rows")
+    close = Window.partitionBy("_cell").orderBy("_far")
+    nearest = dealt.select("_cell", "_far").withColumn("_i", F.row_number().over(close)).where(F.col("_i") <= k + 1)
+    stats = dealt.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("far"))
+    told = stats.join(nearest.groupBy("_cell").agg(F.collect_list("_far").alias("near")), "_cell").collect()
+    radii, sizes = np.full(len(tree.keys), -np.inf), {r["_cell"]: r["n"] for r in told}
+    for r in told:
+        radii[r["_cell"]] = r["far"]
+    near, own = np.array([x for r in told for x in r["near"]]), np.array([r["_cell"] for r in told for _ in r["near"]])
+    asked = scratch(q.withColumn("_cells", _visited(tree.vectors, radii, near, own, wanted, cosine)("_v")), "knn-queries")
+    visits = asked.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()
+    return dealt, asked, sizes, {r["_cell"]: r["n"] for r in visits}
+
+
 def knn_join(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5, metric: str = "euclidean", same: bool = False) -> DataFrame:
     """F15. (key, neighbour, distance, rank): the exact k nearest rows of ``base`` for each query, ties by key after 9 decimals.
 
@@ -209,23 +226,13 @@ def knn_join(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int
     kinds = {c: x.schema[c].dataType for x, c in ((q, "_q"), (b, "_b"))}
     n = b.count()
     nodes = min(NODES, -(-n // CELL))
-    tree = cover_tree(b.where(F.pmod(F.xxhash64("_b"), F.lit(-(-n // GROWN_ON))) == 0) if n > GROWN_ON else b, "_b", "_v", nodes)
     result = f"{key} {kinds['_q'].simpleString()}, neighbour {kinds['_b'].simpleString()}, distance double, rank int"
-    if tree is None:
-        return q.sparkSession.createDataFrame([], result)
-    dealt = scratch(b.withColumn("_n", nearest_node(tree.vectors)("_v")).select("_b", "_v", F.col("_n.cell").alias("_cell"), F.col("_n.far").alias("_far")), "knn-rows")
-    close = Window.partitionBy("_cell").orderBy("_far")
-    nearest = dealt.select("_cell", "_far").withColumn("_i", F.row_number().over(close)).where(F.col("_i") <= k + 1)
-    stats = dealt.groupBy("_cell").agg(F.count("*").alias("n"), F.max("_far").alias("far"))
-    told = stats.join(nearest.groupBy("_cell").agg(F.collect_list("_far").alias("near")), "_cell").collect()
-    radii, sizes = np.full(len(tree.keys), -np.inf), {r["_cell"]: r["n"] for r in told}
-    for r in told:
-        radii[r["_cell"]] = r["far"]
-    near, own = np.array([x for r in told for x in r["near"]]), np.array([r["_cell"] for r in told for _ in r["near"]])
-    visit = _visited(tree.vectors, radii, near, own, k + same, cosine)
-    asked = scratch(q.withColumn("_cells", visit("_v")), "knn-queries")
-    visits = {r["_cell"]: r["n"] for r in asked.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    plan = [(c, -(-sizes[c] // ROW_BLOCK), -(-m // QUERY_BLOCK)) for c, m in visits.items()]
+    if nodes <= 1:  # one cell: there is nothing to leave out
+        dealt, asked = b.withColumn("_cell", F.lit(0)), q.withColumn("_cells", F.array(F.lit(0)))
+        sizes, visits = {0: n}, {0: q.count() if n else 0}
+    else:
+        dealt, asked, sizes, visits = _dealt(q, b, n, nodes, k, k + same, cosine)
+    plan = [(c, -(-sizes[c] // ROW_BLOCK), -(-m // QUERY_BLOCK)) for c, m in visits.items() if m]
     if not plan:
         return q.sparkSession.createDataFrame([], result)
     cells = F.broadcast(q.sparkSession.createDataFrame(plan, "_cell int, _parts int, _blocks int"))  # a row for each node at most
