@@ -567,6 +567,21 @@ def k4(spark, d):
     return streams.drain(streams.drop_late(streams.read_reports(spark, stored(spark, d)), "1998-01-01").select("id"), folder(spark, "k4"))
 
 
+_MARK_SQL = "TIMESTAMP '1994-01-01' + INTERVAL 1 YEAR * (template_name[1]::INT - 1)"
+
+
+@query("k4_mark_late", f"SELECT id, template_name, (finished_at > {_MARK_SQL} OR finished_at > TIMESTAMP '1997-01-01') AS late FROM {REPORTS}")
+def k4_mark(spark, d):
+    """Each priority's search is marked as done a year after the one before; the marks come first."""
+    at, found = folder(spark, "marked"), reports(spark, d).select("id", "template_name", "finished_at", F.lit(False).alias("done"))
+    year = (1993 + F.substring("template_name", 1, 1).cast("int")).cast("string")
+    marks = found.select("template_name").distinct().select(F.lit(None).cast("string").alias("id"), "template_name", F.concat(year, F.lit("-01-01")).cast("timestamp").alias("finished_at"), F.lit(True).alias("done"))
+    marks.coalesce(1).write.mode("append").parquet(at)
+    found.repartition(2).write.mode("append").parquet(at)
+    marked = streams.mark_late(streams.read_reports(spark, at, "id string, template_name string, finished_at timestamp, done boolean", per_batch=1), "1997-01-01", "400 weeks", "400 weeks")
+    return streams.drain(marked.select("id", "template_name", "late"), folder(spark, "k4m"))
+
+
 def samples(spark, d):
     at = folder(spark, "samples")
     table(spark, d, "events").select(F.col("user_id").alias("pid"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("cpu")).repartition(2).write.parquet(at)

@@ -64,6 +64,36 @@ def drop_late(reports: DataFrame, deadline: str, delay: str = "10 minutes") -> D
     return reports.withWatermark("finished_at", delay).where(F.col("finished_at") <= F.lit(deadline).cast("timestamp"))
 
 
+def mark_late(reports: DataFrame, deadline: str | None = None, delay: str = "1 hour", keep: str = "7 days") -> DataFrame:
+    """K4. All reports, with ``late``: whether they finished after their search (template_name) was marked as done or after the
+    ``deadline``, so that they aren't ranked. A row whose ``done`` is true is such a mark and no report; the earliest counts. Marks hold
+    for reports of their own batch and of all later ones, in any order of times; one that comes after a report doesn't take it
+    back. A report without a time is late once there is a mark. State is one number for each marked search and ends ``keep``
+    after the watermark, ``delay`` behind the newest row, has passed the mark."""
+    spark = reports.sparkSession
+    span = spark.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {keep})").first()[0]
+    end = spark.range(1).select(F.unix_millis(F.lit(deadline).cast("timestamp"))).first()[0] if deadline else None
+    schema = StructType([*[f for f in reports.schema.fields if f.name != "done"], StructField("late", BooleanType())])
+
+    def tell(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames))
+        is_mark = rows["done"].eq(True)
+        marks = [int(x) for x in rows.loc[is_mark, "_ms"].dropna()] + ([state.get[0]] if state.exists else [])
+        if marks:
+            state.update((min(marks),))
+            state.setTimeoutTimestamp(max(min(marks), state.getCurrentWatermarkMs()) + span + 1)
+        closing = min([*marks, *([end] if end is not None else [])], default=None)
+        told = rows[~is_mark]
+        late = pd.Series(False, index=told.index) if closing is None else (told["_ms"] > closing) | (told["_ms"].isna() & bool(marks))
+        yield told.assign(late=late).drop(columns=["_ms", "done"])
+
+    timed = reports.withColumn("_ms", F.unix_millis("finished_at")).withWatermark("finished_at", delay)
+    return timed.groupBy("template_name").applyInPandasWithState(tell, schema, "mark long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_usage(samples: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """K5. Averages for each process and tumbling window."""
     by = samples.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "pid")
