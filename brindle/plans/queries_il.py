@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.catalog import query
 from brindle.functions import metrics, user
 from brindle.functions.keys import u, u_sql
-from brindle.operators import linear, models, neighbours, relate, split, trees
+from brindle.operators import linear, models, neighbours, relate, split, trees, vertices
 from brindle.plans import jobs, search
 from brindle.plans.queries_ac import REPORTS, folder, reports
 from brindle.plans.queries_df import FEATURES, LKEY, PREDS, candidates, lines, r
@@ -55,6 +55,12 @@ def i10(spark, d):
     return models.predict_gaussian_nb(model, test, ["l_quantity", "l_tax"], "row_id").withColumn("confidence", F.round("confidence", 6))
 
 
+@query("i10_bernoulli_nb")
+def i10b(spark, d):
+    train, test = [x.withColumns({"cheap": (F.col("l_extendedprice") < 20_000).cast("int"), "few": (F.col("l_quantity") < 20).cast("int"), "untaxed": (F.col("l_tax") == 0).cast("int")}) for x in parts(spark, d)]
+    return models.predict(models.fit_classifier("bernoulli_nb", train, ["cheap", "few", "untaxed"], "l_returnflag"), test, "row_id")
+
+
 @query("i10_other_nb")
 def i10o(spark, d):
     train, test = parts(spark, d)
@@ -314,6 +320,11 @@ def i29(spark, d):
     return models.spectral_embedding(edges(spark, d), 2, 8)
 
 
+@query("i29_laplacian_elbow")
+def i29_elbow(spark, d):
+    return vertices.embed(edges(spark, d), 4, 8, laplacian=True)[1]
+
+
 @query("i30_communities")
 def i30(spark, d):
     return models.communities(edges(spark, d))
@@ -335,6 +346,14 @@ def i32(spark, d):
     return models.vertex_features(e, labels, ["even", "odd"])
 
 
+@query("i32_nominate")
+def i32_nominate(spark, d):
+    """Suppliers and parts are the classes; half of the nodes are labelled."""
+    e = edges(spark, d)
+    labels = datasets.nodes_of(e).select(F.col("id").alias("node"), F.when(F.col("id") < 1_000_000, "supplier").otherwise("part").alias("class")).where(u("node") < 0.5)
+    return vertices.nominate(vertices.classify_vertices(e, labels, most=4, rounds=8))
+
+
 @query("i33_match_graphs")
 def i33(spark, d):
     """On the lines of quantity 50 that come first in their order: marks are pairs of neighbours' neighbours."""
