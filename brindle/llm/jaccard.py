@@ -298,37 +298,77 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def _compare(percent: int, at_once: int = 1 << 20):
-    """Pairs of a list's members from different components that size and bitmaps allow to link, with the number
-    of lists in which they stand together. A member brings all its lists in the group in one row. The lists are
-    worked on together: each entry meets the next one of its list, then the one after, ..."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+def spanning(i: np.ndarray, j: np.ndarray, weights: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j), the lightest ones, join all components that the pairs could join. Components
+    are numbered by ``labels``; in each round every component takes its lightest pair."""
+    order = np.lexsort((j, i, weights))
+    i, j, labels, taken = i[order], j[order], labels.copy(), np.zeros(len(i), bool)
+    alive = np.flatnonzero(labels[i] != labels[j])
+    while len(alive):
+        ends = np.stack([labels[i[alive]], labels[j[alive]]], 1).ravel()
+        own, first = np.unique(ends, return_index=True)  # pairs are in order, so the first one is the lightest
+        best = alive[first // 2]
+        taken[best] = True
+        up = np.arange(labels.max() + 1)
+        other = labels[i[best]] + labels[j[best]] - own
+        up[own] = np.where((first // 2)[np.searchsorted(own, other)] == first // 2, np.minimum(own, other), other)
+        while (up[up] != up).any():
+            up = up[up]
+        labels = up[labels]
+        alive = alive[labels[i[alive]] != labels[j[alive]]]
+    return order[taken]
+
+
+_MET = ("group", "low", "high", "a", "b")
+
+
+def _compare(percent: int, more: int, at_once: int = 1 << 20):
+    """Pairs of a group's members from different components that stand together in a list, that size and bitmaps allow to
+    link and that weren't tried before: those that would join the components, the likeliest first, and ``more``
+    others for each member. ``left`` tells that the group may have further ones. A member brings all its lists in the
+    group in one row. The lists are worked on together: each entry meets the next one of its list, then the one after, ..."""
+
+    def run(key: tuple, rows: pd.DataFrame, tried: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")  # members are numbered by id
-        ids, sizes, spares, blocks = (rows[c].to_numpy() for c in ("id", "n", "spare", "block"))
+        ids, sizes, blocks = (rows[c].to_numpy() for c in ("id", "n", "block"))
         codes = pd.factorize(rows["label"])[0]
+        kept, weights, left = np.zeros(0, np.int64), np.zeros(0), False
+        if codes.max(initial=0) == 0:
+            return pd.DataFrame(dict(zip(_MET, (kept,) * 5, strict=True)) | {"left": np.zeros(0, bool)})
+        number = np.searchsorted(ids, ids)  # classes that share an id share it
+        done = np.searchsorted(ids, tried["a"].to_numpy()) * len(ids) + np.searchsorted(ids, tried["b"].to_numpy())
         bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITS)
-        whole = rows["low"].iloc[0] == rows["high"].iloc[0]  # else only pairs from the two blocks
         lists = np.concatenate(list(rows["lists"]))
         member = np.repeat(np.arange(len(ids)), [len(x) for x in rows["lists"]])
         order = np.argsort(lists, kind="stable")
         lists, member = lists[order], member[order]
         n, block, labels = sizes[member], blocks[member], codes[member]
         ends = np.searchsorted(lists, lists, side="right")
-        found, held, size = [np.zeros((0, 3), np.int64)], [], 0
+        held, size = [], 0
 
         def sift() -> None:
             """A pair stands in many lists: it is looked at once."""
-            nonlocal held, size
-            pairs, times = np.unique(np.concatenate(held), return_counts=True)
+            nonlocal held, size, kept, weights, left
+            pairs = np.unique(np.concatenate(held))
             i, j = np.divmod(pairs, len(ids))
+            fresh = (number[i] != number[j]) & ~np.isin(number[i] * len(ids) + number[j], done)
+            found, apart = [kept], [weights]
+            i, j, pairs = i[fresh], j[fresh], pairs[fresh]
             for at in range(0, len(i), 1 << 14):
                 x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                 # overlap >= p (x + y) / (100 + p) leaves at most (100 - p) (x + y) / (100 + p) apart
-                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                ok = (100 + percent) * apart <= (100 - percent) * (sizes[x] + sizes[y])
-                found.append(np.stack([x[ok], y[ok], times[at : at + (1 << 14)][ok]], axis=1))
-            held, size = [], 0
+                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                ok = (100 + percent) * differ <= (100 - percent) * (sizes[x] + sizes[y])
+                found.append(pairs[at : at + (1 << 14)][ok])
+                apart.append((differ / (sizes[x] + sizes[y]))[ok])
+            pairs, at = np.unique(np.concatenate(found), return_index=True)
+            weights = np.concatenate(apart)[at]
+            if len(pairs) > more * len(ids):
+                best = spanning(*np.divmod(pairs, len(ids)), weights, codes)
+                at = np.union1d(best, np.argsort(weights, kind="stable")[: more * len(ids)])
+                left |= len(at) < len(pairs)
+                pairs, weights = pairs[at], weights[at]
+            kept, held, size = pairs, [], 0
 
         alive, step = np.arange(len(lists)), 0
         while len(alive):
@@ -336,7 +376,7 @@ def _compare(percent: int, at_once: int = 1 << 20):
             alive = alive[ends[alive] > alive + step]
             j = alive + step
             ok = (labels[alive] != labels[j]) & (100 * np.minimum(n[alive], n[j]) >= percent * np.maximum(n[alive], n[j]))
-            if not whole:
+            if key[1] != key[2]:  # only pairs from the two blocks
                 ok &= block[alive] != block[j]
             if ok.any():
                 held.append(member[alive[ok]] * len(ids) + member[j[ok]])
@@ -345,8 +385,9 @@ def _compare(percent: int, at_once: int = 1 << 20):
                 sift()
         if held:
             sift()
-        i, j, times = np.concatenate(found).T
-        return pd.DataFrame({"a": ids[i], "b": ids[j], "n_a": sizes[i], "n_b": sizes[j], "spare": np.minimum(spares[i], spares[j]), "times": times})
+        i, j = np.divmod(kept, len(ids))
+        same = lambda x: np.full(len(i), x)
+        return pd.DataFrame(dict(zip(_MET, (*map(same, key), ids[i], ids[j]), strict=True)) | {"left": same(left)})
 
     return run
 
@@ -411,18 +452,41 @@ def dealt(lists: DataFrame, members: DataFrame) -> DataFrame:
     return rest.groupBy("group", "low", "high", "block", "id").agg(F.collect_list("list").alias("lists"))
 
 
+def met_often(pairs: DataFrame, lists: DataFrame, members: DataFrame, enough: Callable) -> DataFrame:
+    """The ``pairs(a, b)`` that meet ``enough(n_a, n_b)`` times in ``lists(list, id)``, common shingles that share a list
+    told by ``spare``. Both are written tables."""
+    ids = scratch(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
+    own = lists.join(small(ids), "id", "left_semi").groupBy("id").agg(F.collect_list("list").alias("own"))
+    own = own.join(members.groupBy("id").agg(F.min("n").alias("n"), F.max("spare").alias("spare")), "id")
+    of = lambda x: own.select(F.col("id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("own", "n", "spare")))
+    times = F.size(F.array_intersect("own_a", "own_b")) + F.least("spare_a", "spare_b")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(times >= enough(F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
 def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough: Callable) -> DataFrame:
     """Links (a, b) between classes that stand together in one of ``lists``, enough of them that every two classes that
-    a link joins are connected: :func:`first_links`, and then, list by list, all pairs of members that are
-    still in different components. ``enough(n_a, n_b)``: how often a pair of these meets at least, common shingles
-    that share a list told by ``spare``."""
+    a link joins are connected: :func:`first_links`, and then, group of lists by group, pairs of members that are still in
+    different components, as many as a group has members and those that would join its components. Groups that have
+    more of them come again, once these are confirmed and components joined, until none has a pair left that could
+    join two components and wasn't tried. ``enough(n_a, n_b)``: how often a linked pair meets at least."""
+    spark = lists.sparkSession
     links = first_links(lists, sets, percent)
-    members = scratch(_labelled(sets, links, ("n", "spare", "bits")), "jaccard-members")
-    rest = dealt(lists, members).join(members, "id")
-    met = rest.groupBy("group", "low", "high").applyInPandas(_compare(percent), "a long, b long, n_a long, n_b long, spare long, times long")
-    met = met.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.max("spare").alias("spare"))
-    pairs = met.where(F.col("times") + F.col("spare") >= enough(F.col("n_a"), F.col("n_b")))
-    return links.union(scratch(verified(pairs.select("a", "b"), sets, percent), "jaccard-links"))
+    labelled = lambda: scratch(_labelled(sets, links, ("n", "spare", "bits")), "jaccard-members")
+    members, schema = labelled(), "group long, low int, high int, a long, b long, left boolean"
+    groups = scratch(dealt(lists, members), "jaccard-groups")
+    tried, turn, keys = spark.createDataFrame([], schema), 0, ["group", "low", "high"]
+    while True:
+        rows = groups.join(members, "id").groupBy(*keys)
+        met = rows.cogroup(tried.groupBy(*(F.col(c).alias(f"_{c}") for c in keys))).applyInPandas(_compare(percent, 4**turn), schema)
+        met = scratch(met, "jaccard-met")
+        pairs = met.select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        pairs = scratch(pairs, "jaccard-pairs")
+        links = scratch(links.union(verified(met_often(pairs, lists, members, enough), sets, percent)), "jaccard-links")
+        again = met.where("left").select(*keys).distinct()
+        if again.isEmpty():
+            return links
+        groups = scratch(groups.join(again, keys, "left_semi"), "jaccard-groups")
+        tried, members, turn = scratch(tried.union(met), "jaccard-tried"), labelled(), turn + 1
 
 
 def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = LIST_BITS) -> tuple[DataFrame, DataFrame]:

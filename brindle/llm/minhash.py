@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from brindle.llm import jaccard
 from brindle.llm.catalog import query
 from brindle.llm.common import slices
+from brindle.llm.jaccard import spanning
 from brindle.session import scratch, table
 
 WORDS, PERCENT = 4, 80
@@ -92,27 +93,6 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["list", "id"])
 
 
-def spanning(i: np.ndarray, j: np.ndarray, weights: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Which pairs (i, j), the lightest ones, join all components that the pairs could join. Components
-    are numbered by ``labels``; in each round every component takes its lightest pair."""
-    order = np.lexsort((j, i, weights))
-    i, j, labels, taken = i[order], j[order], labels.copy(), np.zeros(len(i), bool)
-    alive = np.flatnonzero(labels[i] != labels[j])
-    while len(alive):
-        ends = np.stack([labels[i[alive]], labels[j[alive]]], 1).ravel()
-        own, first = np.unique(ends, return_index=True)  # pairs are in order, so the first one is the lightest
-        best = alive[first // 2]
-        taken[best] = True
-        up = np.arange(labels.max() + 1)
-        other = labels[i[best]] + labels[j[best]] - own
-        up[own] = np.where((first // 2)[np.searchsorted(own, other)] == first // 2, np.minimum(own, other), other)
-        while (up[up] != up).any():
-            up = up[up]
-        labels = up[labels]
-        alive = alive[labels[i[alive]] != labels[j[alive]]]
-    return order[taken]
-
-
 def _try(percent: int, turn: int, at_once: int = 1 << 19):
     """Pairs of a group's members in different components that may link and weren't tried before: those that
     would join the components, the likeliest first, and with each turn more."""

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from brindle.llm import jaccard
@@ -132,3 +133,47 @@ def test_shingles_that_share_a_list_lose_no_link(spark, bits):
     sets = [jaccard.Shingler()(text) for _, text in rows]
     assert any(jaccard.spare(s, bits) for s in sets)
     assert not any(jaccard.spare(s) for s in sets)
+
+
+def test_pairs_that_leave_the_groups_grow_with_the_members(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for at in rng.sample(range(100), rng.randint(1, 3)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i * 7, " ".join(own)))
+    written, write = [], jaccard.scratch
+
+    def counted(df, name):
+        out = write(df, name)
+        written.append((name, out.count()))
+        return out
+
+    # nothing is joined before all pairs are looked at, so nearly all of them are open
+    monkeypatch.setattr(jaccard, "first_links", lambda lists, sets, percent: sets.select(sets.digest.alias("a"), sets.digest.alias("b")).limit(1))
+    monkeypatch.setattr(jaccard, "scratch", counted)
+    assert found(spark, rows) == brute(rows)
+    met, members = ([n for name, n in written if name == f"jaccard-{x}"] for x in ("met", "groups"))
+    assert len(met) > 1 and met[0] <= 2 * members[0]
+
+
+def test_no_pair_is_left_out_in_the_end():
+    n = 60
+    rng = np.random.default_rng(3)
+    bits = [np.zeros(8 * jaccard.BITS, np.uint8) for _ in range(n)]
+    for b in bits:
+        b[rng.integers(0, len(b), 3)] = 1
+    lists = [np.arange(4)] * n
+    rows = pd.DataFrame({"id": np.arange(n) - 30, "n": 100, "block": 0, "label": [str(i) for i in range(n)], "bits": [b.tobytes() for b in bits], "lists": lists})
+    tried = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    counts = []
+    while True:  # no pair links, so all of them have to come
+        met = jaccard._compare(75, 1, at_once=500)((7, 0, 0), rows, tried)
+        counts.append(len(met))
+        tried = pd.concat([tried, met[["a", "b"]]])
+        if not met["left"].any():
+            break
+    assert max(counts) <= 2 * n and len(counts) > 10
+    assert len(tried) == len(tried.drop_duplicates()) == n * (n - 1) // 2
