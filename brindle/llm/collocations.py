@@ -11,6 +11,7 @@ the bound of all closed words; if not, F becomes the count up to which a phrase
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Iterator
 
@@ -35,6 +36,10 @@ WIDER = 2
 BITS = 1 << 23
 #: Words after which a task closes a chunk of a language.
 CHUNK_WORDS = 1_000_000
+#: Words and chunks that a task keeps open at most.
+OPEN_WORDS, OPEN_CHUNKS = 4 * CHUNK_WORDS, 1_000
+#: Texts, and chunks, that Spark hands to a task at once: a batch lies in the executor and in the worker.
+TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 500, 1
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _MARKED = bytes.maketrans(_SEPARATORS + b"\t", b"\n" * len(_SEPARATORS) + b" ")
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -61,18 +66,30 @@ class _Chunk:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk goes off as a row of its own once it is full; all do if those that are open get too many or too long."""
+    open_chunks: dict[str, _Chunk] = {}
+    held = 0
+
+    def close(langs: list[str]) -> Iterator[pa.RecordBatch]:
+        for lang in langs:
+            words, places = open_chunks.pop(lang).row()
+            columns = [pa.array([x], t) for x, t in zip((lang, words, places), (pa.string(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "places"])
+
     for batch in batches:
-        open_chunks: dict[str, _Chunk] = {}
-        done: list[tuple[str, bytes, bytes]] = []
         for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if text:
                 chunk = open_chunks.setdefault(lang, _Chunk())
+                held -= chunk.size
                 chunk.add(text)
+                held += chunk.size
                 if chunk.size >= CHUNK_WORDS:
-                    done.append((lang, *open_chunks.pop(lang).row()))
-        done += [(lang, *c.row()) for lang, c in open_chunks.items()]
-        columns = list(zip(*done, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], names=["lang", "words", "places"])
+                    held -= chunk.size
+                    yield from close([lang])
+                elif held >= OPEN_WORDS or len(open_chunks) >= OPEN_CHUNKS:
+                    held = 0
+                    yield from close(list(open_chunks))
+    yield from close(list(open_chunks))
 
 
 def _opened(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
@@ -93,6 +110,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array([w.decode() for w in words]), pa.array(codes.view(np.int64)), pa.array(n)], names=["lang", "word", "code", "n"])
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tasks that are begun inside get ``rows`` rows at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def bit_table(keys: DataFrame) -> bytes:
     """A table of BITS bits with the bit of each ``key`` (a long) set; put together by Spark, of fixed size."""
     slot = F.pmod(F.col("key"), F.lit(BITS))
@@ -179,18 +208,22 @@ def _phrase_counts(tables):
 def grown(chunks: DataFrame, words: DataFrame, opened: DataFrame, least: int) -> DataFrame:
     """(lang, phrase, size, a): all phrases of 2 to LONGEST words that occur ``least`` times and begin or end with a word
     of ``opened``. ``words`` are the frequent ones, both have (lang, code)."""
-    context = chunks.sparkSession.sparkContext
+    spark = chunks.sparkSession
+    context = spark.sparkContext
     code = F.col("code").alias("key")
     tables = [bit_table(words.select(code)), bit_table(opened.select(code))]
     for length in range(2, LONGEST + 1):
         sums = chunks.mapInArrow(_key_counts(context.broadcast(tables)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        more = bit_table(sums.where(F.col("n") >= least).select("key"))
+        with batches_of(spark, CHUNKS_AT_ONCE):
+            often = scratch(sums.where(F.col("n") >= least).select("key"), "collocations-keys")
+        more = bit_table(often)
         tables = [*tables, more]
         if not any(more):
             break
     found = chunks.mapInArrow(_phrase_counts(context.broadcast(tables)), "lang string, phrase string, size int, n long")
     sums = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
-    return scratch(sums.where(F.col("a") >= least), "collocations-grown")
+    with batches_of(spark, CHUNKS_AT_ONCE):
+        return scratch(sums.where(F.col("a") >= least), "collocations-grown")
 
 
 def score(a, n, l, r):  # noqa: E741
@@ -228,9 +261,12 @@ def best_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, opened: in
     phrase are dropped. Order: score, a (descending), phrase by bytes. Texts are whole; other columns are not read.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string"))
-    chunks = scratch(texts.mapInArrow(_chunks, "lang string, words binary, places binary"), "collocations-chunks")
+    spark = docs.sparkSession
+    with batches_of(spark, TEXTS_AT_ONCE):
+        chunks = scratch(texts.mapInArrow(_chunks, "lang string, words binary, places binary"), "collocations-chunks")
     counted = chunks.mapInArrow(_word_counts, "lang string, word string, code long, n long")
-    counted = scratch(counted.groupBy("lang", "word", "code").agg(F.sum("n").alias("f")), "collocations-words")
+    with batches_of(spark, CHUNKS_AT_ONCE):
+        counted = scratch(counted.groupBy("lang", "word", "code").agg(F.sum("n").alias("f")), "collocations-words")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     words = scratch(counted.where(F.col("f") >= least), "collocations-often")
     # the counts up to which words are open: the rarest ones first, as their bounds are highest

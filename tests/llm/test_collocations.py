@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from brindle.llm import collocations
@@ -87,3 +88,26 @@ def test_products_beyond_64_bits(spark):
     df = spark.createDataFrame(values, "a long, n long, l long, r long")
     got = [r[0] for r in df.select(collocations.score(*(F.col(c) for c in "anlr"))).collect()]
     assert got == [1000 * a * n // (x * r) for a, n, x, r in values]
+
+
+def test_chunks_go_off_one_by_one_and_do_not_end_with_a_batch(monkeypatch):
+    monkeypatch.setattr(collocations, "CHUNK_WORDS", 100)
+    texts = [("xx" if i % 3 else "yy", f"a b c w{i}.") for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*texts[at : at + 5], strict=True)], names=["lang", "text"]) for at in range(0, 300, 5)]
+    rows = list(collocations._chunks(iter(batches)))
+    assert all(b.num_rows == 1 for b in rows) and len(rows) < len(batches)
+    monkeypatch.setattr(collocations, "OPEN_CHUNKS", 2)
+    few = list(collocations._chunks(iter(batches)))
+    assert len(few) > len(rows)
+    for out in (rows, few):
+        words = [(lang, w) for b in out for lang, own, _, places in collocations._opened(b) for w in (own[i - 1] for i in places if i)]
+        assert Counter(words) == Counter((lang, w.encode()) for lang, t in texts for w in t.rstrip(".").split())
+
+
+def test_tasks_get_few_rows_at_once(spark, monkeypatch):
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, collocations.scratch
+    before = spark.conf.get(name)
+    monkeypatch.setattr(collocations, "scratch", lambda df, as_: (seen.update({as_: int(spark.conf.get(name))}), write(df, as_))[1])
+    assert found(spark, [("xx", "a b a b c " * 9)], least=9, top=5)
+    assert seen["collocations-chunks"] <= 1_000 and {seen[f"collocations-{x}"] for x in ("words", "keys", "grown")} == {1}
+    assert spark.conf.get(name) == before
