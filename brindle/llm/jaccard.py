@@ -41,6 +41,9 @@ JOINING = 3
 BLOCK = 4096
 #: Entries of the merged lists in one part, and of the open lists in one group, on average.
 PART_ENTRIES, GROUP_ROWS = 8_000_000, 1_000_000
+#: Nodes or pairs that are broadcast, so that a round over a few of them has no sorts and one shuffle. A larger table is joined
+#: by shuffles.
+FEW = 100_000
 #: Bits of a shingle that name its list, beside the part.
 LIST_BITS = 32
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
@@ -271,9 +274,13 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) as digests: the pairs of class numbers ``pairs(a, b)`` that link by their whole sets."""
+    """(a, b) as digests: the pairs of class numbers ``pairs(a, b)``, a written table, that link by their whole sets. Of few
+    pairs only the sets that stand in one are shuffled."""
     of = lambda x: sets.select(F.col("id").alias(x), F.col("digest").alias(f"digest_{x}"), F.col("set").alias(f"set_{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    left, right = pairs.join(of("a"), "a"), of("b")
+    if pairs.count() <= FEW:
+        left, right = of("a").join(F.broadcast(pairs), "a"), right.join(F.broadcast(pairs.select("b")), "b", "left_semi")
+    both = left.join(right, "b")
     both = both.where(F.col("digest_a") != F.col("digest_b")).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "set_a", "set_b")
     return both.mapInArrow(_verify(percent), "a binary, b binary")
 
@@ -282,16 +289,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``links(a, b)``; the label is its component's smallest node.
 
     Each round takes the smallest label among the neighbours, then the label's own label, so that
-    chains shorten by half; every round is written to shared scratch space.
+    chains shorten by half; every round is written to shared scratch space. ``links`` is a written table. The labels of ``FEW`` nodes or
+    fewer go to the edges, and a round is written by as many tasks as there are cores; those of more nodes are joined by shuffles.
     """
-    edges = scratch(links.select("a", "b").union(links.select("b", "a")).distinct(), "link-edges")
+    few, cores = links.count() <= FEW // 2, links.sparkSession.sparkContext.defaultParallelism
+    dealt_out = lambda df: df.coalesce(cores) if few else df  # noqa: E731  else they lie in a file for each shuffle partition
+    edges = scratch(dealt_out(links.select("a", "b").union(links.select("b", "a")).distinct()), "link-edges")
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-    labels = scratch(labels.select("node", F.least("node", "low").alias("label")), "link-labels")
+    labels = scratch(dealt_out(labels.select("node", F.least("node", "low").alias("label"))), "link-labels")
     for _ in range(rounds):
-        told = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        lower = labels.join(told, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        lower = scratch(lower.join(far, "label").select("node", "old", F.least("label", "far").alias("label")), "link-labels")
+        sent = F.broadcast(labels) if few else labels
+        told = edges.join(sent.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
+        lower = told.join(sent, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
+        far = sent.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        lower = lower.join(far, "label").select("node", "old", F.least("label", "far").alias("label"))
+        lower = scratch(dealt_out(lower), "link-labels")
         labels = lower.select("node", "label")
         if lower.where(F.col("old") != F.col("label")).isEmpty():
             return labels
@@ -419,13 +431,13 @@ def first_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("b"))
     # classes that share a number are candidates of each other
     twins = sets.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    links = scratch(verified(stars.union(twins), sets, percent), "jaccard-links")
+    links = scratch(verified(scratch(stars.union(twins), "jaccard-stars"), sets, percent), "jaccard-links")
     for turn in range(JOINING):  # a few pairs for each two components that meet in a list
         named = scratch(_labelled(sets, links).select("id", F.xxhash64("label").alias("label")), "jaccard-labels")
         met = shared.join(named.withColumnRenamed("label", "x"), "id").join(named.select(F.col("id").alias("pivot"), F.col("label").alias("y")), "pivot").where("x != y")
         key = (F.least("x", "y").alias("l"), F.greatest("x", "y").alias("h"), F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(JOINING)).alias("k"))
         tries = met.groupBy(*key).agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("pivot").alias("b")), F.struct("shared", F.xxhash64("id", "pivot", F.lit(turn)))).alias("t"))
-        more = scratch(verified(tries.select("t.*").distinct(), sets, percent), "jaccard-links")
+        more = scratch(verified(scratch(tries.select("t.*"), "jaccard-tries"), sets, percent), "jaccard-links")
         if more.isEmpty():
             break
         links = scratch(links.union(more), "jaccard-links")
@@ -463,12 +475,12 @@ def met_often(pairs: DataFrame, lists: DataFrame, members: DataFrame, enough: Ca
     return pairs.join(of("a"), "a").join(of("b"), "b").where(times >= enough(F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough: Callable) -> DataFrame:
+def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough: Callable | None = None) -> DataFrame:
     """Links (a, b) between classes that stand together in one of ``lists``, enough of them that every two classes that
     a link joins are connected: :func:`first_links`, and then, group of lists by group, pairs of members that are still in
     different components, as many as a group has members and those that would join its components. Groups that have
     more of them come again, once these are confirmed and components joined, until none has a pair left that could
-    join two components and wasn't tried. ``enough(n_a, n_b)``: how often a linked pair meets at least."""
+    join two components and wasn't tried. ``enough(n_a, n_b)``: how often a linked pair meets at least, if that is known."""
     spark = lists.sparkSession
     links = first_links(lists, sets, percent)
     labelled = lambda: scratch(_labelled(sets, links, ("n", "spare", "bits")), "jaccard-members")
@@ -479,13 +491,17 @@ def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough: Callable)
         rows = groups.join(members, "id").groupBy(*keys)
         met = rows.cogroup(tried.groupBy(*(F.col(c).alias(f"_{c}") for c in keys))).applyInPandas(_compare(percent, 4**turn), schema)
         met = scratch(met, "jaccard-met")
-        pairs = met.select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        pairs = met.select("a", "b").distinct()
+        if turn:
+            pairs = pairs.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
         pairs = scratch(pairs, "jaccard-pairs")
-        links = scratch(links.union(verified(met_often(pairs, lists, members, enough), sets, percent)), "jaccard-links")
-        again = met.where("left").select(*keys).distinct()
+        if enough:
+            pairs = scratch(met_often(pairs, lists, members, enough), "jaccard-pairs")
+        links = scratch(links.union(verified(pairs, sets, percent)), "jaccard-links")
+        again = scratch(met.where("left").select(*keys).distinct(), "jaccard-again")
         if again.isEmpty():
             return links
-        groups = scratch(groups.join(again, keys, "left_semi"), "jaccard-groups")
+        groups = scratch(groups.join(small(again), keys, "left_semi"), "jaccard-groups")
         tried, members, turn = scratch(tried.union(met), "jaccard-tried"), labelled(), turn + 1
 
 
@@ -555,14 +571,16 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     kept = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min_by(F.struct("row", "n"), first).alias("k")).select("k.*")
     kept = kept.union(rows.where(F.col("component").isNull() & F.col("doc_id").isNotNull()).select("row", "n"))
-    kept = scratch(kept.select(F.col("row").alias("_row"), "n"), "jaccard-kept")
+    alone = rows.where(F.col("component").isNull() & F.col("doc_id").isNull()).select("row")
+    once = kept.where("n = 1").select("row").union(alone)
+    left_out = scratch(rows.join(once, "row", "left_anti").select(F.col("row").alias("_row")), "jaccard-left-out")
+    more = scratch(kept.where("n > 1").select(F.col("row").alias("_row")), "jaccard-kept")
     named = docs.withColumn("_row", row_key(docs))
-    # rows agree that share a key; while few are kept no text is shuffled, but for those with a double
-    once = named.join(small(kept.where("n = 1").select("_row")), "_row", "left_semi")
-    more = named.join(small(kept.where("n > 1").select("_row")), "_row", "left_semi").dropDuplicates(["_row"])
-    stay = once.unionByName(more).select(*docs.columns)
-    wordless = F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return stay.unionByName(docs.where(F.col("doc_id").isNull() & wordless))
+    # rows agree that share a key; while few are left out no text is shuffled, but for those with a double
+    stay = named.join(small(left_out), "_row", "left_anti").select(*docs.columns)
+    if more.isEmpty():
+        return stay
+    return stay.unionByName(named.join(small(more), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns))
 
 
 @query("op3_jaccard_join")

@@ -177,3 +177,43 @@ def test_no_pair_is_left_out_in_the_end():
             break
     assert max(counts) <= 2 * n and len(counts) > 10
     assert len(tried) == len(tried.drop_duplicates()) == n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_few_labels_and_pairs_are_broadcast(spark, few, monkeypatch):
+    """Rounds over few nodes have no sorts, and of few pairs only the sets in them are shuffled; results are the same."""
+    plan, write, plans = lambda df: df._jdf.queryExecution().executedPlan().toString(), jaccard.scratch, []
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "scratch", lambda df, name: plans.append(plan(df) if name == "link-labels" else "") or write(df, name))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(bytes([i]), bytes([i + 1])) for i in range(60) if i != 30]
+        labels = jaccard.components(spark.createDataFrame(rows, "a binary, b binary"))
+        assert sorted((r.node[0], r.label[0]) for r in labels.collect()) == [(i, 0 if i <= 30 else 31) for i in range(61)]
+        assert any("SortMergeJoin" in p for p in plans) == (few == 0)
+        texts = [f"{'one two three four five six seven eight nine ten eleven ' * 2}{x}" for x in ("", "more", "less")] + ["quite another text in here, of its own", "alone"]
+        sets = write(spark.createDataFrame([(t,) for t in texts], "text string").mapInArrow(jaccard._sets(5, 32), "id long, digest binary, n long, spare long, set binary, bits binary"), "test-sets")
+        ids = {r.n: r.id for r in sets.collect()}
+        every = [(x, y) for x in ids.values() for y in ids.values() if x < y] * 2
+        found = jaccard.verified(write(spark.createDataFrame(every, "a long, b long"), "test-pairs"), sets, 75)
+        assert plan(found).count("BroadcastHashJoin") == (2 if few else 0)
+        named = {bytes(r.digest): r.id for r in sets.collect()}
+        whole = {r.id: np.frombuffer(r.set, np.uint64) for r in sets.collect()}
+        assert sorted((named[bytes(r.a)], named[bytes(r.b)]) for r in found.collect()) == sorted(p for p in every if jaccard.linked(whole[p[0]], whole[p[1]]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+def test_texts_are_read_once_to_keep_one(spark):
+    """Rows that go are told apart from those that stay in one scan, null doc_ids and texts without words too."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h"), (None, "g h"), (4, None), (None, None), (None, None), (None, " "), (5, ""), (6, "i")]
+    docs = jaccard.scratch(spark.createDataFrame(rows, "doc_id long, text string"), "test-docs")
+    kept = jaccard.keep_one(docs, jaccard.labelled_rows(docs))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert sum("text:string" in line for line in plan.splitlines() if "FileScan" in line) == 1
+    want = [r for r in rows if r not in ((2, "a b c d e f"), (None, "g h"))]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+    twice = docs.union(docs)
+    want = list(dict.fromkeys(r for r in want if r[0] is not None)) + [r for r in rows if r[0] is None and not (r[1] or "").strip()] * 2
+    assert sorted(map(str, map(tuple, jaccard.keep_one(twice, jaccard.labelled_rows(twice)).collect()))) == sorted(map(str, want))
