@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from brindle.llm import jaccard
 from brindle.llm.catalog import query
 from brindle.llm.common import slices
-from brindle.llm.jaccard import spanning
+from brindle.llm.jaccard import spanning as spanning
 from brindle.session import scratch, table
 
 WORDS, PERCENT = 4, 80
@@ -93,99 +92,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, keys.shape[1]))], names=["list", "id"])
 
 
-def _try(percent: int, turn: int, at_once: int = 1 << 19):
-    """Pairs of a group's members in different components that may link and weren't tried before: those that
-    would join the components, the likeliest first, and with each turn more."""
-
-    def run(key: tuple, rows: pd.DataFrame, tried: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", kind="stable")
-        ids, sizes, blocks = (rows[c].to_numpy() for c in ("id", "n", "block"))
-        codes = pd.factorize(rows["label"])[0]
-        none = np.zeros(0, np.int64)
-        if codes.max(initial=0) == 0:
-            return pd.DataFrame(dict(zip(_TRIED, (none,) * 5, strict=True)))
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, jaccard.BITS)
-        done = np.searchsorted(ids, tried["a"].to_numpy()) * len(ids) + np.searchsorted(ids, tried["b"].to_numpy())
-        lists = np.concatenate(list(rows["lists"]))
-        member = np.repeat(np.arange(len(ids)), [len(x) for x in rows["lists"]])
-        order = np.argsort(lists, kind="stable")
-        lists, member = lists[order], member[order]
-        ends = np.searchsorted(lists, lists, side="right")
-        held, size, kept = [], 0, (none, np.zeros(0))
-
-        def sift() -> None:
-            nonlocal held, size, kept
-            pairs = np.setdiff1d(np.concatenate(held), done)  # a pair stands in many lists: it is looked at once
-            i, j = np.divmod(pairs, len(ids))
-            apart = np.concatenate([np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) for x, y in zip(*(np.array_split(v, len(i) // 16_384 + 1) for v in (i, j)), strict=True)])
-            # overlap >= p (x + y) / (100 + p) leaves at most (100 - p) (x + y) / (100 + p) apart
-            ok = (100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[j])
-            pairs, weights = np.concatenate([kept[0], pairs[ok]]), np.concatenate([kept[1], (apart / (sizes[i] + sizes[j]))[ok]])
-            pairs, at = np.unique(pairs, return_index=True)
-            weights = weights[at]
-            i, j = np.divmod(pairs, len(ids))
-            best = spanning(i, j, weights, codes)
-            more = np.argsort(weights, kind="stable")[: len(ids) * (4**turn - 1)]
-            at = np.union1d(best, more)
-            held, size, kept = [], 0, (pairs[at], weights[at])
-
-        alive, step = np.arange(len(lists)), 0
-        while len(alive):
-            step += 1
-            alive = alive[ends[alive] > alive + step]
-            x, y = member[alive], member[alive + step]
-            ok = (codes[x] != codes[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y]))
-            if key[1] != key[2]:  # only pairs from the two blocks
-                ok &= blocks[x] != blocks[y]
-            if ok.any():
-                held.append(x[ok] * len(ids) + y[ok])
-                size += int(ok.sum())
-            if size > at_once:
-                sift()
-        if held:
-            sift()
-        i, j = np.divmod(kept[0], len(ids))
-        n = len(i)
-        return pd.DataFrame(dict(zip(_TRIED, (np.full(n, key[0]), np.full(n, key[1]), np.full(n, key[2]), ids[i], ids[j]), strict=True)))
-
-    return run
-
-
-_TRIED = ("group", "low", "high", "a", "b")
-
-
-def links_in(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes that stand together in one of ``lists``, enough of them that every two classes that
-    a link joins are connected.
-
-    After the first links each group of lists brings forward the pairs that would join its components, the likeliest
-    ones by their bitmaps. These are confirmed on the full sets, components are joined, and the groups
-    bring forward others, until none has a pair left that could join two components and wasn't tried.
-    """
-    spark = lists.sparkSession
-    links = jaccard.first_links(lists, sets, percent)
-    labelled = lambda: scratch(jaccard._labelled(sets, links, ("n", "bits")), "minhash-members")
-    members = labelled()
-    groups = scratch(jaccard.dealt(lists, members), "minhash-groups")
-    schema = "group long, low int, high int, a long, b long"
-    tried, turn = spark.createDataFrame([], schema), 0
-    while True:
-        rows = groups.join(members, "id").groupBy("group", "low", "high")
-        fresh = rows.cogroup(tried.groupBy(*(F.col(c).alias(f"_{c}") for c in ("group", "low", "high")))).applyInPandas(_try(percent, turn), schema)
-        fresh = scratch(fresh, "minhash-tried")
-        if fresh.isEmpty():
-            return links
-        pairs = fresh.select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
-        links = scratch(links.union(jaccard.verified(pairs, sets, percent)), "minhash-links")
-        tried, members, turn = scratch(tried.union(fresh), "minhash-tried"), labelled(), turn + 1
-
-
 def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(documents, links), as :func:`brindle.llm.jaccard.find_links` returns them, by the multi-index join.
 
     Equal sets are one class, so a copy costs no entries. Entries that one class alone has are dropped. A list
     of any size is held against its smallest member first; only members that are then still in different
-    components are compared, in blocks, and only pairs that would join components leave the task.
+    components are compared, in blocks, as :func:`brindle.llm.jaccard.links_in` says.
     """
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -195,7 +107,7 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> t
     entries = scratch(classes.mapInArrow(_entries, "list long, id long"), "minhash-entries")
     heads = entries.groupBy("list").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1")
     lists = scratch(entries.join(heads.select("list", "pivot"), "list").select("list", "id", "pivot"), "minhash-lists")
-    return told.drop("signature"), links_in(lists, jaccard.sets_of(docs, told, lists, words), percent)
+    return told.drop("signature"), jaccard.links_in(lists, jaccard.sets_of(docs, told, lists, words), percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from brindle.llm import minhash
+from brindle.llm import jaccard, minhash
 from brindle.session import table
 from tests.conftest import SF
 from tests.llm.brute import near_duplicates as brute
@@ -99,3 +99,12 @@ def test_pairs_that_fail_are_not_tried_for_ever(spark):
             own[rng.randrange(9000)] = f"x{rng.randrange(10**7)}"
         rows.append((i, " ".join(own)))
     assert found(spark, rows) == brute(rows, 4, 80)
+
+
+def test_groups_with_no_pair_left_are_not_looked_at_again(spark, monkeypatch):
+    names, write = [], jaccard.scratch
+    monkeypatch.setattr(jaccard, "scratch", lambda df, name: names.append(name) or write(df, name))
+    rng, base = random.Random(10), [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(f"v{rng.randrange(9)}" if k == 7 * (i % 5) else w for k, w in enumerate(base))) for i in range(30)]
+    assert found(spark, rows) == brute(rows, 4, 80)
+    assert names.count("jaccard-met") == 1
