@@ -486,6 +486,7 @@ def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough: Callable |
     labelled = lambda: scratch(_labelled(sets, links, ("n", "spare", "bits")), "jaccard-members")
     members, schema = labelled(), "group long, low int, high int, a long, b long, left boolean"
     groups = scratch(dealt(lists, members), "jaccard-groups")
+    release(spark)
     tried, turn, keys = spark.createDataFrame([], schema), 0, ["group", "low", "high"]
     while True:
         rows = groups.join(members, "id").groupBy(*keys)
@@ -495,6 +496,7 @@ def links_in(lists: DataFrame, sets: DataFrame, percent: int, enough: Callable |
         if turn:
             pairs = pairs.join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
         pairs = scratch(pairs, "jaccard-pairs")
+        release(spark)
         if enough:
             pairs = scratch(met_often(pairs, lists, members, enough), "jaccard-pairs")
         links = scratch(links.union(verified(pairs, sets, percent)), "jaccard-links")
@@ -521,7 +523,9 @@ def find_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits
     sent = (told.agg(F.sum("n")).first()[0] or 0) * (100 - percent + SHARED) // 100
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), sent // PART_ENTRIES)
     entries = texts.mapInArrow(_postings(words, percent, parts, sketch, bits), "part int, keys binary, places binary, ids binary, least binary")
+    release(spark)
     merged = scratch(entries.groupBy("part").applyInPandas(_merge, "list long, id long, least long"), "jaccard-merged")
+    release(spark)
     able = merged.groupBy("id").agg(F.count("*").alias("k"), F.min("least").alias("least")).where(F.col("k") >= F.col("least"))
     lists = merged.select("list", "id").join(able.select("id"), "id")
     heads = lists.groupBy("list").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1").select("list", "pivot")
@@ -575,6 +579,7 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     once = kept.where("n = 1").select("row").union(alone)
     left_out = scratch(rows.join(once, "row", "left_anti").select(F.col("row").alias("_row")), "jaccard-left-out")
     more = scratch(kept.where("n > 1").select(F.col("row").alias("_row")), "jaccard-kept")
+    release(docs.sparkSession)
     named = docs.withColumn("_row", row_key(docs))
     # rows agree that share a key; while few are left out no text is shuffled, but for those with a double
     stay = named.join(small(left_out), "_row", "left_anti").select(*docs.columns)
