@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.session import counted
+
 #: Rows that one task ranks at most, on average.
 RANK_BLOCK = 2_000
 #: Rows of a table of keys and numbers that may be broadcast.
@@ -17,7 +19,7 @@ SMALL = 500_000
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df``, marked for broadcast if it has ``rows`` rows or fewer, else left to a shuffle join. It is
     counted, so it should be a written table of narrow rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if counted(df) <= rows else df
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:

@@ -11,18 +11,19 @@ shingle in one place. A pair stays if its overlap reaches what it needs.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.catalog import query
 from brindle.llm.common import slices, small
-from brindle.session import release, scratch, table
+from brindle.session import counted, planned_once, release, scratch, table
 
 WORDS, PERCENT = 5, 75
 #: Slots of the frequency sketch: fixed, so it can be broadcast. Any order of the lists gives right
@@ -278,7 +279,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     pairs only the sets that stand in one are shuffled."""
     of = lambda x: sets.select(F.col("id").alias(x), F.col("digest").alias(f"digest_{x}"), F.col("set").alias(f"set_{x}"))
     left, right = pairs.join(of("a"), "a"), of("b")
-    if pairs.count() <= FEW:
+    if counted(pairs) <= FEW:
         left, right = of("a").join(F.broadcast(pairs), "a"), right.join(F.broadcast(pairs.select("b")), "b", "left_semi")
     both = left.join(right, "b")
     both = both.where(F.col("digest_a") != F.col("digest_b")).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "set_a", "set_b")
@@ -288,25 +289,29 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``links(a, b)``; the label is its component's smallest node.
 
-    Each round takes the smallest label among the neighbours, then the label's own label, so that
-    chains shorten by half; every round is written to shared scratch space. ``links`` is a written table. The labels of ``FEW`` nodes or
-    fewer go to the edges, and a round is written by as many tasks as there are cores; those of more nodes are joined by shuffles.
+    Each round takes the smallest label among a node and its neighbours, then the label's own label, so that
+    chains shorten by half; every round is written to shared scratch space and tells by that whether a label changed. ``links`` is a
+    written table. The labels of ``FEW`` nodes or fewer go to the edges, and a round is one job beside its broadcast, written by as
+    many tasks as there are cores; those of more nodes are joined by shuffles.
     """
-    few, cores = links.count() <= FEW // 2, links.sparkSession.sparkContext.defaultParallelism
+    spark = links.sparkSession
+    few, cores = counted(links) <= FEW // 2, spark.sparkContext.defaultParallelism
     dealt_out = lambda df: df.coalesce(cores) if few else df  # noqa: E731  else they lie in a file for each shuffle partition
-    edges = scratch(dealt_out(links.select("a", "b").union(links.select("b", "a")).distinct()), "link-edges")
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-    labels = scratch(dealt_out(labels.select("node", F.least("node", "low").alias("label"))), "link-labels")
-    for _ in range(rounds):
-        sent = F.broadcast(labels) if few else labels
-        told = edges.join(sent.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        lower = told.join(sent, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("label"))
-        far = sent.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        lower = lower.join(far, "label").select("node", "old", F.least("label", "far").alias("label"))
-        lower = scratch(dealt_out(lower), "link-labels")
-        labels = lower.select("node", "label")
-        if lower.where(F.col("old") != F.col("label")).isEmpty():
-            return labels
+    with planned_once(spark, cores) if few else contextlib.nullcontext():
+        # both ways, and from each node to itself
+        ends = (F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb"))
+        edges = scratch(dealt_out(links.select(F.inline(F.array(*ends))).distinct()), "link-edges")
+        labels = scratch(dealt_out(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))), "link-labels")
+        for _ in range(rounds):
+            sent, changed = F.broadcast(labels) if few else labels, Observation()
+            told = edges.join(sent.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
+            told = told.agg(F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"), F.min("label").alias("low"))
+            far = sent.select(F.col("node").alias("low"), F.col("label").alias("far"))
+            lower = told.join(far, "low").select("node", "old", F.least("low", "far").alias("label"))
+            lower = lower.observe(changed, F.count_if(F.col("old") != F.col("label")).alias("n"))
+            labels = scratch(dealt_out(lower.select("node", "label")), "link-labels")
+            if not changed.get["n"]:
+                return labels
     raise RuntimeError("the components did not settle")
 
 
@@ -457,7 +462,7 @@ def dealt(lists: DataFrame, members: DataFrame) -> DataFrame:
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
     # lists with one smallest member hold much the same pairs: in one of four groups these are found once
-    groups = max(8 * shuffles, lists.count() // GROUP_ROWS)
+    groups = max(8 * shuffles, counted(lists) // GROUP_ROWS)
     near = F.pmod(F.xxhash64("pivot", F.pmod("list", F.lit(4))), F.lit(groups))
     rest = rest.withColumn("group", F.when(F.col("blocks") == 1, near).otherwise(F.col("list")))
     # a member's size and bitmap come once to each group, however many of its lists are there
@@ -572,6 +577,7 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     if "component" not in found.columns:
         found = labelled_rows(docs)
     rows = found.groupBy("row").agg(F.first("component").alias("component"), F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    rows = scratch(rows, "jaccard-rows")  # else each query below has the plan of all labels in it
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     kept = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min_by(F.struct("row", "n"), first).alias("k")).select("k.*")
     kept = kept.union(rows.where(F.col("component").isNull() & F.col("doc_id").isNotNull()).select("row", "n"))

@@ -205,6 +205,29 @@ def test_few_labels_and_pairs_are_broadcast(spark, few, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
 
 
+def test_components_of_few_links_take_few_jobs(spark):
+    """Every job, and every new plan after a shuffle, stays on the driver's heap: a round over few nodes is a write and its broadcasts.
+    A chain takes several rounds; links that repeat, loop or are missing do no harm."""
+    links = [(bytes([i]), bytes([i + 1])) for i in range(60) if i != 30] + [(b"\x00", b"\x01"), (b"\x02", b"\x02"), (b"\x50", b"\x50")]
+    stored = jaccard.scratch(spark.createDataFrame(links, "a binary, b binary").coalesce(1), "test-links")
+    spent = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    modes, rounds, write = [spark.conf.get(k) for k in keys], [], jaccard.scratch
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jaccard, "scratch", lambda df, name: rounds.append(name) or write(df, name))
+        before = spent()
+        labels = jaccard.components(stored)
+        jobs = spent() - before
+    found = sorted((r.node[0], r.label[0]) for r in labels.collect())
+    assert found == [(i, 0 if i <= 30 else 31) for i in range(61)] + [(80, 80)]
+    turns = rounds.count("link-labels") - 1
+    assert turns > 3
+    assert jobs <= 3 + 3 * turns, (jobs, turns)
+    empty = jaccard.scratch(stored.where("a > b"), "test-links")
+    assert jaccard.components(empty).count() == 0
+    assert [spark.conf.get(k) for k in keys] == modes
+
+
 def test_texts_are_read_once_to_keep_one(spark):
     """Rows that go are told apart from those that stay in one scan, null doc_ids and texts without words too."""
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h"), (None, "g h"), (4, None), (None, None), (None, None), (None, " "), (5, ""), (6, "i")]
