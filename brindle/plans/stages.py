@@ -194,7 +194,7 @@ class TargetText(_Learner):
             raise ValueError(f"{target} has more than {encode.MAX_COLUMNS} classes")
         total = F.sum("n")
         of = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0))
-        weights = counts.groupBy("token").agg(*[F.log((of(c) + 1) / (total + len(classes))).alias(f"w{i}") for i, c in enumerate(classes)])
+        weights = counts.groupBy("token").agg(*[F.log((of(c) + 1) / (total + len(classes))).alias(f"w{i}") for i, c in enumerate(classes)], total.alias("df"))
         model = self._taught(TargetTextModel(), len(classes))
         model.table = scratch(weights, "text-weights")
         return model
@@ -206,13 +206,27 @@ class TargetTextModel(_TableModel):
         return [f"_text_{self.of('column')}_{i}" for i in range(self.known)]
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        """Rows meet the table by (text, token) counts: an equal text is scored once, and a text's repeated token is one row."""
+        """A text is cut up and its tokens' weights are summed in the task that reads it, so neither texts nor their tokens cross the network:
+        the most frequent tokens, up to ``encode.TERM_BYTES``, go to the tasks, and only rows of the rare others are dealt. The means
+        are written once, by the text's hash, since each later stage passes over them."""
         column = self.of("column")
-        texts = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_t")).distinct().withColumn("_h", F.sha2("_t", 256))
-        found = texts.select("_h", F.explode(encode.tokens("_t")).alias("token")).groupBy("_h", "token").agg(F.count("*").alias("k"))
-        sums = [(F.sum(F.col("k") * F.col(f"w{i}")) / F.sum("k")).alias(name) for i, name in enumerate(self.outputs)]
-        means = found.join(self.table, "token").groupBy("_h").agg(*sums)
-        joined = df.withColumn("_h", F.sha2(column, 256)).join(means, "_h", "left").drop("_h")
+        hashed = F.unhex(F.sha2(column, 256))
+        table = self.table if "df" in self.table.columns else self.table.withColumn("df", F.lit(1))  # stored by an earlier version
+        level = F.floor(F.log2("df")).alias("level")
+        sizes = table.groupBy(level).agg(F.sum(F.octet_length("token") + 8 * len(table.columns)).alias("bytes")).orderBy(F.desc("level")).collect()
+        room, least = encode.TERM_BYTES, None
+        for row in sizes:
+            room -= row["bytes"]
+            if room < 0:
+                break
+            least = row["level"]
+        often = F.broadcast(table.where(level >= least) if least is not None else table.limit(0))
+        words = df.where(F.col(column).isNotNull()).select(hashed.alias("_h"), column).select("_h", F.explode(encode.tokens(column)).alias("token"))
+        found = words.join(often, "token")
+        if room < 0:
+            found = found.unionByName(words.join(often.select("token"), "token", "left_anti").join(table.where(level < least) if least is not None else table, "token"))
+        means = scratch(found.groupBy("_h").agg(*[F.avg(f"w{i}").alias(name) for i, name in enumerate(self.outputs)]), "text-means")
+        joined = df.withColumn("_h", hashed).join(means, "_h", "left").drop("_h")
         return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in self.outputs})
 
 
