@@ -404,12 +404,14 @@ def run_search(problem: Problem, df: DataFrame, points: Sequence[dict], n: int =
     Returns (ranked scores, the best pipeline, fitted on all rows). Scores: (candidate_id, fold, target, metric, value,
     larger, rank); rank counts from 1 over the first metric on test2, ties by id, and is null for other rows.
     """
-    splits = split.nested_splits(df, problem.key)
-    quick = [evaluate(problem, p, splits, "quick")[0] for p in points]
+    splits = scratch(split.nested_splits(df, problem.key), "search-splits")
+    fits = [evaluate(problem, p, splits, "quick") for p in points]
+    quick = [q for q, _ in fits]
     lead = problem.metrics[0]
     told = [(r["value"] if r["larger"] else -r["value"], p) for q, p in zip(quick, points, strict=True) for r in q.where(F.col("metric") == lead).collect()]
     order = [p for _, p in sorted(told, key=lambda t: (-t[0], t[1]["candidate_id"]))]
-    full = [evaluate(problem, p, splits) for p in order[:n]]
+    before = {p["candidate_id"]: found for p, found in zip(points, fits, strict=True)}
+    full = [evaluate(problem, p, splits, quick=before[p["candidate_id"]]) for p in order[:n]]
     chosen = {p["candidate_id"] for p in order[:n]}
     frames = [s for s, _ in full] + [q for q, p in zip(quick, points, strict=True) if p["candidate_id"] not in chosen]
     places = df.sparkSession.createDataFrame([(p["candidate_id"], i + 1) for i, p in enumerate(order)], "candidate_id string, rank int")

@@ -22,3 +22,12 @@ def test_scores_equal_those_of_joined_predictions(rows, point, monkeypatch):
     found = jobs.score(fitted, rows)
     assert {(r.metric, round(r.value, 12)) for r in found.collect()} == want and len(want) == 2
     assert (found.count(), found.select("fold", "candidate_id").distinct().collect()) == (2, [("test", "a")])
+
+
+def test_a_search_fits_each_point_once_for_its_score(rows, monkeypatch):
+    fits, fit = [], jobs.fit
+    monkeypatch.setattr(jobs, "fit", lambda problem, point, df: fits.append(point["candidate_id"]) or fit(problem, point, df))
+    points = [{"candidate_id": "tree", "model": "decision_tree", "depth": 2}, {"candidate_id": "dummy", "model": "dummy"}]
+    scores, _ = jobs.run_search(jobs.Problem("id", ["x"], "y"), rows, points)
+    assert sorted(fits) == ["dummy", "tree", "tree", "tree"]  # the best one once more for test1 and once on all rows
+    assert scores.where("rank = 1").first()["candidate_id"] == "tree" and scores.count() == 8
